@@ -162,10 +162,10 @@ def missing_report(df: DataFrame, top_n: int | None = 10) -> DataFrame:
     cols = df.columns
     agg = df.agg(F.count(F.lit(1)).alias("__n"),
                  *[(F.count(F.lit(1)) - F.count(F.col(c))).alias(c) for c in cols])
-    long = agg.unpivot("__n", cols, "column", "missing").select(
-        "column", F.col("missing").cast("long").alias("missing"),
+    long = agg.unpivot("__n", cols, "column_name", "missing").select(
+        "column_name", F.col("missing").cast("long").alias("missing"),
         (F.col("missing") / F.col("__n") * 100).alias("missing_pct"))
-    long = long.filter(F.col("missing") > 0).orderBy(F.desc("missing_pct"), F.asc("column"))
+    long = long.filter(F.col("missing") > 0).orderBy(F.desc("missing_pct"), F.asc("column_name"))
     return long.limit(top_n) if top_n else long
 
 
