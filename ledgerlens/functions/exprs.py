@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -82,14 +83,23 @@ def count_present(c, words: Sequence[str]) -> Column:
     return total
 
 
+@F.pandas_udf(T.StringType())
+def _fixed2(v: pd.Series, grouped: pd.Series) -> pd.Series:
+    """Two-decimal text with correct rounding of the exact binary value (Java's
+    Formatter rounds the shortest decimal form half-up, which differs on ties),
+    optionally with thousands separators.  A small Arrow-batched helper."""
+    out = [None if x is None or x != x else (f"{x:,.2f}" if g else f"{x:.2f}") for x, g in zip(v, grouped)]
+    return pd.Series(out, dtype=object)
+
+
 def format_currency(c, currency: str = "GHS") -> Column:
     """FN-1: ``GHS 0`` for null/0; B/M/K with two decimals; else thousands separators."""
     x = col_(c).cast("double")
-    return (F.when(x.isNull() | (x == 0), F.lit(f"{currency} 0"))
-            .when(x >= 1e9, F.concat(F.lit(f"{currency} "), F.format_string("%.2f", x / 1e9), F.lit("B")))
-            .when(x >= 1e6, F.concat(F.lit(f"{currency} "), F.format_string("%.2f", x / 1e6), F.lit("M")))
-            .when(x >= 1e3, F.concat(F.lit(f"{currency} "), F.format_string("%.2f", x / 1e3), F.lit("K")))
-            .otherwise(F.concat(F.lit(f"{currency} "), F.format_number(x, 2))))
+    scaled = (F.when(x >= 1e9, x / 1e9).when(x >= 1e6, x / 1e6).when(x >= 1e3, x / 1e3).otherwise(x))
+    unit = F.when(x >= 1e9, "B").when(x >= 1e6, "M").when(x >= 1e3, "K").otherwise("")
+    txt = _fixed2(scaled, x < 1e3)
+    return F.when(x.isNull() | (x == 0), F.lit(f"{currency} 0")).otherwise(
+        F.concat(F.lit(f"{currency} "), txt, unit))
 
 
 def risk_category(p) -> Column:
