@@ -60,8 +60,9 @@ def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text", min_len:
 def clean_legal_name(c) -> F.Column:
     """FN-4: drop company suffixes and the/of/and/&, collapse spaces, trim."""
     suf = "|".join(rules.LEGAL_SUFFIXES)
-    x = F.regexp_replace(F.trim(c), rf"(?i)\b({suf})\b", "")
-    x = F.regexp_replace(x, r"(?i)\b(the|of|and)\b|&", " ")
+    fill = "|".join(re.escape(w) for w in rules.LEGAL_FILLERS)
+    x = F.regexp_replace(F.trim(c), rf"(?iU)\b({suf})\b", "")
+    x = F.regexp_replace(x, rf"(?iU)\b({fill})\b", " ")
     return F.trim(F.regexp_replace(x, WS, " "))
 
 
@@ -69,7 +70,7 @@ def normalize_feature_text(c) -> F.Column:
     """FN-5: lower; keep word chars, whitespace and ``- . , % $``; then the
     currency, dollar, percent, decimal and ISO-date rules, in this order."""
     x = F.lower(c)
-    x = F.regexp_replace(x, r"(?U)[^\w\s\-.,%$]", " ")
+    x = F.regexp_replace(x, r"(?U)[^\p{L}\p{N}_\s\-.,%$]", " ")
     x = F.regexp_replace(x, r"(?U)gh[sc]?\s*\d+[\d,.\s]*", "currency_amount")
     x = F.regexp_replace(x, r"(?U)\$\s*\d+[\d,.\s]*", "dollar_amount")
     x = F.regexp_replace(x, r"(?U)\d+\.\d{2}%", "percentage_value")
@@ -303,8 +304,9 @@ def strip_accents(s: pd.Series) -> pd.Series:
 
 
 def english_stop_words() -> list[str]:
-    from pyspark.ml.feature import StopWordsRemover
-    return list(StopWordsRemover.loadDefaultStopWords("english"))
+    """Spark ML's default English stop words (``StopWordsRemover``)."""
+    from ledgerlens.functions.stopwords import ENGLISH_STOP_WORDS
+    return list(ENGLISH_STOP_WORDS)
 
 
 def doc_terms(docs: DataFrame, key: str = "doc_id", text: str = "text", ngram: tuple[int, int] = (1, 3),
@@ -315,7 +317,7 @@ def doc_terms(docs: DataFrame, key: str = "doc_id", text: str = "text", ngram: t
     t = F.lower(F.col(text))
     if accents:
         t = strip_accents(t)
-    toks = F.regexp_extract_all(t, F.lit(r"(?U)\b\w\w+\b"), 0)
+    toks = F.regexp_extract_all(t, F.lit(r"(?U)[\p{L}\p{N}_]{2,}"), 0)
     d = docs.select(key, toks.alias("_tok"))
     if sw:
         swa = F.array(*[F.lit(w) for w in sw])
@@ -330,11 +332,12 @@ def doc_terms(docs: DataFrame, key: str = "doc_id", text: str = "text", ngram: t
     return d.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def fit_tfidf(terms: DataFrame, key: str = "doc_id", max_features: int = 100, max_df: float = 0.8,
+def fit_tfidf(terms: DataFrame, n_docs, max_features: int = 100, max_df: float = 0.8,
               min_df: int = 1) -> DataFrame:
     """Vocabulary (<= max_features terms by corpus frequency, ties by term)
-    with smooth idf = ln((1+n)/(1+df)) + 1 and a 0-based column index."""
-    n = terms.select(key).distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
+    with smooth idf = ln((1+n)/(1+df)) + 1 and a 0-based column index.
+    ``n_docs`` counts every document, including ones without terms."""
+    n = n_docs if isinstance(n_docs, F.Column) else F.lit(n_docs)
     st = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("freq"))
     st = st.filter((F.col("df") <= F.floor(n * F.lit(max_df))) & (F.col("df") >= min_df))
     top = st.orderBy(F.desc("freq"), F.asc("term")).limit(max_features)

@@ -3,6 +3,6 @@
 
 def load_catalog():
     """Import every query module so its ``@register`` calls run."""
-    from ledgerlens.plans import agg_queries, eval_queries, feature_queries  # noqa: F401
+    from ledgerlens.plans import agg_queries, eval_queries, feature_queries, text_queries  # noqa: F401
     from ledgerlens.plans.registry import ORACLE, QUERIES
     return QUERIES, ORACLE
