@@ -3,6 +3,7 @@
 
 def load_catalog():
     """Import every query module so its ``@register`` calls run."""
-    from ledgerlens.plans import agg_queries, clean_queries, eval_queries, feature_queries, text_queries  # noqa: F401
+    from ledgerlens.plans import (agg_queries, clean_queries, eval_queries, feature_queries,  # noqa: F401
+                                  fuzzy_queries, text_queries)
     from ledgerlens.plans.registry import ORACLE, QUERIES
     return QUERIES, ORACLE

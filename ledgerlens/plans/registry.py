@@ -21,6 +21,9 @@ def register(name: str, sql: str | None = None, rounded: bool = True):
             raise ValueError(f"duplicate query {name}")
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            from ledgerlens.session import checkpoint_dir, ship_package
+            ship_package(spark)
+            checkpoint_dir(spark)
             df = fn(spark, sf_dir)
             return round_doubles(df, DIGITS) if rounded else df
         run.__name__ = fn.__name__

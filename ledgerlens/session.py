@@ -45,6 +45,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -66,3 +67,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for written intermediate tables."""
     base = checkpoint_dir(spark)
     return os.path.join(base, "tables", name)
+
+
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``ledgerlens`` importable in Python workers (pandas UDFs pickle
+    functions by module reference).  The package is zipped once and handed to
+    ``SparkContext.addPyFile``, which distributes it to every executor."""
+    sc = spark.sparkContext
+    key = id(sc._jsc)
+    if key in _SHIPPED:
+        return
+    import shutil
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    base = tempfile.mkdtemp(prefix="ledgerlens-pkg-")
+    archive = shutil.make_archive(os.path.join(base, "ledgerlens"), "zip",
+                                  root_dir=os.path.dirname(pkg_dir), base_dir="ledgerlens")
+    sc.addPyFile(archive)
+    _SHIPPED.add(key)
