@@ -12,7 +12,7 @@ R = 6  # rounding digits in the oracle, equal to registry.DIGITS
 
 
 def r(expr: str) -> str:
-    return f"round({expr}, {R})"
+    return f"(round({expr}, {R}) + 0.0)"
 
 
 _RISK_T = """t AS (SELECT entity_name, max(audit_flag) AS ever_flagged, CAST(sum(audit_flag) AS BIGINT) AS total_flags,

@@ -24,4 +24,5 @@ def count_present(col: str, words) -> str:
 
 
 def r(expr: str, digits: int = 6) -> str:
-    return f"round({expr}, {digits})"
+    """Rounded double; ``+ 0.0`` turns a rounded negative zero into 0.0."""
+    return f"(round({expr}, {digits}) + 0.0)"
