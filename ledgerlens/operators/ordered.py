@@ -184,17 +184,29 @@ def percentile_rank(df: DataFrame, col: str, out: str | None = None) -> DataFram
 
 def percentile_ranks(df: DataFrame, cols: Sequence[str] | None = None, min_distinct: int = 10,
                      exclude: Sequence[str] = ("year", "audit_flag")) -> DataFrame:
-    """WIN-6 over every numeric column with more than ``min_distinct`` values
-    (the distinct counts for all columns come from one batched aggregation)."""
+    """WIN-6 over every numeric column with more than ``min_distinct`` values.
+
+    The distinct counts of all columns come from one aggregation; the input
+    is checkpointed once so every column's rank table derives from the same
+    short lineage and the plan grows linearly with the number of columns."""
     from ledgerlens.functions.exprs import numeric_columns
+    from ledgerlens.session import checkpoint_dir
     cand = [c for c in (cols or numeric_columns(df)) if c not in exclude]
     if not cand:
         return df
     nd = df.agg(*[F.count_distinct(c).alias(c) for c in cand]).first()
-    out = df
-    for c in cand:
-        if nd[c] > min_distinct:
-            out = percentile_rank(out, c)
+    use = [c for c in cand if nd[c] > min_distinct]
+    if not use:
+        return df
+    checkpoint_dir(df.sparkSession)
+    base = df.checkpoint()
+    out = base
+    for c in use:
+        vc = base.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_c"))
+        n = vc.agg(F.sum("_c").alias("n")).scalar()
+        pr = prefix_sums(vc, [c], ["_c"]).select(
+            F.col(c).alias(f"_v_{c}"), ((F.col("_c_below") + (F.col("_c") + 1) / 2.0) / n).alias(f"{c}_percentile"))
+        out = out.join(pr, out[c] == pr[f"_v_{c}"], "left").drop(f"_v_{c}")
     return out
 
 

@@ -4,6 +4,6 @@
 def load_catalog():
     """Import every query module so its ``@register`` calls run."""
     from ledgerlens.plans import (agg_queries, clean_queries, eval_queries, feature_queries,  # noqa: F401
-                                  fuzzy_queries, ml_queries, text_queries)
+                                  fuzzy_queries, io_queries, ml_queries, text_queries)
     from ledgerlens.plans.registry import ORACLE, QUERIES
     return QUERIES, ORACLE

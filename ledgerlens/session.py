@@ -36,6 +36,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     b = SparkSession.builder.appName(app_name)
     if master:
         b = b.master(master)
+        if master.startswith("local"):
+            b = b.config("spark.driver.memory", os.environ.get("LEDGERLENS_DRIVER_MEMORY", "12g"))
     for k, v in _DEFAULT_CONF.items():
         b = b.config(k, v)
     if shuffle_partitions:
