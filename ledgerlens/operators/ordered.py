@@ -51,6 +51,13 @@ def prefix_sums(df: DataFrame, order: Sequence[str], weights: Sequence[str],
     keys = list(partition) + list(order)
     spark = df.sparkSession
     B = n_buckets or _default_buckets(df)
+    # The input is read several times (count, boundary sample, bucket totals,
+    # the windowed pass): an eager checkpoint into the shared checkpoint
+    # folder computes it once and cuts its lineage (executor loss re-reads
+    # the files instead of recomputing upstream joins).
+    from ledgerlens.session import checkpoint_dir
+    checkpoint_dir(spark)
+    df = df.checkpoint()
     n = df.count()
     if n == 0:
         return df.select("*", *[F.lit(0).cast("double").alias(w + suffix) for w in weights])
