@@ -181,16 +181,16 @@ def completeness(df: DataFrame) -> DataFrame:
 
 
 def describe_numeric(df: DataFrame, col: str) -> DataFrame:
-    """AGG-12: count, mean, std, min, quartiles (linear), max, and the count above
-    Q3 + 1.5 IQR (the quartiles enter the second pass as a scalar subquery)."""
-    st = df.agg(F.count(col).alias("count"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"),
-                F.min(col).alias("min"), F.percentile(col, [0.25, 0.5, 0.75]).alias("q"),
-                F.max(col).alias("max"))
-    thr = df.agg((F.percentile(col, 0.75) + 1.5 * (F.percentile(col, 0.75) - F.percentile(col, 0.25)))
-                 .alias("t")).scalar()
-    outl = df.agg(F.count(F.when(F.col(col) > thr, 1)).alias("o")).scalar()
-    return st.select("count", "mean", "std", "min", F.col("q")[0].alias("q25"), F.col("q")[1].alias("median"),
-                     F.col("q")[2].alias("q75"), "max", outl.alias("outliers"))
+    """AGG-12: count, mean, std, min, quartiles (exact linear, from PFX order
+    statistics), max, and the count above Q3 + 1.5 IQR."""
+    from ledgerlens.operators.ordered import exact_quantiles
+    q25, q50, q75 = exact_quantiles(df, col, [0.25, 0.5, 0.75])
+    thr = (q75 + 1.5 * (q75 - q25)) if q25 is not None else None
+    return df.agg(F.count(col).alias("count"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"),
+                  F.min(col).alias("min"), F.lit(q25).cast("double").alias("q25"),
+                  F.lit(q50).cast("double").alias("median"), F.lit(q75).cast("double").alias("q75"),
+                  F.max(col).alias("max"),
+                  F.count(F.when(F.col(col) > F.lit(thr), 1)).alias("outliers"))
 
 
 def entity_flag_rate_stats(df: DataFrame, flag_col: str = "audit_flag") -> DataFrame:
@@ -280,9 +280,9 @@ def findings_summary(df: DataFrame, flag_col: str = "audit_flag") -> DataFrame:
         F.coalesce(F.sum("evidence_count"), F.lit(0)).alias("evidence_total"),
         F.count_distinct(F.when(has_issue, F.col(ENTITY))).alias("entities_with_issues"),
         (F.count(F.when(F.col("irregularity_score") > 0, 1)) / F.count(F.lit(1)) * 100).alias("keyword_match_rate"),
-        F.mode("severity", deterministic=True).alias("modal_severity"),
     )
-    return g
+    from ledgerlens.operators.ordered import mode_value
+    return g.withColumn("modal_severity", F.lit(mode_value(df, "severity")).cast("string"))
 
 
 def issue_categories(df: DataFrame, issues_col: str = "detected_issues") -> DataFrame:

@@ -23,11 +23,16 @@ def _finite(c):
 
 
 def fit_medians(df: DataFrame, cols: Sequence[str]) -> dict:
-    """CLN-1 fit: exact linear medians of all columns in one aggregation."""
+    """CLN-1 fit: exact linear medians (PFX order statistics, no single-task
+    percentile buffer)."""
+    from ledgerlens.operators.ordered import exact_quantiles_multi
     if not cols:
         return {}
-    row = df.agg(*[F.percentile(_finite(c), 0.5).alias(c) for c in cols]).first()
-    return {c: row[c] for c in cols}
+    d = df.select(*[_finite(c).alias(c) for c in cols])
+    if len(cols) == 1:
+        from ledgerlens.operators.ordered import exact_quantiles
+        return {cols[0]: exact_quantiles(d, cols[0], [0.5])[0]}
+    return {c: v[0] for c, v in exact_quantiles_multi(d, cols, [0.5]).items()}
 
 
 def impute_median(df: DataFrame, cols: Sequence[str] | None = None, medians: dict | None = None) -> DataFrame:
@@ -44,11 +49,10 @@ def impute_median(df: DataFrame, cols: Sequence[str] | None = None, medians: dic
 
 
 def fit_modes(df: DataFrame, cols: Sequence[str]) -> dict:
-    """CLN-2 fit: most frequent value per column, lowest on ties."""
-    if not cols:
-        return {}
-    row = df.agg(*[F.mode(c, deterministic=True).alias(c) for c in cols]).first()
-    return {c: row[c] for c in cols}
+    """CLN-2 fit: most frequent value per column, lowest on ties (two-level
+    aggregation: counts per value, then the arg-max)."""
+    from ledgerlens.operators.ordered import mode_value
+    return {c: mode_value(df, c) for c in cols}
 
 
 def impute_mode(df: DataFrame, cols: Sequence[str] | None = None, modes: dict | None = None) -> DataFrame:
@@ -87,9 +91,10 @@ def flag_outliers(df: DataFrame, cols: Sequence[str] | None = None, method: str
         return df
     new = {}
     if method == "iqr":
-        row = df.agg(*[F.percentile(c, [0.25, 0.75]).alias(c) for c in use]).first()
+        from ledgerlens.operators.ordered import exact_quantiles_multi
+        quart = exact_quantiles_multi(df, use, [0.25, 0.75])
         for c in use:
-            q1, q3 = row[c]
+            q1, q3 = quart[c]
             iqr = q3 - q1
             new[f"{c}_outlier"] = flag((F.col(c) < q1 - 1.5 * iqr) | (F.col(c) > q3 + 1.5 * iqr))
     elif method == "zscore":

@@ -100,10 +100,11 @@ def precision_at_pct(df: DataFrame, ks: Sequence[float] = (0.05, 0.1, 0.2), y: s
                      score: str = "score") -> DataFrame:
     """EVL-5: threshold = linear percentile at 1-k; precision among rows with
     score >= threshold (ties included), 0 if none."""
-    qs = df.agg(F.percentile(score, [1 - k for k in ks]).alias("q")).scalar()
+    from ledgerlens.operators.ordered import exact_quantiles
+    qs = exact_quantiles(df, score, [1 - k for k in ks])
     aggs = []
     for i, k in enumerate(ks):
-        sel = F.col(score) >= qs[i]
+        sel = F.col(score) >= F.lit(qs[i])
         aggs.append(F.coalesce(F.try_divide(F.sum(F.when(sel, F.col(y))).cast("double"),
                                             F.count(F.when(sel, 1)).cast("double")), F.lit(0.0))
                     .alias(f"precision_at_{int(round(k * 100))}pct"))

@@ -101,12 +101,15 @@ def risk_flags(df: DataFrame) -> DataFrame:
 
 
 def size_risk(df: DataFrame, lo: float = 0.1, hi: float = 0.9, col: str = "total_assets") -> DataFrame:
-    """FEA-7: size risk when assets are below P10 or above P90 (linear
-    percentiles, computed once as a scalar subquery and inlined)."""
+    """FEA-7: size risk when assets are below P10 or above P90 (exact linear
+    percentiles from PFX order statistics, inlined as literals)."""
     if col not in df.columns:
         return df
-    q = df.agg(F.percentile(col, [lo, hi]).alias("q")).scalar()
+    from ledgerlens.operators.ordered import exact_quantiles
+    q = exact_quantiles(df, col, [lo, hi])
     c = F.col(col)
+    if q[0] is None:
+        return df.withColumn("size_risk", F.lit(0))
     return df.withColumn("size_risk", flag((c < q[0]) | (c > q[1])))
 
 

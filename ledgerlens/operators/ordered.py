@@ -283,3 +283,98 @@ def waterfall(contrib: DataFrame, instance: str = "row_id", feature: str = "feat
 def distinct_sorted_set(df: DataFrame, group: Sequence[str], col: str, out: str | None = None) -> DataFrame:
     """SET-1: sorted distinct values per group (``array_sort(collect_set)``)."""
     return df.groupBy(*group).agg(F.array_sort(F.collect_set(col)).alias(out or f"{col}_set"))
+
+
+# ---------------------------------------------------------------------------
+# Exact quantiles and modes without a single-task global aggregate
+# ---------------------------------------------------------------------------
+
+def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float]) -> list:
+    """Exact linear-interpolated quantiles (numpy / pandas 'linear',
+    DuckDB ``quantile_cont``).
+
+    Spark's exact ``percentile`` merges every distinct value of a global
+    group in one task; here the values are counted (map-side combined),
+    ranked by PFX, and only the <= 2 * len(qs) rows holding the needed
+    order statistics reach the driver."""
+    vc = df.filter(F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double"))) \
+        .groupBy(F.col(col).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    pf = prefix_sums(vc, ["_v"], ["_c"])
+    n = int(pf.agg(F.sum("_c").alias("n")).first()["n"] or 0)
+    if n == 0:
+        return [None for _ in qs]
+    ranks = sorted({int(k) for q in qs for k in (int((n - 1) * q), min(n - 1, int((n - 1) * q) + 1))})
+    hit = None
+    for k in ranks:
+        c = (F.col("_c_below") <= k) & (F.lit(k) < F.col("_c_below") + F.col("_c"))
+        hit = c if hit is None else (hit | c)
+    rows = pf.filter(hit).select("_v", "_c_below", "_c").collect()
+
+    def at(k):
+        for r in rows:
+            if r["_c_below"] <= k < r["_c_below"] + r["_c"]:
+                return r["_v"]
+        raise RuntimeError("order statistic not found")
+    out = []
+    for q in qs:
+        h = (n - 1) * q
+        lo = int(h)
+        hi = min(n - 1, lo + 1)
+        vlo, vhi = at(lo), at(hi)
+        out.append(vlo + (h - lo) * (vhi - vlo))
+    return out
+
+
+def mode_value(df: DataFrame, col: str):
+    """Most frequent non-null value, lowest on ties: counts per value
+    (map-side combined), then one ``min_by`` over the counts."""
+    vc = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_c"))
+    r = vc.agg(F.min_by(col, F.struct(-F.col("_c"), F.col(col))).alias("m")).first()
+    return r["m"]
+
+
+def exact_quantiles_multi(df: DataFrame, cols: Sequence[str], qs: Sequence[float]) -> dict:
+    """``exact_quantiles`` for many columns in one pass: the columns are
+    unpivoted to (feature, value), counted, and ranked by one PFX
+    partitioned by feature.  Returns {col: [quantile per q]}."""
+    cols = list(cols)
+    if not cols:
+        return {}
+    lon = (df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+           .unpivot([], cols, "_f", "_v").filter(F.col("_v").isNotNull() & ~F.isnan("_v")))
+    vc = lon.groupBy("_f", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    pf = prefix_sums(vc, ["_v"], ["_c"], partition=["_f"])
+    ns = {r["_f"]: int(r["n"]) for r in pf.groupBy("_f").agg(F.sum("_c").alias("n")).collect()}
+    need = {}
+    cond = None
+    for c in cols:
+        n = ns.get(c, 0)
+        if n == 0:
+            continue
+        ks = sorted({k for q in qs for k in (int((n - 1) * q), min(n - 1, int((n - 1) * q) + 1))})
+        need[c] = ks
+        for k in ks:
+            t = (F.col("_f") == c) & (F.col("_c_below") <= k) & (F.lit(k) < F.col("_c_below") + F.col("_c"))
+            cond = t if cond is None else (cond | t)
+    rows = pf.filter(cond).select("_f", "_v", "_c_below", "_c").collect() if cond is not None else []
+    out = {}
+    for c in cols:
+        n = ns.get(c, 0)
+        if n == 0:
+            out[c] = [None for _ in qs]
+            continue
+        mine = [r for r in rows if r["_f"] == c]
+
+        def at(k, mine=mine):
+            for r in mine:
+                if r["_c_below"] <= k < r["_c_below"] + r["_c"]:
+                    return r["_v"]
+            raise RuntimeError("order statistic not found")
+        vals = []
+        for q in qs:
+            h = (n - 1) * q
+            lo = int(h)
+            hi = min(n - 1, lo + 1)
+            vals.append(at(lo) + (h - lo) * (at(hi) - at(lo)))
+        out[c] = vals
+    return out
