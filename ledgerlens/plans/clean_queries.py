@@ -106,6 +106,12 @@ _NUM = ["year", "revenue", "expenditure", "total_assets", "total_liabilities", "
         "contract_count", "single_source_contracts", "employee_count", "audit_flag"]
 
 
+@register("ing_validate_required", with_(EY) + "SELECT count(*) AS rows FROM ey")
+def q_validate_required(spark, sf):
+    """ING-6: validation (entity column present, table non-empty), then the row count."""
+    return IN.validate_required(fx.entity_year(spark, sf)).agg(F.count(F.lit(1)).alias("rows"))
+
+
 @register("ing_dataset_profile", with_(EY) + " UNION ALL ".join(
     f"SELECT '{c}' AS column_name, '{'numeric' if c in _NUM else 'categorical'}' AS column_class, "
     f"count(*) - count({c}) AS null_count FROM ey" for c in _EYC))
@@ -239,6 +245,15 @@ def q_preprocess(spark, sf):
 
 # ---- JON -----------------------------------------------------------------------
 
+@register("fn_timestamp_display", with_(USR) + """SELECT id, strftime(created_at, '%Y-%m-%d %H:%M') AS created_at,
+  coalesce(strftime(last_login, '%Y-%m-%d %H:%M'), 'Never') AS last_login FROM usr""")
+def q_timestamp_display(spark, sf):
+    """FN-14: timestamp display, 'Never' for accounts without a login."""
+    u = fx.users(spark, sf)
+    return u.select("id", F.date_format("created_at", "yyyy-MM-dd HH:mm").alias("created_at"),
+                    F.coalesce(F.date_format("last_login", "yyyy-MM-dd HH:mm"), F.lit("Never")).alias("last_login"))
+
+
 @register("jon_recent_predictions", with_(PRED, USR) + """, top AS (SELECT * FROM pred WHERE entity_name = 'Entity 7'
   ORDER BY created_at DESC, id DESC LIMIT 100)
 SELECT top.id, top.entity_name, top.created_at, round(top.risk_score, 6) AS risk_score, usr.username AS created_by_username
@@ -368,7 +383,7 @@ SELECT ov.entity_name, ov.records, ov.years, {r('ov.total_expenditure')} AS tota
    FROM (SELECT year, sum(audit_flag) AS sum_f FROM eyx e2 WHERE e2.entity_name = ov.entity_name GROUP BY year) z) AS yearly
 FROM ov JOIN k ON ov.entity_name = k.entity_name""")
 def q_entity_report(spark, sf):
-    """MLT-8: batch entity report dataset (overview, risk, recommendations, yearly)."""
+    """MLT-8 / FN-11: batch entity report dataset (overview, risk, additional recommendations, yearly)."""
     rep = RK.entity_report_dataset(fx.entity_year_ext(spark, sf))
     yearly = F.array_join(F.transform("yearly", lambda x: F.concat(x["year"].cast("string"), F.lit(":"),
                                                                     x["flags"].cast("string"))), ",")

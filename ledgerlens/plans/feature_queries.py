@@ -313,6 +313,19 @@ def q_kpi_health(spark, sf):
     return k.select("entity_name", *[c for c in k.columns if c.endswith("_status")])
 
 
+@register("fea_resolve_columns", with_(EYX) + f"""SELECT entity_name, year, {r('total_revenue')} AS revenue_used,
+  {r('total_expenditure')} AS expenditure_used, audit_flag AS flag_used FROM eyx""")
+def q_resolve_columns(spark, sf):
+    """FEA-11: column fallback resolution (total_revenue -> revenue -> operational_revenue, ...)."""
+    from ledgerlens.functions.exprs import resolve_column
+    d = fx.entity_year_ext(spark, sf)
+    rev = resolve_column(d, FE.REVENUE_CANDIDATES)
+    exp = resolve_column(d, FE.EXPENDITURE_CANDIDATES)
+    flg = resolve_column(d, FE.FLAG_CANDIDATES)
+    return d.select(*KEY, F.col(rev).alias("revenue_used"), F.col(exp).alias("expenditure_used"),
+                    F.col(flg).alias("flag_used"))
+
+
 @register("fea_align_features", with_(EY) + """SELECT entity_name, year, coalesce(cash, 0) AS cash,
   CAST(0 AS DOUBLE) AS missing_feature, coalesce(revenue, 0) AS revenue FROM ey""")
 def q_align_features(spark, sf):
@@ -423,14 +436,14 @@ def q_rank_entities(spark, sf):
 @register("win_top10_highest", _RANK_SQL + """ SELECT entity_name, round(risk_score, 6) AS risk_score, risk_rank FROM rk
 ORDER BY risk_score DESC, entity_name LIMIT 10""")
 def q_top10_highest(spark, sf):
-    """WIN-7: ten highest-risk entities."""
+    """WIN-7 / TOP-1: ten highest-risk entities (orderBy + limit = TakeOrderedAndProject)."""
     return OR.top_k(_ranked(spark, sf), 10, F.desc("risk_score"), F.asc("entity_name"))
 
 
 @register("win_top10_lowest", _RANK_SQL + """ SELECT entity_name, round(risk_score, 6) AS risk_score, risk_rank FROM rk
 ORDER BY risk_score ASC, entity_name DESC LIMIT 10""")
 def q_top10_lowest(spark, sf):
-    """WIN-7: ten lowest-risk entities."""
+    """WIN-7 / TOP-1: ten lowest-risk entities."""
     return OR.top_k(_ranked(spark, sf), 10, F.asc("risk_score"), F.desc("entity_name"))
 
 

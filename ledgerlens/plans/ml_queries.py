@@ -148,6 +148,18 @@ def _train(spark, sf, names=None):
     return d, feats, _FITTED[k]
 
 
+@register("fea_feature_vectors")
+def q_feature_vectors(spark, sf):
+    """FEA-12: numeric features minus id/label/leak columns, assembled into a
+    vector per entity-year (rows-only: feature count and vector size)."""
+    d = model_frame(spark, sf)
+    feats = feature_target_split(d)
+    v = ML.assemble(d, feats)
+    from pyspark.ml.functions import vector_to_array
+    return v.select(*KEY, F.lit(len(feats)).alias("n_features"),
+                    F.size(vector_to_array("features")).alias("vector_size"))
+
+
 @register("mlt_train_models")
 def q_train_models(spark, sf):
     """MLT-2..5: logistic regression, random forest and two boosted models on
