@@ -1,0 +1,7 @@
+"""Streaming operators.
+
+The reference has no streaming operators (no watermarks, windows over event
+time or stateful stream processing), so nothing is built here.  Every batch
+operator in ``ledgerlens.operators`` is a plain DataFrame -> DataFrame
+function and can be applied to a streaming DataFrame where Spark allows it.
+"""
