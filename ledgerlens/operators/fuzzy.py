@@ -101,10 +101,16 @@ def _prefix_candidates(names: DataFrame, q: int, threshold: int, need_expr) -> D
     n_tok = F.greatest(F.col("L") - q + 1, F.lit(0))
     t = t.withColumn("need", F.greatest(need, F.lit(1))).withColumn("plen", n_tok - F.col("need") + 1)
     w = Window.partitionBy("nid").orderBy("freq", "tok")
-    pre = t.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= F.col("plen")).select("nid", "tok")
-    a = pre.select(F.col("nid").alias("a"), "tok")
-    b = pre.select(F.col("nid").alias("b"), "tok")
-    return a.join(b, "tok").filter(F.col("a") < F.col("b")).select("a", "b").distinct()
+    pre = (t.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= F.col("plen"))
+           .select("nid", "L", "tok"))
+    a = pre.select(F.col("nid").alias("a"), F.col("L").alias("La"), "tok")
+    b = pre.select(F.col("nid").alias("b"), F.col("L").alias("Lb"), "tok")
+    r = (threshold - 0.5) / 100.0
+    j = a.join(b, "tok").filter((F.col("a") < F.col("b"))
+                                & (2 * F.least("La", "Lb") >= F.lit(r) * (F.col("La") + F.col("Lb")) - F.lit(1e-9)))
+    # a pair sharing several prefix tokens appears once per token: the
+    # distinct is map-side combined before its shuffle.
+    return j.select("a", "b").distinct()
 
 
 def _short_names(names: DataFrame, threshold: int) -> DataFrame:

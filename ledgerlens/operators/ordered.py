@@ -146,12 +146,13 @@ def lag_features(df: DataFrame, cols: Sequence[str] = LAG_COLUMNS, entity: str =
 
 def volatility(df: DataFrame, entity: str = "entity_name") -> DataFrame:
     """WIN-2: per-entity sample std of each true % change column (quirk Q15:
-    only columns ending in ``_yoy_pct_change``)."""
+    only columns ending in ``_yoy_pct_change``).  A partial aggregation per
+    entity joined back (AQE splits a hot entity's join partition)."""
     cols = [c for c in df.columns if c.endswith("_yoy_pct_change")]
     if not cols:
         return df
-    w = Window.partitionBy(entity)
-    return df.withColumns({f"{c}_volatility": F.stddev_samp(c).over(w) for c in cols})
+    g = df.groupBy(entity).agg(*[F.stddev_samp(c).alias(f"{c}_volatility") for c in cols])
+    return df.join(g, entity, "left")
 
 
 def zscore_within_group(df: DataFrame, cols: Sequence[str] = ("revenue", "expenditure", "total_assets"),
@@ -220,15 +221,19 @@ def percentile_ranks(df: DataFrame, cols: Sequence[str] | None = None, min_disti
 def latest_vs_previous(df: DataFrame, cols: Sequence[str], entity: str = "entity_name",
                        order: str = "year") -> DataFrame:
     """WIN-4: latest row per entity and its % change against the previous row
-    ((latest - prev) / (prev + 1e-6) * 100; 0 with a single row)."""
-    w = Window.partitionBy(entity).orderBy(F.desc(order))
-    t = df.select(entity, order, *cols, F.row_number().over(w).alias("_rn"),
-                  *[F.lead(c).over(w).alias(f"_p_{c}") for c in cols],
-                  F.count(F.lit(1)).over(Window.partitionBy(entity)).alias("_cnt"))
-    t = t.filter(F.col("_rn") == 1)
-    new = [F.when(F.col("_cnt") > 1, F.try_divide(F.col(c) - F.col(f"_p_{c}"), F.col(f"_p_{c}") + 1e-6) * 100)
+    ((latest - prev) / (prev + 1e-6) * 100; 0 with a single row).
+
+    Two partial aggregations (``max_by`` latest, then ``max_by`` over the
+    rows before it) instead of sorting each entity's rows in one task."""
+    st = F.struct(*[F.col(c).alias(c) for c in cols])
+    last = df.groupBy(entity).agg(F.max(order).alias("_ly"), F.max_by(st, order).alias("_l"),
+                                  F.count(F.lit(1)).alias("_cnt"))
+    prev = (df.join(last.select(entity, "_ly"), entity).filter(F.col(order) < F.col("_ly"))
+            .groupBy(entity).agg(F.max_by(st, order).alias("_p")))
+    j = last.join(prev, entity, "left")
+    new = [F.when(F.col("_cnt") > 1, F.try_divide(F.col(f"_l.{c}") - F.col(f"_p.{c}"), F.col(f"_p.{c}") + 1e-6) * 100)
            .otherwise(F.lit(0.0)).alias(f"{c}_change_pct") for c in cols]
-    return t.select(entity, order, *cols, *new)
+    return j.select(entity, F.col("_ly").alias(order), *[F.col(f"_l.{c}").alias(c) for c in cols], *new)
 
 
 def rank_entities(scores: DataFrame, score: str = "risk_score", entity: str = "entity_name") -> DataFrame:

@@ -137,8 +137,22 @@ def entity_mentions(sents: DataFrame, entities: DataFrame, name_col: str = "enti
     tok_word = (key_gram.join(vgrams, "gram").filter(F.col("token").contains(F.col("word")))
                 .select("token", "word").distinct())
     sent_word = toks.join(tok_word, "token").select(key, "sentence_index", "word").distinct()
-    hits = (sent_word.join(words, "word")
-            .groupBy(key, "sentence_index", "entity").agg(F.count(F.lit(1)).alias("hits")))
+    # Probe with each entity's rarest words only: a direct match needs all k
+    # words, a fuzzy match at least m = ceil(ratio * k), so every match
+    # contains one of the entity's (k - m + 1) rarest words (prefix
+    # filtering).  Common words never fan out to all their sentences x all
+    # entities sharing them; candidates are then counted over all words.
+    wfreq = sent_word.groupBy("word").agg(F.count(F.lit(1)).alias("wf"))
+    wk = words.join(nwords.select("entity", "k"), "entity").join(wfreq, "word", "left") \
+        .withColumn("wf", F.coalesce("wf", F.lit(0)))
+    m = F.when(F.col("k") > 1, F.ceil(F.col("k") * F.lit(ratio) - F.lit(1e-9))).otherwise(F.col("k"))
+    wrank = Window.partitionBy("entity").orderBy("wf", "word", "wpos")
+    probe = (wk.withColumn("_r", F.row_number().over(wrank)).filter(F.col("_r") <= F.col("k") - m + 1)
+             .select("entity", "word"))
+    cand_pairs = sent_word.join(probe, "word").select(key, "sentence_index", "entity").distinct()
+    allw = cand_pairs.join(words.select("entity", "word", "wpos"), "entity")
+    hits = (allw.join(sent_word.withColumn("_hit", F.lit(1)), [key, "sentence_index", "word"], "left")
+            .groupBy(key, "sentence_index", "entity").agg(F.count("_hit").alias("hits")))
     cand = hits.join(nwords, "entity")
     cand = cand.join(sents.select(key, "sentence_index", "sentence"), [key, "sentence_index"])
     direct = (F.col("hits") == F.col("k")) & F.col("sentence").contains(F.col("clean"))
@@ -320,8 +334,7 @@ def doc_terms(docs: DataFrame, key: str = "doc_id", text: str = "text", ngram: t
     toks = F.regexp_extract_all(t, F.lit(r"(?U)[\p{L}\p{N}_]{2,}"), 0)
     d = docs.select(key, toks.alias("_tok"))
     if sw:
-        swa = F.array(*[F.lit(w) for w in sw])
-        d = d.select(key, F.filter("_tok", lambda x: ~F.array_contains(swa, x)).alias("_tok"))
+        d = d.select(key, F.filter("_tok", lambda x: ~x.isin(sw)).alias("_tok"))
     grams = []
     for n in range(ngram[0], ngram[1] + 1):
         size = F.size("_tok")
