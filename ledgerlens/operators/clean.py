@@ -67,7 +67,7 @@ def entity_name_features(df: DataFrame, col: str = "entity_name", flags=rules.NA
     """CLN-4: name length and six keyword flags (substring semantics)."""
     if col not in df.columns:
         return df
-    new = {"entity_name_length": F.length(col)}
+    new = {"entity_name_length": F.length(col).cast("long")}
     for name, words in flags:
         new[name] = contains_any(col, words).cast("int")
     return df.withColumns(new)

@@ -55,7 +55,7 @@ def drilldown(attr: DataFrame, key: Sequence[str], top_n: int = 20, col: str = "
     w = Window.partitionBy(*key)
     ranked = Window.partitionBy(*key).orderBy(F.desc(F.abs(col)), F.asc("feature"))
     d = attr.withColumn("prediction", F.col("expected_value") + F.sum(col).over(w))
-    d = d.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= top_n)
+    d = d.withColumn("rank", F.row_number().over(ranked).cast("long")).filter(F.col("rank") <= top_n)
     return d.select(*key, "rank", "feature", "value", col,
                     F.when(F.col(col) >= 0, "increases").otherwise("decreases").alias("direction"),
                     "expected_value", "prediction")
@@ -65,7 +65,7 @@ def summary_long(attr: DataFrame, key: Sequence[str], col: str = "attribution")
     """EXP-6: long (row, feature, attribution, value, global rank of the feature)."""
     gi = global_importance(attr, None, col)
     rk = gi.withColumn("feature_rank", F.row_number().over(Window.orderBy(F.desc("mean_abs_attribution"),
-                                                                          F.asc("feature"))))
+                                                                          F.asc("feature"))).cast("long"))
     # one row per feature: a bounded broadcast
     return attr.join(F.broadcast(rk.select("feature", "feature_rank")), "feature").select(
         *key, "feature", col, "value", "feature_rank")

@@ -116,7 +116,8 @@ def peer_comparison(df: DataFrame, type_col: str = "inferred_type", exp_col: str
           .filter(F.col("peer") != F.col(entity)))
     pairs = same.unionByName(fb)
     w2 = Window.partitionBy(entity).orderBy("_ord")
-    pairs = pairs.withColumn("peer_rank", F.row_number().over(w2)).filter(F.col("peer_rank") <= cap).drop("_ord")
+    pairs = (pairs.withColumn("peer_rank", F.row_number().over(w2).cast("long"))
+             .filter(F.col("peer_rank") <= cap).drop("_ord"))
     metrics = ent.select(F.col(entity).alias("peer"), F.col(type_col).alias("peer_type"), "revenue", "expenditure",
                          "assets", "audit_flags", "audit_rate", "years_active")
     return pairs.join(metrics, "peer")

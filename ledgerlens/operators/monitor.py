@@ -135,4 +135,4 @@ def case_events(df: DataFrame, action: str, ts, case_cols: Sequence[str] = ("ent
     """CAS-1: turn selected rows into workflow events (reviewed / investigating / resolved)."""
     status = {"review": "reviewed", "investigate": "investigating", "resolve": "resolved"}[action]
     return df.select(F.concat_ws("|", *[F.col(c).cast("string") for c in case_cols]).alias("case_id"),
-                     F.lit(status).alias("status"), F.lit(ts).cast("timestamp").alias("ts"))
+                     F.lit(status).alias("status"), F.lit(ts).cast("timestamp_ntz").alias("ts"))

@@ -252,7 +252,7 @@ def top_k(df: DataFrame, k: int, *order: Column) -> DataFrame:
 def top_k_per_group(df: DataFrame, k: int, group: Sequence[str], *order: Column, rank_col: str = "rank") -> DataFrame:
     """TOP-2: ``row_number`` inside each group, keep <= k."""
     w = Window.partitionBy(*group).orderBy(*order)
-    return df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= k)
+    return df.withColumn(rank_col, F.row_number().over(w).cast("long")).filter(F.col(rank_col) <= k)
 
 
 def time_split(df: DataFrame, test_size: float = 0.2, order: Sequence[str] = ("year", "entity_name"),
@@ -280,7 +280,7 @@ def waterfall(contrib: DataFrame, instance: str = "row_id", feature: str = "feat
     """WIN-11: per instance, contributions by |value| desc (ties by feature),
     top 15, and the running total starting from the expected value."""
     w = Window.partitionBy(instance).orderBy(F.desc(F.abs(F.col(value))), F.asc(feature))
-    t = contrib.withColumn("step", F.row_number().over(w)).filter(F.col("step") <= top)
+    t = contrib.withColumn("step", F.row_number().over(w).cast("long")).filter(F.col("step") <= top)
     run = Window.partitionBy(instance).orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
     return t.withColumn("running_total", F.col(expected) + F.sum(value).over(run))
 

@@ -53,7 +53,7 @@ def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text", min_len:
     """FN-3: split on ``[.!?]+``, keep the original index, trim, drop short."""
     t = F.col(text) if normalized else normalize_report_text(F.col(text))
     s = docs.select(key, F.posexplode(F.split(t, "[.!?]+", -1)).alias("sentence_index", "sentence"))
-    s = s.withColumn("sentence", F.trim("sentence"))
+    s = s.withColumn("sentence", F.trim("sentence")).withColumn("sentence_index", F.col("sentence_index").cast("long"))
     return s.filter(F.length("sentence") >= min_len)
 
 
@@ -376,7 +376,8 @@ def corpus_summary(docs: DataFrame, mentions: DataFrame, labels: DataFrame, key:
     per = ml.groupBy(key).agg(F.count(F.lit(1)).alias("entities_mentioned"),
                               F.count(F.when(F.col("irregularity_score") > 0, 1)).alias("entities_with_irregularities"),
                               F.coalesce(F.sum("irregularity_score"), F.lit(0)).alias("total_irregularity_score"))
-    d = docs.select(key, F.length(text).alias("text_length"), F.substring(text, 1, sample_chars).alias("sample_text"))
+    d = docs.select(key, F.length(text).cast("long").alias("text_length"),
+                    F.substring(text, 1, sample_chars).alias("sample_text"))
     j = d.join(per, key, "left")
     return j.select(key, "text_length", F.coalesce("entities_mentioned", F.lit(0)).alias("entities_mentioned"),
                     F.coalesce("entities_with_irregularities", F.lit(0)).alias("entities_with_irregularities"),

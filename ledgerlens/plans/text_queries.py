@@ -172,17 +172,17 @@ def _cnt(tok):
     return f"len(regexp_extract_all(t, '{tok}'))"
 
 
-DOMAIN_SQL = f"""dm AS (SELECT doc_id, {S.count_present('t', _DOM['financial'])} AS domain_financial_score,
-  {S.count_present('t', _DOM['procedural'])} AS domain_procedural_score,
-  {S.count_present('t', _DOM['recovery'])} AS domain_recovery_score,
-  {S.count_present('t', _DOM['asset'])} AS domain_asset_score,
+DOMAIN_SQL = f"""dm AS (SELECT doc_id, CAST({S.count_present('t', _DOM['financial'])} AS BIGINT) AS domain_financial_score,
+  CAST({S.count_present('t', _DOM['procedural'])} AS BIGINT) AS domain_procedural_score,
+  CAST({S.count_present('t', _DOM['recovery'])} AS BIGINT) AS domain_recovery_score,
+  CAST({S.count_present('t', _DOM['asset'])} AS BIGINT) AS domain_asset_score,
   length(t) AS domain_text_length, len({_WORDS}) AS domain_word_count,
   len(list_filter(string_split(t, '.'), lambda s: trim(s) <> '')) AS domain_sentence_count,
   CASE WHEN len({_WORDS}) > 0 THEN list_avg(list_transform({_WORDS}, lambda w: length(w))) ELSE 0.0 END AS domain_avg_word_length,
   {_cnt('currency_amount')} + {_cnt('dollar_amount')} AS domain_currency_mentions, {_cnt('numeric_value')} AS domain_numeric_mentions,
   {_cnt('percentage_value')} AS domain_percentage_mentions, {_cnt('date_value')} AS domain_date_mentions,
-  {S.count_present('t', _DOM['high_severity'])} AS domain_high_severity_score,
-  {S.count_present('t', _DOM['medium_severity'])} AS domain_medium_severity_score FROM fe)"""
+  CAST({S.count_present('t', _DOM['high_severity'])} AS BIGINT) AS domain_high_severity_score,
+  CAST({S.count_present('t', _DOM['medium_severity'])} AS BIGINT) AS domain_medium_severity_score FROM fe)"""
 
 
 @register("txt_domain_features", with_(DOCS, FE_SQL, DOMAIN_SQL) + f"""SELECT doc_id, domain_financial_score,
@@ -190,8 +190,8 @@ DOMAIN_SQL = f"""dm AS (SELECT doc_id, {S.count_present('t', _DOM['financial'])}
   domain_sentence_count, {r('domain_avg_word_length')} AS domain_avg_word_length, domain_currency_mentions,
   domain_numeric_mentions, domain_percentage_mentions, domain_date_mentions, domain_high_severity_score,
   domain_medium_severity_score,
-  domain_financial_score * 3 + domain_procedural_score * 2 + domain_recovery_score AS domain_evidence_strength,
-  domain_high_severity_score * 3 + domain_medium_severity_score * 2 AS domain_compliance_risk,
+  CAST(domain_financial_score * 3 + domain_procedural_score * 2 + domain_recovery_score AS BIGINT) AS domain_evidence_strength,
+  CAST(domain_high_severity_score * 3 + domain_medium_severity_score * 2 AS BIGINT) AS domain_compliance_risk,
   {r('domain_word_count / 100.0 + domain_sentence_count / 20.0 + domain_avg_word_length / 10.0')} AS domain_complexity_score
 FROM dm""")
 def q_domain_features(spark, sf):
@@ -223,7 +223,7 @@ def _tfidf(spark, sf):
     return vocab, TX.transform_tfidf(terms, vocab)
 
 
-@register("txt_tfidf_vocabulary", with_(DOCS, FE_SQL, TFIDF_SQL) + f"SELECT term, df, freq, {r('idf')} AS idf FROM voc")
+@register("txt_tfidf_vocabulary", with_(DOCS, FE_SQL, TFIDF_SQL) + f"SELECT term, df, CAST(freq AS BIGINT) AS freq, {r('idf')} AS idf FROM voc")
 def q_tfidf_vocab(spark, sf):
     """TXT-8: fitted vocabulary (top 100 1-3-grams) with smooth idf."""
     vocab, _ = _tfidf(spark, sf)

@@ -163,9 +163,10 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("c_custkey").alias("id"), F.col("c_name").alias("username"), role.alias("role"),
         F.col("c_name").alias("full_name"),
         F.concat(F.lower(F.regexp_replace("c_name", "#", "")), F.lit("@example.org")).alias("email"),
-        (F.lit(_dt.datetime(2024, 1, 1)).cast("timestamp")
-         - F.make_interval(days=F.col("c_custkey").cast("int"))).alias("created_at"),
-        F.when(F.col("c_custkey") % 10 == 0, F.lit(None).cast("timestamp")).otherwise(F.col("last_ts")).alias("last_login"),
+        (F.lit(_dt.datetime(2024, 1, 1)).cast("timestamp_ntz")
+         - F.make_interval(days=F.col("c_custkey").cast("int"))).cast("timestamp_ntz").alias("created_at"),
+        F.when(F.col("c_custkey") % 10 == 0, F.lit(None).cast("timestamp_ntz")).otherwise(F.col("last_ts"))
+         .cast("timestamp_ntz").alias("last_login"),
     )
 
 
