@@ -45,20 +45,30 @@ _TITLE = ("array_to_string(list_transform(regexp_extract_all(lower(trim(name_raw
 _EXTRA_NAMES = ["Total Revenue ", "Admin_Exp", "__A__b", "Net Assets", "Gross_Profit_Losses"]
 
 
-@register("ing_normalize_columns", """SELECT * FROM (VALUES ('State Entity', 'entity_name', 'stateentity'), ('Year', 'year', 'year'),
+@register("ing_normalize_columns", _RAW_SQL + """, nn AS (SELECT count(name_raw) AS a, count(year_raw) AS b,
+  count(revenue_raw) AS c, count(cash_raw) AS d, count(audit_flag) AS e FROM raw)
+SELECT v.source, v.canonical, v.strict, CAST(CASE v.canonical WHEN 'entity_name' THEN nn.a WHEN 'year' THEN nn.b
+  WHEN 'revenue' THEN nn.c WHEN 'cash' THEN nn.d WHEN 'audit_flag' THEN nn.e ELSE 0 END AS BIGINT) AS non_null
+FROM (VALUES ('State Entity', 'entity_name', 'stateentity'), ('Year', 'year', 'year'),
   ('Income', 'revenue', 'revenue'), ('Cash', 'cash', 'cash'), ('Dependet_variable', 'audit_flag', 'audit_flag'),
   ('Total Revenue ', 'total_revenue', 'totalrevenue'), ('Admin_Exp', 'admin_expense', 'admin_expense'),
   ('__A__b', 'a_b', 'a_b'), ('Net Assets', 'net_assets', 'netassets'),
-  ('Gross_Profit_Losses', 'gross_profit', 'gross_profit')) v(source, canonical, strict)""")
+  ('Gross_Profit_Losses', 'gross_profit', 'gross_profit')) v(source, canonical, strict), nn""")
 def q_normalize_columns(spark, sf):
     """ING-1: canonical names (default and strict) of the raw sheet's columns
     plus edge-case headers -- metadata only, no job over the rows."""
     raw = _raw(spark, sf)
     for n in _EXTRA_NAMES:
         raw = raw.withColumn(n, F.lit(None).cast("string"))
-    norm = IN.normalize_columns(raw).columns
+    normalized = IN.normalize_columns(raw)
     strict = IN.normalize_columns(raw, strict=True).columns
-    return spark.createDataFrame(list(zip(raw.columns, norm, strict)), "source string, canonical string, strict string")
+    names = spark.createDataFrame(list(zip(raw.columns, normalized.columns, strict)),
+                                  "source string, canonical string, strict string")
+    prof = IN.dataset_profile(normalized).select(
+        F.col("column_name").alias("canonical"), F.col("null_count"))
+    rows = normalized.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return names.join(prof, "canonical", "left").select(
+        "source", "canonical", "strict", (rows - F.col("null_count")).cast("long").alias("non_null"))
 
 
 @register("ing_parse_money", _RAW_SQL + """ SELECT trim(name_raw) AS name, year_raw AS year,
@@ -274,12 +284,13 @@ def q_recent_activity(spark, sf):
 
 
 @register("jon_apply_mapping", with_(EY) + """, m AS (SELECT n_name AS src, lower(n_name) || '-' || CAST(n_regionkey AS VARCHAR) AS dst
-  FROM nation WHERE n_nationkey % 2 = 0)
+  FROM nation WHERE n_regionkey < (SELECT max(r_regionkey) FROM region))
 SELECT ey.entity_name, ey.year, coalesce(m.dst, ey.region) AS region FROM ey LEFT JOIN m ON ey.region = m.src""")
 def q_apply_mapping(spark, sf):
     """JON-3: dictionary lookup join, unmatched values kept."""
     from ledgerlens.sources.tables import table
-    n = table(spark, sf, "nation").filter(F.col("n_nationkey") % 2 == 0)
+    last_region = table(spark, sf, "region").agg(F.max("r_regionkey").alias("m")).scalar()
+    n = table(spark, sf, "nation").filter(F.col("n_regionkey") < last_region)
     m = n.select(F.col("n_name").alias("from"),
                  F.concat(F.lower("n_name"), F.lit("-"), F.col("n_regionkey").cast("string")).alias("to"))
     return JN.apply_mapping(fx.entity_year(spark, sf).select(*KEY, "region"), m, "region")

@@ -46,7 +46,7 @@ EYX = (EY + ", eyx AS (SELECT *, revenue AS total_revenue, expenditure AS total_
 SC = (EY + ", sc AS (SELECT entity_name, year, audit_flag AS y, "
       "round(total_liabilities / total_assets, 2) AS score FROM ey)")
 
-PRED = """pred AS (SELECT event_id AS id, 'Entity ' || CAST(user_id % 40 AS VARCHAR) AS entity_name,
+PRED = """pred AS (SELECT event_id AS id, 'Entity ' || CAST(user_id AS VARCHAR) AS entity_name,
   user_id AS entity_id, (event_type = 'error') AS prediction, least(value / 100, 1.0) AS confidence,
   least(value / 500, 1.0) AS risk_score, 'v1' AS model_version, props AS features,
   ts AS created_at, user_id AS created_by FROM events)"""
@@ -59,8 +59,8 @@ USR = """usr AS (SELECT c.c_custkey AS id, c.c_name AS username,
   c.c_name AS full_name, lower(replace(c.c_name, '#', '')) || '@example.org' AS email,
   TIMESTAMP '2024-01-01 00:00:00' - to_days(CAST(c.c_custkey AS INT)) AS created_at,
   CASE WHEN c.c_custkey % 10 = 0 THEN NULL ELSE e.last_ts END AS last_login
-  FROM customer c LEFT JOIN (SELECT user_id, max(ts) AS last_ts FROM events GROUP BY user_id) e
-  ON c.c_custkey = e.user_id WHERE c.c_custkey < 150)"""
+  FROM customer c JOIN (SELECT user_id, max(ts) AS last_ts FROM events GROUP BY user_id) e
+  ON c.c_custkey = e.user_id)"""
 
 HIST = """hist AS (SELECT CAST(ts AS DATE) AS date, event_type AS model_name,
   round(avg(value) / 70, 4) AS roc_auc, avg(CASE WHEN value > 10 THEN 1.0 ELSE 0.0 END) AS precision_at_10,

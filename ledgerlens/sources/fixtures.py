@@ -129,7 +129,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.select(
         F.col("event_id").alias("id"),
-        F.concat(F.lit("Entity "), (F.col("user_id") % 40).cast("string")).alias("entity_name"),
+        F.concat(F.lit("Entity "), F.col("user_id").cast("string")).alias("entity_name"),
         F.col("user_id").alias("entity_id"),
         (F.col("event_type") == "error").alias("prediction"),
         F.least(F.col("value") / 100, F.lit(1.0)).alias("confidence"),
@@ -153,11 +153,12 @@ _ROLES = {0: "admin", 1: "auditor", 2: "viewer"}
 
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """USR: accounts for customers 0-149 (no credentials)."""
-    c = table(spark, sf_dir, "customer").filter(F.col("c_custkey") < 150)
+    """USR: an account for every customer that appears in the event log (no
+    credentials); last login = latest event, none for every tenth account."""
+    c = table(spark, sf_dir, "customer")
     last = (table(spark, sf_dir, "events").groupBy("user_id")
             .agg(F.max("ts").alias("last_ts")))
-    j = c.join(last, c.c_custkey == last.user_id, "left")
+    j = c.join(last, c.c_custkey == last.user_id, "inner")
     role = F.when(F.col("c_custkey") % 3 == 0, "admin").when(F.col("c_custkey") % 3 == 1, "auditor").otherwise("viewer")
     return j.select(
         F.col("c_custkey").alias("id"), F.col("c_name").alias("username"), role.alias("role"),
