@@ -147,17 +147,6 @@ def similar_pairs(names: DataFrame, threshold: int = 85, col: str = "name") -> D
     return out
 
 
-def similar_pairs_bruteforce(names: DataFrame, threshold: int = 85, col: str = "name") -> DataFrame:
-    """All-pairs reference for small fixtures only (nested loop)."""
-    n = (names.select(F.col(col).alias("name")).filter(F.col("name").isNotNull()).distinct()
-         .withColumn("norm", normalize_for_ratio(F.col("name"))))
-    a = n.select(F.col("name").alias("name_a"), F.col("norm").alias("norm_a"))
-    b = n.select(F.col("name").alias("name_b"), F.col("norm").alias("norm_b"))
-    c = a.crossJoin(b).filter(F.col("name_a") < F.col("name_b"))
-    return (c.withColumn("score", ratio_udf("norm_a", "norm_b")).filter(F.col("score") >= threshold)
-            .select("name_a", "name_b", "score"))
-
-
 def cluster_names(names: DataFrame, pairs: DataFrame, col: str = "name", max_rounds: int = 1000) -> DataFrame:
     """JON-8: greedy star clustering in name order, as rounds.
 

@@ -161,21 +161,6 @@ def entity_mentions(sents: DataFrame, entities: DataFrame, name_col: str = "enti
     return out.select("entity", key, "sentence_index", "sentence", "match_type")
 
 
-def entity_mentions_bruteforce(sents: DataFrame, entities: DataFrame, name_col: str = "entity_name",
-                               ratio: float = 0.6, key: str = "doc_id") -> DataFrame:
-    """Reference-shaped predicate evaluated pair by pair, for small test
-    fixtures only (it is a nested-loop join)."""
-    ents = (entities.select(F.col(name_col).alias("entity")).filter(F.col("entity").isNotNull()).distinct()
-            .withColumn("clean", F.lower(clean_legal_name(F.col("entity")))).filter(F.length("clean") > 0)
-            .withColumn("w", F.split("clean", " ")))
-    j = sents.crossJoin(ents)
-    n_hit = F.aggregate(F.col("w"), F.lit(0), lambda a, w: a + F.col("sentence").contains(w).cast("int"))
-    direct = F.col("sentence").contains(F.col("clean"))
-    fuzzy = (F.size("w") > 1) & (n_hit >= F.size("w") * F.lit(ratio))
-    return (j.withColumn("match_type", F.when(direct, "direct").when(fuzzy, "fuzzy"))
-            .filter(F.col("match_type").isNotNull()).select("entity", key, "sentence_index", "sentence", "match_type"))
-
-
 # ---------------------------------------------------------------------------
 # Keyword labels (TXT-1..3) and label application (JON-5)
 # ---------------------------------------------------------------------------
