@@ -49,9 +49,9 @@ def score_counts(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame
 def _cum_desc(df: DataFrame, y: str, score: str) -> DataFrame:
     """Per distinct score: tp/fp = positives/negatives with score >= it."""
     sc = score_counts(df, y, score)
-    tot = sc.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    P, N = tot.select("P").scalar(), tot.select("N").scalar()
     pf = prefix_sums(sc, [score], ["pos", "neg"])
+    tot = pf.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()   # from the checkpointed counts
+    P, N = F.lit(float(tot["P"] or 0)), F.lit(float(tot["N"] or 0))
     return pf.select(score, "pos", "neg",
                      (P - F.col("pos_below")).alias("tp"), (N - F.col("neg_below")).alias("fp"),
                      F.col("neg_below"), P.alias("P"), N.alias("N"))
@@ -61,8 +61,8 @@ def roc_auc(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
     """EVL-3: AUC as the rank statistic with half credit for ties:
     sum(pos * (neg_below + neg / 2)) / (P * N)."""
     c = _cum_desc(df, y, score)
-    return c.agg((F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0))
-                  / (F.first("P") * F.first("N"))).alias("roc_auc"))
+    return c.agg(F.try_divide(F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0)),
+                              F.first("P") * F.first("N")).alias("roc_auc"))
 
 
 def roc_curve(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
@@ -70,7 +70,7 @@ def roc_curve(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
     (threshold = +inf).  Intermediate collinear points are kept."""
     c = _cum_desc(df, y, score)
     pts = c.select(F.col(score).cast("double").alias("threshold"),
-                   (F.col("fp") / F.col("N")).alias("fpr"), (F.col("tp") / F.col("P")).alias("tpr"))
+                   F.try_divide("fp", "N").alias("fpr"), F.try_divide("tp", "P").alias("tpr"))
     origin = df.sparkSession.createDataFrame([(float("inf"), 0.0, 0.0)], "threshold double, fpr double, tpr double")
     return pts.unionByName(origin)
 
@@ -79,8 +79,8 @@ def pr_curve(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
     """EVL-4: (threshold, precision, recall) per distinct score."""
     c = _cum_desc(df, y, score)
     return c.select(F.col(score).cast("double").alias("threshold"),
-                    (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
-                    (F.col("tp") / F.col("P")).alias("recall"))
+                    F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
+                    F.try_divide("tp", "P").alias("recall"))
 
 
 def pr_auc(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
@@ -90,10 +90,11 @@ def pr_auc(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
     c = _cum_desc(df, y, score)
     tp0 = F.col("tp") - F.col("pos")
     fp0 = F.col("fp") - F.col("neg")
-    prec = F.col("tp") / (F.col("tp") + F.col("fp"))
-    prec0 = F.when(tp0 + fp0 == 0, F.lit(1.0)).otherwise(tp0 / (tp0 + fp0))
-    area = (F.col("tp") - tp0) / F.col("P") * (prec + prec0) / 2.0
-    return c.agg(F.sum(area).alias("pr_auc"), (F.first("P") / (F.first("P") + F.first("N"))).alias("baseline"))
+    prec = F.try_divide(F.col("tp"), F.col("tp") + F.col("fp"))
+    prec0 = F.when(tp0 + fp0 == 0, F.lit(1.0)).otherwise(F.try_divide(tp0, tp0 + fp0))
+    area = F.try_divide(F.col("tp") - tp0, F.col("P")) * (prec + prec0) / 2.0
+    return c.agg(F.sum(area).alias("pr_auc"),
+                 F.try_divide(F.first("P"), F.first("P") + F.first("N")).alias("baseline"))
 
 
 def precision_at_pct(df: DataFrame, ks: Sequence[float] = (0.05, 0.1, 0.2), y: str = "y",

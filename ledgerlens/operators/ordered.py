@@ -184,9 +184,9 @@ def percentile_rank(df: DataFrame, col: str, out: str | None = None) -> DataFram
     """
     out = out or f"{col}_percentile"
     vc = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_c"))
-    n = vc.agg(F.sum("_c").alias("n")).scalar()
     pr = prefix_sums(vc, [col], ["_c"])
-    pr = pr.select(col, ((F.col("_c_below") + (F.col("_c") + 1) / 2.0) / n).alias(out))
+    n = pr.agg(F.sum("_c").alias("n")).first()["n"] or 0     # read from the checkpointed counts
+    pr = pr.select(col, ((F.col("_c_below") + (F.col("_c") + 1) / 2.0) / F.lit(max(n, 1))).alias(out))
     return df.join(pr, col, "left")
 
 
@@ -211,9 +211,10 @@ def percentile_ranks(df: DataFrame, cols: Sequence[str] | None = None, min_disti
     out = base
     for c in use:
         vc = base.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_c"))
-        n = vc.agg(F.sum("_c").alias("n")).scalar()
-        pr = prefix_sums(vc, [c], ["_c"]).select(
-            F.col(c).alias(f"_v_{c}"), ((F.col("_c_below") + (F.col("_c") + 1) / 2.0) / n).alias(f"{c}_percentile"))
+        pf = prefix_sums(vc, [c], ["_c"])
+        n = pf.agg(F.sum("_c").alias("n")).first()["n"] or 1
+        pr = pf.select(F.col(c).alias(f"_v_{c}"),
+                       ((F.col("_c_below") + (F.col("_c") + 1) / 2.0) / F.lit(n)).alias(f"{c}_percentile"))
         out = out.join(pr, out[c] == pr[f"_v_{c}"], "left").drop(f"_v_{c}")
     return out
 
