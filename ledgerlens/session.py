@@ -89,3 +89,14 @@ def ship_package(spark: SparkSession) -> None:
                                   root_dir=os.path.dirname(pkg_dir), base_dir="ledgerlens")
     sc.addPyFile(archive)
     _SHIPPED.add(key)
+
+
+def materialize(df, name: str = "table"):
+    """Write ``df`` as parquet under the shared checkpoint folder and read it
+    back: lineage is cut, later scans are columnar with pushed filters, and a
+    lost executor re-reads files instead of recomputing upstream joins."""
+    import uuid
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
