@@ -223,3 +223,24 @@ def operating_margin_series(df: DataFrame, entity: str = "entity_name") -> DataF
     exp = resolve_column(df, EXPENDITURE_CANDIDATES)
     return (df.select(entity, "year", (eps_div(F.col(rev) - F.col(exp), rev) * 100).alias("operating_margin_pct"))
             .orderBy(entity, "year"))
+
+
+LOOKUP_FIELDS = [("year", "latest_year", "Unknown"), ("audit_flag", "audit_flag", 0), ("revenue", "revenue", 0),
+                 ("expenditure", "expenditure", 0), ("total_assets", "total_assets", 0),
+                 ("entity_type", "entity_type", "Unknown"), ("sector", "sector", "Unknown"),
+                 ("region", "region", "Unknown")]
+
+
+def entity_lookup(df: DataFrame, entity: str = "entity_name", tie: list[str] | None = None) -> DataFrame:
+    """WIN-3: per entity its latest record's fields, with the reference's
+    defaults for missing columns (0 for numbers, 'Unknown' for text)."""
+    have = [src for src, _, _ in LOOKUP_FIELDS if src in df.columns]
+    latest = latest_per_entity(df.select(entity, *dict.fromkeys(have + ["year"] if "year" in df.columns else have)),
+                               entity, tie=tie)
+    cols = [F.col(entity)]
+    for src, out, default in LOOKUP_FIELDS:
+        if src in df.columns:
+            cols.append(F.col(src).alias(out))
+        else:
+            cols.append(F.lit(default).alias(out))
+    return latest.select(*cols)

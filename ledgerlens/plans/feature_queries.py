@@ -376,6 +376,15 @@ def q_latest_per_entity(spark, sf):
     return FE.latest_per_entity(ey)
 
 
+@register("win_entity_lookup", with_(EY) + f""", lt AS (SELECT entity_name, max(year) AS y FROM ey GROUP BY entity_name)
+SELECT e.entity_name, e.year AS latest_year, e.audit_flag, {r('e.revenue')} AS revenue, {r('e.expenditure')} AS expenditure,
+  {r('e.total_assets')} AS total_assets, e.entity_type, 'Unknown' AS sector, e.region
+FROM ey e JOIN lt ON e.entity_name = lt.entity_name AND e.year = lt.y""")
+def q_entity_lookup(spark, sf):
+    """WIN-3: entity lookup from the latest record, defaults for missing columns."""
+    return FE.entity_lookup(fx.entity_year(spark, sf))
+
+
 @register("win_latest_vs_previous", with_(EY) + f""", w AS (SELECT entity_name, year, revenue, expenditure,
   row_number() OVER (PARTITION BY entity_name ORDER BY year DESC) AS rn,
   lead(revenue) OVER (PARTITION BY entity_name ORDER BY year DESC) AS pr,
