@@ -271,18 +271,21 @@ def year_over_year(df: DataFrame, exp_col: str = "total_expenditure", flag_col:
 
 
 def findings_summary(df: DataFrame, flag_col: str = "audit_flag") -> DataFrame:
-    """AGG-19: flagged rows, high-severity rows, evidence total, entities
-    with issues, keyword match rate, modal severity (lowest on ties)."""
-    has_issue = F.col("detected_issues").isNotNull() & (F.trim("detected_issues") != "")
+    """AGG-19: flagged rows, high-severity rows, evidence total, rows with
+    issues, keyword match rate (rows with issues / rows), distinct entities,
+    and the most common severity (title-cased, lowest on ties)."""
     g = df.agg(
         F.coalesce(F.sum(flag_col), F.lit(0)).alias("flagged"),
         F.count(F.when(F.col("severity") == "high", 1)).alias("high_severity"),
         F.coalesce(F.sum("evidence_count"), F.lit(0)).alias("evidence_total"),
-        F.count_distinct(F.when(has_issue, F.col(ENTITY))).alias("entities_with_issues"),
-        (F.count(F.when(F.col("irregularity_score") > 0, 1)) / F.count(F.lit(1)) * 100).alias("keyword_match_rate"),
+        F.count("detected_issues").alias("entities_with_issues"),
+        F.coalesce(F.try_divide(F.count("detected_issues") * 100.0, F.count(F.lit(1))), F.lit(0.0))
+        .alias("keyword_match_rate"),
+        F.count_distinct(ENTITY).alias("unique_entities"),
     )
+    from ledgerlens.functions.exprs import title_case
     from ledgerlens.operators.ordered import mode_value
-    return g.withColumn("modal_severity", F.lit(mode_value(df, "severity")).cast("string"))
+    return g.withColumn("modal_severity", title_case(F.lit(mode_value(df, "severity")).cast("string")))
 
 
 def issue_categories(df: DataFrame, issues_col: str = "detected_issues") -> DataFrame:

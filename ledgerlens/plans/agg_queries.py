@@ -293,9 +293,11 @@ def q_year_over_year(spark, sf):
 @register("agg_findings_summary", with_(ISS) + f"""
 SELECT CAST(coalesce(sum(audit_flag), 0) AS BIGINT) AS flagged, count(CASE WHEN severity = 'high' THEN 1 END) AS high_severity,
   CAST(coalesce(sum(evidence_count), 0) AS BIGINT) AS evidence_total,
-  count(DISTINCT CASE WHEN detected_issues IS NOT NULL AND trim(detected_issues) <> '' THEN entity_name END) AS entities_with_issues,
-  {r('count(CASE WHEN irregularity_score > 0 THEN 1 END) * 100.0 / count(*)')} AS keyword_match_rate,
-  (SELECT severity FROM iss GROUP BY severity ORDER BY count(*) DESC, severity LIMIT 1) AS modal_severity
+  count(detected_issues) AS entities_with_issues,
+  {r('coalesce(count(detected_issues) * 100.0 / nullif(count(*), 0), 0)')} AS keyword_match_rate,
+  count(DISTINCT entity_name) AS unique_entities,
+  (SELECT upper(substr(severity, 1, 1)) || substr(severity, 2) FROM iss GROUP BY severity
+   ORDER BY count(*) DESC, severity LIMIT 1) AS modal_severity
 FROM iss""")
 def q_findings_summary(spark, sf):
     """AGG-19: findings summary."""
