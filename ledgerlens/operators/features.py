@@ -208,13 +208,26 @@ def align_features(df: DataFrame, expected: list[str], keep: list[str] | None =
     return df.select(*cols)
 
 
-def case_table(df: DataFrame, exp_col: str = "total_expenditure", currency: str = "GHS") -> DataFrame:
-    """FEA-14: display projection: flag label, formatted money, newest first."""
+def case_table(df: DataFrame, currency: str = "GHS") -> DataFrame:
+    """FEA-14: case-table display projection (schema-conditional): flag as
+    Normal / Flagged, revenue and expenditure as currency text ('N/A' when
+    missing), display names, newest year first."""
     from ledgerlens.functions.exprs import format_currency
-    return (df.select(F.col("entity_name").alias("Entity"), F.col("year").alias("Year"),
-                      F.when(F.col("audit_flag") == 1, "Flagged").otherwise("Normal").alias("Status"),
-                      format_currency(exp_col, currency).alias("Expenditure"))
-            .orderBy(F.desc("Year"), F.asc("Entity")))
+    c = df.columns
+    cols = [F.col("entity_name").alias("Entity Name")]
+    if "year" in c:
+        cols.append(F.col("year").alias("Year"))
+    if "audit_flag" in c:
+        cols.append(F.when(F.col("audit_flag") == 1, "Flagged").when(F.col("audit_flag") == 0, "Normal")
+                    .alias("Status"))
+    for src, name in (("total_revenue", "Revenue"), ("total_expenditure", "Expenditure")):
+        if src in c:
+            cols.append(F.when(F.col(src).isNull(), F.lit("N/A")).otherwise(format_currency(src, currency)).alias(name))
+    for src, name in (("severity", "Severity"), ("detected_issues", "Detected Issues")):
+        if src in c:
+            cols.append(F.col(src).alias(name))
+    out = df.select(*cols)
+    return out.orderBy(F.desc("Year"), F.asc("Entity Name")) if "year" in c else out
 
 
 def operating_margin_series(df: DataFrame, entity: str = "entity_name") -> DataFrame:

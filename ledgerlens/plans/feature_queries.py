@@ -333,12 +333,14 @@ def q_align_features(spark, sf):
     return FE.align_features(fx.entity_year(spark, sf), ["cash", "missing_feature", "revenue"], keep=KEY)
 
 
-@register("fea_case_table", with_(EY) + f"""SELECT entity_name AS Entity, year AS Year,
-  CASE WHEN audit_flag = 1 THEN 'Flagged' ELSE 'Normal' END AS Status,
-  {_CUR.replace('x', 'expenditure')} AS Expenditure FROM ey""")
+@register("fea_case_table", with_(EYX) + f"""SELECT entity_name AS "Entity Name", year AS "Year",
+  CASE WHEN audit_flag = 1 THEN 'Flagged' WHEN audit_flag = 0 THEN 'Normal' END AS "Status",
+  CASE WHEN total_revenue IS NULL THEN 'N/A' ELSE {_CUR.replace('x', 'total_revenue')} END AS "Revenue",
+  CASE WHEN total_expenditure IS NULL THEN 'N/A' ELSE {_CUR.replace('x', 'total_expenditure')} END AS "Expenditure" FROM eyx""")
 def q_case_table(spark, sf):
     """FEA-14: case-table display projection."""
-    return FE.case_table(fx.entity_year(spark, sf), exp_col="expenditure")
+    d = fx.entity_year_ext(spark, sf).select("entity_name", "year", "audit_flag", "total_revenue", "total_expenditure")
+    return FE.case_table(d)
 
 
 # ---- windows -----------------------------------------------------------------
