@@ -230,8 +230,10 @@ def label_documents(df: DataFrame, docs: DataFrame, key: str = "doc_id", text: s
     """TXT-4: documents -> sentences -> mentions -> keyword hits -> labels,
     applied to the entity-year table.  Errors propagate (the reference
     silently returned all-zero labels)."""
+    from ledgerlens.session import materialize
     s = sentences(docs, key, text)
-    m = entity_mentions(s, df.select("entity_name"), key=key)
+    # mentions are read twice (entity set, keyword hits): written once, small next to the corpus
+    m = materialize(entity_mentions(s, df.select("entity_name"), key=key), "mentions")
     h = keyword_hits(m, keywords, severity)
     lab = entity_labels(m, h, key)
     return apply_labels(df, lab), review_table(lab)

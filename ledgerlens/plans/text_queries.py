@@ -74,7 +74,8 @@ def _mentions(spark, sf):
 
 
 def _labels(spark, sf):
-    m = _mentions(spark, sf)
+    from ledgerlens.session import materialize
+    m = materialize(_mentions(spark, sf), "mentions")
     h = TX.keyword_hits(m, KW_KEYWORDS, KW_SEVERITY)
     return m, h, TX.entity_labels(m, h)
 
