@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 _SAMPLE_PER_BUCKET = 20
 _SEED = 20240101
+_SMALL_PARTS = 10000
 
 
 def _default_buckets(df: DataFrame) -> int:
@@ -96,10 +97,26 @@ def prefix_sums(df: DataFrame, order: Sequence[str], weights: Sequence[str],
     res = t.select(*df.columns, *out_cols)
     if not partition:
         return res
-    # starting offset of each partition: a PFX over per-partition totals.
+    # starting offset of each partition.  Few partitions (<= _SMALL_PARTS,
+    # checked by a count): totals to the driver, offsets back as a bounded
+    # broadcast table.  Many partitions: a PFX over the per-partition totals.
     ptot = df.groupBy(*partition).agg(*[F.sum(F.col(w).cast("double")).alias(w) for w in weights])
-    poff = prefix_sums(ptot, list(partition), weights, (), n_buckets=max(4, B // 8), suffix="_poff")
-    poff = poff.select(*partition, *[w + "_poff" for w in weights])
+    if ptot.count() <= _SMALL_PARTS:
+        rows = sorted(ptot.collect(), key=lambda r: tuple(r[p] for p in partition))
+        run = {w: 0.0 for w in weights}
+        data = []
+        for r in rows:
+            data.append(tuple(r[p] for p in partition) + tuple(run[w] for w in weights))
+            for w in weights:
+                run[w] += r[w] or 0.0
+        schema = ptot.select(*partition).schema
+        from pyspark.sql import types as _T
+        for w in weights:
+            schema = schema.add(_T.StructField(w + "_poff", _T.DoubleType()))
+        poff = F.broadcast(spark.createDataFrame(data, schema))
+    else:
+        poff = prefix_sums(ptot, list(partition), weights, (), n_buckets=max(4, B // 8), suffix="_poff")
+        poff = poff.select(*partition, *[w + "_poff" for w in weights])
     res = res.join(poff, list(partition))
     return res.select(*df.columns, *[(F.col(w + suffix) - F.col(w + "_poff")).alias(w + suffix) for w in weights])
 
