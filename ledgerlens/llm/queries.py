@@ -53,3 +53,20 @@ def op2_hamming_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of every document under links of three-word shingles, similarity 0.85."""
     from ledgerlens.llm import hamming_dedup as H
     return H.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
+@query
+def op5_toxicity_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by its nearest labelled examples."""
+    from ledgerlens.llm import toxicity_knn as X
+    from ledgerlens.llm.common import crc_mod
+    scored = X.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "evidence", "similarity")
+
+
+@query
+def op7_byte_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    from ledgerlens.llm import lang_gru as G
+    docs = table(spark, sf_dir, "documents")
+    return G.predict(docs, G.train(docs)).select("doc_id", G.held_out().alias("held_out"), "lang_pred", "score")
