@@ -70,3 +70,17 @@ def op7_byte_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerlens.llm import lang_gru as G
     docs = table(spark, sf_dir, "documents")
     return G.predict(docs, G.train(docs)).select("doc_id", G.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op1_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every vector whose id is divisible by 50."""
+    from ledgerlens.llm import ann_adscan as A
+    return A.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+@query
+def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at cosine 0.9."""
+    from ledgerlens.llm import multi_index_dedup as M
+    return M.near_duplicates(table(spark, sf_dir, "embeddings"), 0.9)
