@@ -202,3 +202,16 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
     at = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(nodes.drop("node"), ["n_shingles", "set_a", "set_b"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return at.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """Rows of ``docs``, all columns, without near-duplicates: of each component the smallest id stays, and
+    of several rows of that id the one with the smallest text.  Rows without id stay."""
+    result = stored(near_duplicates(docs, width, percent), "components")
+    out = docs.join(result.filter("not kept").select("doc_id").distinct(), "doc_id", "left_anti")
+    again = result.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    if again.limit(1).count():
+        several = out.join(again, "doc_id", "left_semi").select(F.struct(*docs.columns).alias("row"))
+        first = several.groupBy(F.col("row.doc_id").alias("_id")).agg(F.min_by("row", F.coalesce("row.text", F.lit(""))).alias("row")).select("row.*")
+        out = out.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(first)
+    return out.select(*docs.columns)

@@ -211,23 +211,29 @@ class _Pools:
         self.sums = np.concatenate([self.sums, more])
 
 
+def _labels(texts_: list[str | None], pools: _Pools, languages: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whether each text has a language, its number, and the mean probability."""
+    cut = [(t or "").split() for t in texts_]
+    pools.learn(set().union(*cut))
+    rows = np.fromiter((pools.row[p] for c in cut for p in c), np.int64)
+    total = np.zeros((len(cut), pools.sums.shape[1]))
+    full = np.flatnonzero([len(c) for c in cut])
+    if len(full):
+        counts = np.array([len(cut[i]) for i in full])
+        total[full] = np.add.reduceat(pools.sums[rows].astype(np.float64), np.cumsum(counts) - counts)
+    p = total[:, :-1] / np.maximum(total[:, -1:], 1e-9)
+    if not len(languages):
+        return np.zeros(len(cut), bool), np.zeros(len(cut), int), np.zeros(len(cut))
+    known, best = total[:, -1] > 0, p.argmax(1)
+    return known, best, np.where(known, p[np.arange(len(cut)), best], 0.0).clip(0, 1)
+
+
 def _predict(batches: Iterator[pa.RecordBatch], model: ByteGRU) -> Iterator[pa.RecordBatch]:
     pools, languages = _Pools(model), np.array(model.languages, object)
     for batch in slices(batches):
-        cut = [(t or "").split() for t in batch.column("text").to_pylist()]
-        pools.learn(set().union(*cut))
-        rows = np.fromiter((pools.row[p] for c in cut for p in c), np.int64)
-        total = np.zeros((len(cut), pools.sums.shape[1]))
-        full = np.flatnonzero([len(c) for c in cut])
-        if len(full):
-            counts = np.array([len(cut[i]) for i in full])
-            total[full] = np.add.reduceat(pools.sums[rows].astype(np.float64), np.cumsum(counts) - counts)
-        p = total[:, :-1] / np.maximum(total[:, -1:], 1e-9)
-        sure = (total[:, -1] > 0) & (len(languages) > 0)
-        best = p.argmax(1) if len(languages) else np.zeros(len(cut), int)
-        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"),
-                                          "lang_pred": pa.array([languages[b] if s else UNKNOWN for b, s in zip(best, sure)], pa.string()),
-                                          "score": np.where(sure, p[np.arange(len(cut)), best] if len(languages) else 0.0, 0.0).clip(0, 1)})
+        known, best, score = _labels(batch.column("text").to_pylist(), pools, languages)
+        names = [languages[b] if k else UNKNOWN for b, k in zip(best, known)]
+        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "lang_pred": pa.array(names, pa.string()), "score": score})
 
 
 def predict(docs: DataFrame, model: ByteGRU) -> DataFrame:
@@ -238,5 +244,20 @@ def predict(docs: DataFrame, model: ByteGRU) -> DataFrame:
     return texts(docs).mapInArrow(partial(_predict, model=model), "doc_id long, lang_pred string, score double")
 
 
+def _passing(batches: Iterator[pa.RecordBatch], model: ByteGRU, least: float) -> Iterator[pa.RecordBatch]:
+    pools, languages = _Pools(model), np.array(model.languages, object)
+    for batch in slices(batches):
+        known, _, score = _labels(batch.column("text").to_pylist(), pools, languages)
+        yield batch.filter(pa.array(known & (score >= least)))
+
+
+def with_language(docs: DataFrame, model: ByteGRU, least: float = 0.3) -> DataFrame:
+    """Rows of ``docs``, all columns, whose text is in a language that the network knows with a score of
+    at least ``least``.  A network that knows no language rejects nothing but texts without a letter."""
+    if not model.languages:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    return docs.mapInArrow(partial(_passing, model=model, least=least), docs.schema)
+
+
 def held_out(id_col: str | Column = "doc_id", held: int = 0, of: int = 5) -> Column:
     return F.coalesce(crc_mod(id_col, of) == held, F.lit(False))

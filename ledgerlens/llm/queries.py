@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import prepare, table
+from ledgerlens.llm.common import prepare, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -84,3 +84,57 @@ def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all vectors at cosine 0.9."""
     from ledgerlens.llm import multi_index_dedup as M
     return M.near_duplicates(table(spark, sf_dir, "embeddings"), 0.9)
+
+
+@query
+def op4_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    from ledgerlens.llm import html_blocks as H
+    return H.main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+@query
+def op9_warc_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit of two replicas of all pages as WARC files of about 512 records.  In the second, pages
+    whose mark is 00 have their first character overwritten and those whose mark is ff are missing."""
+    from ledgerlens.llm import warc_merkle as W
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
+    files = max(1, -(-pages.count() // 512))
+    place = F.md5(F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.coalesce("url", F.lit("")), "html"))
+    hurt = F.concat(F.lit("#"), F.expr("substr(html, 2)"))
+    whole, altered = W.record(F.col("url"), F.col("html")), W.record(F.col("url"), F.when(F.col("place").startswith("00"), hurt).otherwise(F.col("html")))
+    rows = pages.withColumn("place", place).select("place", F.octet_length(whole).cast("long").alias("length"), F.sha2(whole, 256).alias("hash"), F.octet_length(altered).cast("long").alias("length_b"), F.sha2(altered, 256).alias("hash_b")).distinct()
+    rows = rows.withColumn("file", F.format_string("pages-%06d.warc", F.conv(F.substring("place", 1, 8), 16, 10).cast("long") % files))
+    before = Window.partitionBy("file").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    placed = stored(rows.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long")), "replicas")
+    second = placed.filter(~F.col("place").startswith("ff")).select("file", "offset", F.col("length_b").alias("length"), F.col("hash_b").alias("hash"))
+    return W.audit(placed.select("file", "offset", "length", "hash"), second)
+
+
+_NODES = """
+{r}_n0 AS (SELECT file, offset_ // 65536 AS r0, sha256(string_agg(offset_ || ':' || hash, ',' ORDER BY offset_)) AS hash FROM {r} GROUP BY ALL),
+{r}_n1 AS (SELECT file, r0 // 16 AS r1, sha256(string_agg(r0 || ':' || hash, ',' ORDER BY r0)) AS hash FROM {r}_n0 GROUP BY ALL),
+{r}_n2 AS (SELECT file, r1 // 16 AS r2, sha256(string_agg(r1 || ':' || hash, ',' ORDER BY r1)) AS hash FROM {r}_n1 GROUP BY ALL),
+{r}_n3 AS (SELECT file, r2 // 16 AS r3, sha256(string_agg(r2 || ':' || hash, ',' ORDER BY r2)) AS hash FROM {r}_n2 GROUP BY ALL),
+{r}_f AS (SELECT file, sha256(string_agg(r3 || ':' || hash, ',' ORDER BY r3)) AS hash FROM {r}_n3 GROUP BY ALL),
+{r}_g AS (SELECT ('0x' || substr(sha256(file), 1, 2))::BIGINT AS g, sha256(string_agg(file || ':' || hash, ',' ORDER BY file)) AS hash FROM {r}_f GROUP BY ALL),
+{r}_root AS (SELECT sha256(string_agg(g || ':' || hash, ',' ORDER BY g)) AS hash FROM {r}_g)"""
+
+ORACLE["op9_warc_merkle"] = f"""
+WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, md5(concat_ws('|', coalesce(page_id::VARCHAR, ''), coalesce(url, ''), coalesce(html, ''))) AS place FROM pages),
+h AS (SELECT *, CASE WHEN place LIKE '00%' THEN '#' || substr(html, 2) ELSE html END AS html_b FROM p),
+w AS (SELECT DISTINCT place,
+  'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10) AS rec,
+  'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(html_b) || chr(13) || chr(10) || chr(13) || chr(10) || html_b || chr(13) || chr(10) || chr(13) || chr(10) AS rec_b FROM h),
+f AS (SELECT place, strlen(rec) AS length, sha256(rec) AS hash, strlen(rec_b) AS length_b, sha256(rec_b) AS hash_b,
+  format('pages-{{:06d}}.warc', ('0x' || substr(place, 1, 8))::BIGINT % (SELECT greatest(1, (count(*) + 511) // 512) FROM pages)) AS file FROM w),
+o AS (SELECT *, coalesce(sum(length) OVER (PARTITION BY file ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS offset_ FROM f),
+a AS (SELECT file, offset_, length, hash FROM o),
+b AS (SELECT file, offset_, length_b AS length, hash_b AS hash FROM o WHERE place NOT LIKE 'ff%'),
+{_NODES.format(r="a").strip()},
+{_NODES.format(r="b").strip()}
+SELECT coalesce(a.file, b.file) AS file, coalesce(a.offset_, b.offset_) AS "offset", coalesce(a.length, b.length)::BIGINT AS length,
+  CASE WHEN a.hash IS NULL THEN 'added' WHEN b.hash IS NULL THEN 'missing' ELSE 'altered' END AS state, a.hash AS hash_a, b.hash AS hash_b,
+  (SELECT hash FROM a_root) AS root_a, (SELECT hash FROM b_root) AS root_b
+FROM a FULL JOIN b ON a.file = b.file AND a.offset_ = b.offset_ WHERE a.hash IS DISTINCT FROM b.hash
+"""
