@@ -7,12 +7,15 @@ symbols are split so that each part may hold one error: by pigeonhole, a pair
 within ``reach`` agrees in some part but for one symbol.  Each part is keyed
 once for each symbol left out, so every pair within reach shares a key.
 
-Equal sets are one class.  Each class is first compared with the leader
-(smallest id) that it shares most keys with; the links found make components.
-Wherever members of a key still lie in different components, all their pairs
-within reach are compared too, in blocks of bounded size, so no link is lost
-and a large group of copies never makes all its pairs.  Links are confirmed on
-whole shingle sets.
+Equal sets are one class.  A key's leader is its member that meets most others
+over all keys, as the least changed of a group of copies does.  Each class is
+first compared with the leader that it shares most keys with; the links found
+make components.  Wherever members of a key still lie in different components,
+their pairs within reach are compared too, each in the first key it shares, in
+blocks of bounded size, but for pairs that cannot link: shingles that no other
+class at hand has are in no intersection.  So no link is lost, and a large
+group of copies never makes all its pairs.  Links are confirmed on whole
+shingle sets.
 """
 
 from __future__ import annotations
@@ -78,16 +81,28 @@ def _sign(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_shingles": sizes.astype(np.int64), "set_a": sums[0].view(np.int64), "set_b": sums[1].view(np.int64), "signature": signature})
 
 
+def keys_of(sig: np.ndarray, distance: int) -> np.ndarray:
+    """64-bit keys of signatures, one for each symbol left out of its part."""
+    own = mixed(sig.astype(np.uint64) + np.arange(SYMBOLS, dtype=np.uint64) * np.uint64(1 << 16)) * _MARK
+    return np.concatenate([mixed((own[:, p].sum(1)[:, None] - own[:, p]) ^ _MARK[p]) for p in parts(distance)], axis=1).view(np.int64)
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, SYMBOLS)
+
+
 def _keys(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
-    split = parts(distance)
     for batch in batches:
         for at in range(0, len(batch), 4096):
             rows = batch.slice(at, 4096)
-            sig = np.frombuffer(b"".join(rows.column("signature").to_pylist()), "<u2").reshape(-1, SYMBOLS).astype(np.uint64)
-            own = mixed(sig + np.arange(SYMBOLS, dtype=np.uint64) * np.uint64(1 << 16)) * _MARK
-            keys = np.concatenate([mixed((own[:, p].sum(1)[:, None] - own[:, p]) ^ _MARK[p]) for p in split], axis=1)
-            node = np.repeat(rows.column("node").to_numpy(), SYMBOLS)
-            yield pa.RecordBatch.from_pydict({"node": node, "key": keys.ravel().view(np.int64)})
+            keys = keys_of(_matrix(rows.column("signature")), distance)
+            yield pa.RecordBatch.from_pydict({"node": np.repeat(rows.column("node").to_numpy(), SYMBOLS), "key": keys.ravel()})
+
+
+def _shingles(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        h, sizes = shingle_sets(batch.column("text"), width)
+        yield pa.RecordBatch.from_pydict({"node": np.repeat(batch.column("node").to_numpy(), sizes), "shingle": h.view(np.int64)})
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -105,26 +120,36 @@ def confirmed(pairs: DataFrame, whole: DataFrame, width: int, percent: int) -> D
 
 
 def _apart(batches: Iterator[pa.RecordBatch], distance: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of one block (rows come sorted by block) in different components and within reach."""
-    names = ("key", "i", "j", "side", "node", "comp", "n")
+    """Pairs of one block (rows come sorted by block) in different components, within reach, that may link."""
+    names = ("key", "i", "j", "side", "node", "comp", "n", "own")
+    begin = np.array([p[0] for p in parts(distance)])
 
     def pairs(rows: dict[str, np.ndarray], sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         cross = rows["i"][0] != rows["j"][0]
         left = np.flatnonzero(rows["side"] == rows["i"]) if cross else np.arange(len(sig))
         right = np.flatnonzero(rows["side"] == rows["j"]) if cross else left
-        found = []
+        out = int((keys_of(sig[:1], distance)[0] == rows["key"][0]).argmax())  # the symbol that this key leaves out
+        n, common, found = rows["n"], rows["n"] - rows["own"], []
         for x in range(0, len(left), 256):
             some = left[x: x + 256]
             ok = rows["comp"][some][:, None] != rows["comp"][right]
             if not cross:
                 ok &= rows["node"][some][:, None] < rows["node"][right]
-            n, m = rows["n"][some][:, None], rows["n"][right]
-            ok &= 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+            most = np.minimum(common[some][:, None], common[right])
+            ok &= 100 * most >= percent * (n[some][:, None] + n[right] - most)
             p, q = np.nonzero(ok)
             p, q = some[p], right[q]
-            for y in range(0, len(p), 1 << 16):
-                near = (sig[p[y: y + (1 << 16)]] != sig[q[y: y + (1 << 16)]]).sum(1) <= distance
-                found.append((p[y: y + (1 << 16)][near], q[y: y + (1 << 16)][near]))
+            for y in range(0, len(p), 1 << 15):
+                r, s = p[y: y + (1 << 15)], q[y: y + (1 << 15)]
+                differs = sig[r] != sig[s]
+                by_part = np.add.reduceat(differs, begin, axis=1, dtype=np.int64)
+                first = (by_part <= 1).argmax(1)
+                at = np.arange(len(r))
+                start, stop = begin[first], np.append(begin[1:], SYMBOLS)[first]
+                inside = differs & (np.arange(SYMBOLS) >= start[:, None]) & (np.arange(SYMBOLS) < stop[:, None])
+                shared = np.where(by_part[at, first] == 0, start, inside.argmax(1))  # the first key that both have
+                near = (by_part.sum(1) <= distance) & (shared == out)
+                found.append((r[near], s[near]))
         p, q = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in (0, 1))
         return rows["node"][p], rows["node"][q]
 
@@ -148,8 +173,7 @@ def _apart(batches: Iterator[pa.RecordBatch], distance: int, percent: int) -> It
             yield pa.RecordBatch.from_pydict({"a": np.concatenate(a), "b": np.concatenate(b)}, schema=schema)
 
     for batch in batches:
-        rows = {c: batch.column(c).to_numpy() for c in names}
-        sig = np.frombuffer(b"".join(batch.column("signature").to_pylist()), "<u2").reshape(-1, SYMBOLS)
+        rows, sig = {c: batch.column(c).to_numpy() for c in names}, _matrix(batch.column("signature"))
         if held is not None:
             rows, sig = {c: np.concatenate([held[c], v]) for c, v in rows.items()}, np.concatenate([held_sig, sig])
         if len(sig):
@@ -158,16 +182,21 @@ def _apart(batches: Iterator[pa.RecordBatch], distance: int, percent: int) -> It
         yield from done(held, held_sig, True)
 
 
-def _remaining(shared: DataFrame, comps: DataFrame, signed: DataFrame, distance: int, percent: int) -> DataFrame:
-    """Pairs within reach that share a key and lie in different components; large keys in blocks."""
+def _remaining(shared: DataFrame, comps: DataFrame, signed: DataFrame, whole: DataFrame, distance: int, width: int, percent: int) -> DataFrame:
+    """Pairs within reach that share a key, lie in different components and may link; large keys in blocks."""
     rows = shared.select("key", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node")).select("key", "node", "comp")
     open_ = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows")).filter("lo <> hi").select("key", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
-    dealt = rows.join(open_, "key").withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    left = stored(rows.join(open_, "key"), "open")
+    nodes = left.select("node").distinct()
+    held = whole.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(partial(_shingles, width=width), "node long, shingle long")
+    own = held.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).filter("n = 1").groupBy("node").agg(F.count("*").alias("own"))
+    signs = nodes.join(signed.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "signature"), "node").join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0).cast("long")))
+    may = signs.filter(100 * (F.col("n") - F.col("own")) >= percent * F.col("n"))  # others link with nothing
+    dealt = left.withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "node", "comp")
-    signs = signed.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "signature")
-    blocks = dealt.join(signs, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    found = blocks.select("key", "i", "j", "side", "node", "comp", "n", "signature").mapInArrow(partial(_apart, distance=distance, percent=percent), "a long, b long")
+    blocks = dealt.join(may, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    found = blocks.select("key", "i", "j", "side", "node", "comp", "n", "own", "signature").mapInArrow(partial(_apart, distance=distance, percent=percent), "a long, b long")
     return found.distinct()
 
 
@@ -185,15 +214,17 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
     classes = classed.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("last"), F.first("signature").alias("signature"))
     classes = stored(classes, "classes")
     keys = classes.select("node", "signature").mapInArrow(partial(_keys, distance=distance), "node long, key long")
-    leaders = keys.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader < last").select("key", "leader")
-    shared = stored(keys.join(leaders, "key"), "shared")
+    several = keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("members")).filter("least < most").select("key", "members")
+    shared = stored(keys.join(several, "key"), "shared")
+    met = shared.groupBy("node").agg(F.sum("members").alias("met"))
+    leaders = shared.join(met, "node").groupBy("key").agg(F.max_by("node", F.struct("met", -F.col("node"))).alias("leader"))
     signs = classes.select(F.col("node").alias("doc_id"), "n_shingles", "signature")
     members = stored(whole.join(shared.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").join(classes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text"), "members")
-    votes = shared.filter("node <> leader").groupBy("node", "leader").count()
+    votes = shared.join(leaders, "key").filter("node <> leader").groupBy("node", "leader").count()
     best = votes.groupBy(F.col("node").alias("a")).agg(F.max_by("leader", F.struct("count", -F.col("leader"))).alias("b"))
     links = stored(confirmed(best, members, width, percent), "links")
     comps = stored(components(links), "comps")
-    more = stored(confirmed(_remaining(shared, comps, signs, distance, percent), members, width, percent), "more")
+    more = stored(confirmed(_remaining(shared, comps, signs, members, distance, width, percent), members, width, percent), "more")
     dropped(shared, members)
     if more.limit(1).count():
         comps = stored(components(links.unionByName(more)), "comps")
