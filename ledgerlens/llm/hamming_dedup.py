@@ -12,9 +12,9 @@ over all keys, as the least changed of a group of copies does.  Each class is
 first compared with the leader that it shares most keys with; the links found
 make components.  Wherever members of a key still lie in different components,
 their pairs within reach are compared too, each in the first key it shares, in
-blocks of bounded size, but for pairs that cannot link: shingles that no other
-class at hand has are in no intersection.  So no link is lost, and a large
-group of copies never makes all its pairs.  Links are confirmed on whole
+blocks of bounded size, but for pairs that cannot link: bitmaps of both sets
+bound from below how many shingles each lacks of the other.  So no link is
+lost, and a large group of copies never makes all its pairs.  Links are confirmed on whole
 shingle sets.
 """
 
@@ -37,6 +37,8 @@ SYMBOLS = 64
 MISS = 1e-5
 #: Most rows of a key that are compared in one block.
 BLOCK = 1024
+#: Bits of a set's bitmap.
+BITS = 2048
 _RANDOM = np.random.default_rng(7919)
 _FLIP = _RANDOM.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64)
 _TURN = _RANDOM.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
@@ -99,10 +101,14 @@ def _keys(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.Recor
             yield pa.RecordBatch.from_pydict({"node": np.repeat(rows.column("node").to_numpy(), SYMBOLS), "key": keys.ravel()})
 
 
-def _shingles(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def _bitmaps(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """For each text, a bitmap of the values of its hashed shingles modulo BITS."""
     for batch in slices(batches):
         h, sizes = shingle_sets(batch.column("text"), width)
-        yield pa.RecordBatch.from_pydict({"node": np.repeat(batch.column("node").to_numpy(), sizes), "shingle": h.view(np.int64)})
+        owner, at = np.repeat(np.arange(len(sizes)), sizes), (h % np.uint64(BITS)).astype(np.int64)
+        bits = np.zeros((len(sizes), BITS), bool)
+        bits[owner, at] = True
+        yield pa.RecordBatch.from_pydict({"node": batch.column("node"), "bits": pa.array([b.tobytes() for b in np.packbits(bits, axis=1)], pa.binary())})
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -121,22 +127,21 @@ def confirmed(pairs: DataFrame, whole: DataFrame, width: int, percent: int) -> D
 
 def _apart(batches: Iterator[pa.RecordBatch], distance: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs of one block (rows come sorted by block) in different components, within reach, that may link."""
-    names = ("key", "i", "j", "side", "node", "comp", "n", "own")
+    names = ("key", "i", "j", "side", "node", "comp", "n")
     begin = np.array([p[0] for p in parts(distance)])
 
-    def pairs(rows: dict[str, np.ndarray], sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def pairs(rows: dict[str, np.ndarray], sig: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         cross = rows["i"][0] != rows["j"][0]
         left = np.flatnonzero(rows["side"] == rows["i"]) if cross else np.arange(len(sig))
         right = np.flatnonzero(rows["side"] == rows["j"]) if cross else left
         out = int((keys_of(sig[:1], distance)[0] == rows["key"][0]).argmax())  # the symbol that this key leaves out
-        n, common, found = rows["n"], rows["n"] - rows["own"], []
+        n, found = rows["n"], []
         for x in range(0, len(left), 256):
             some = left[x: x + 256]
             ok = rows["comp"][some][:, None] != rows["comp"][right]
             if not cross:
                 ok &= rows["node"][some][:, None] < rows["node"][right]
-            most = np.minimum(common[some][:, None], common[right])
-            ok &= 100 * most >= percent * (n[some][:, None] + n[right] - most)
+            ok &= 100 * np.minimum(n[some][:, None], n[right]) >= percent * np.maximum(n[some][:, None], n[right])
             p, q = np.nonzero(ok)
             p, q = some[p], right[q]
             for y in range(0, len(p), 1 << 15):
@@ -149,37 +154,41 @@ def _apart(batches: Iterator[pa.RecordBatch], distance: int, percent: int) -> It
                 inside = differs & (np.arange(SYMBOLS) >= start[:, None]) & (np.arange(SYMBOLS) < stop[:, None])
                 shared = np.where(by_part[at, first] == 0, start, inside.argmax(1))  # the first key that both have
                 near = (by_part.sum(1) <= distance) & (shared == out)
+                r, s = r[near], s[near]
+                lacks_r, lacks_s = (np.bitwise_count(x & ~y).sum(1, dtype=np.int64) for x, y in ((bits[s], bits[r]), (bits[r], bits[s])))
+                most = np.minimum(n[r] - lacks_s, n[s] - lacks_r)
+                near = 100 * most >= percent * (n[r] + n[s] - most)
                 found.append((r[near], s[near]))
         p, q = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in (0, 1))
         return rows["node"][p], rows["node"][q]
 
-    held: dict[str, np.ndarray] | None = None
-    held_sig = None
+    held: tuple | None = None
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def done(rows: dict[str, np.ndarray], sig: np.ndarray, last: bool):
-        nonlocal held, held_sig
+    def done(rows: dict[str, np.ndarray], sig: np.ndarray, bits: np.ndarray, last: bool):
+        nonlocal held
         new = np.flatnonzero((np.diff(rows["key"]) != 0) | (np.diff(rows["i"]) != 0) | (np.diff(rows["j"]) != 0)) + 1
         cuts = [0, *new.tolist(), len(sig)]
         upto = len(cuts) - 1 if last else len(cuts) - 2
         a, b = [], []
         for x, y in zip(cuts[:upto], cuts[1: upto + 1]):
             if y - x > 1 and (rows["comp"][x:y] != rows["comp"][x]).any():
-                p, q = pairs({c: v[x:y] for c, v in rows.items()}, sig[x:y])
+                p, q = pairs({c: v[x:y] for c, v in rows.items()}, sig[x:y], bits[x:y])
                 a.append(np.maximum(p, q))
                 b.append(np.minimum(p, q))
-        held, held_sig = ({c: v[cuts[upto]:] for c, v in rows.items()}, sig[cuts[upto]:]) if not last else (None, None)
+        held = None if last else ({c: v[cuts[upto]:] for c, v in rows.items()}, sig[cuts[upto]:], bits[cuts[upto]:])
         if a:
             yield pa.RecordBatch.from_pydict({"a": np.concatenate(a), "b": np.concatenate(b)}, schema=schema)
 
     for batch in batches:
         rows, sig = {c: batch.column(c).to_numpy() for c in names}, _matrix(batch.column("signature"))
+        bits = np.frombuffer(b"".join(batch.column("bits").to_pylist()), "<u8").reshape(-1, BITS // 64)
         if held is not None:
-            rows, sig = {c: np.concatenate([held[c], v]) for c, v in rows.items()}, np.concatenate([held_sig, sig])
+            rows, sig, bits = {c: np.concatenate([held[0][c], v]) for c, v in rows.items()}, np.concatenate([held[1], sig]), np.concatenate([held[2], bits])
         if len(sig):
-            yield from done(rows, sig, False)
-    if held is not None and len(held_sig):
-        yield from done(held, held_sig, True)
+            yield from done(rows, sig, bits, False)
+    if held is not None and len(held[1]):
+        yield from done(*held, True)
 
 
 def _remaining(shared: DataFrame, comps: DataFrame, signed: DataFrame, whole: DataFrame, distance: int, width: int, percent: int) -> DataFrame:
@@ -188,15 +197,13 @@ def _remaining(shared: DataFrame, comps: DataFrame, signed: DataFrame, whole: Da
     open_ = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows")).filter("lo <> hi").select("key", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
     left = stored(rows.join(open_, "key"), "open")
     nodes = left.select("node").distinct()
-    held = whole.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(partial(_shingles, width=width), "node long, shingle long")
-    own = held.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).filter("n = 1").groupBy("node").agg(F.count("*").alias("own"))
-    signs = nodes.join(signed.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "signature"), "node").join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0).cast("long")))
-    may = signs.filter(100 * (F.col("n") - F.col("own")) >= percent * F.col("n"))  # others link with nothing
+    maps = whole.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(partial(_bitmaps, width=width), "node long, bits binary")
+    signs = nodes.join(signed.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "signature"), "node").join(maps, "node")
     dealt = left.withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "node", "comp")
-    blocks = dealt.join(may, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    found = blocks.select("key", "i", "j", "side", "node", "comp", "n", "own", "signature").mapInArrow(partial(_apart, distance=distance, percent=percent), "a long, b long")
+    blocks = dealt.join(signs, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    found = blocks.select("key", "i", "j", "side", "node", "comp", "n", "signature", "bits").mapInArrow(partial(_apart, distance=distance, percent=percent), "a long, b long")
     return found.distinct()
 
 
