@@ -60,7 +60,9 @@ def assign(lengths: np.ndarray, size: int, linear: float = LINEAR, quadratic: fl
     total = int(lengths.sum())
     room = np.array([size] * (total // size) + powers(total % size), dtype=np.int64)
     cost, out = np.zeros(len(room)), []
-    for row, n in enumerate(lengths.tolist()):
+    whole = int((lengths == size).sum())  # these come first and fill a sequence each
+    out, room[:whole], cost[:whole] = [(i, 0, size, i) for i in range(whole)], 0, linear * size + quadratic * size * size
+    for row, n in enumerate(lengths[whole:].tolist(), whole):
         at = 0
         while n:
             best = int(np.where(room >= n, cost, np.inf).argmin())

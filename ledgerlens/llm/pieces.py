@@ -55,10 +55,11 @@ class PieceEncoder:
         self.vocabulary = self.library.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
         self.letters = dict(enumerate(byte_letters()))
-        self.cache = _Cache(self._make)
+        self.cache, self.starts = _Cache(self._make), _Cache(self._start)
+        self.forms = [struct.Struct(f"<{n}{'HI'[self.dtype.itemsize > 2]}").pack for n in range(32)]
 
     def _ids(self, ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}{'HI'[self.dtype.itemsize > 2]}", *ids)
+        return self.forms[len(ids)](*ids) if len(ids) < 32 else np.array(ids, self.dtype).tobytes()
 
     def _whole(self, text: str) -> bytes:
         return self._ids(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids)
@@ -67,6 +68,8 @@ class PieceEncoder:
         """Ids of one piece that follows a space; None where its neighbours may matter.
         A piece of letters alone is one word for the model."""
         if not piece.isalpha():
+            if "\n" in piece:
+                return self._lines(piece)
             core = piece.rstrip(".,;:!?")
             if core != piece and core.isalpha():
                 return self.cache[core] + self._punctuation(piece[len(core):])
@@ -78,6 +81,26 @@ class PieceEncoder:
             word = piece.lower() if piece.isascii() else "".join(c.lower() for c in unicodedata.normalize("NFC", piece))
             if not word.isalpha():
                 return self._whole(piece)
+        return self._word(word)
+
+    def _lines(self, piece: str) -> bytes | None:
+        """A piece over a line end: what is before it, then the line end with what follows."""
+        before, after = piece.split("\n", 1)
+        if not before or before[-1].isspace() or not after or after[0].isspace():
+            return None if not before or not after or piece[0].isspace() or piece[-1].isspace() or "<|" in piece else self._whole(" " + piece if self.spaced else piece)
+        head, tail = self.cache[before], (self.starts if self.spaced else self.cache)[after]
+        return None if head is None or tail is None else head + tail
+
+    def _start(self, piece: str) -> bytes | None:
+        """Ids of a line end and a piece that follows it, where the vocabulary keeps line ends."""
+        if piece.isalpha():
+            return self._punctuation("\n") + self._word(piece)
+        core = piece.rstrip(".,;:!?")
+        if core != piece and core.isalpha():
+            return self.starts[core] + self._punctuation(piece[len(core):])
+        return None if piece[-1].isspace() or "<|" in piece else self._whole("\n" + piece)
+
+    def _word(self, word: str) -> bytes:
         return self._ids([t.id for t in self.tokenize(word.encode().decode("latin-1").translate(self.letters))])
 
     @lru_cache(1024)
@@ -89,11 +112,16 @@ class PieceEncoder:
         if not text:
             return b""
         if len(self.cache) > CACHE_PIECES:
-            self.cache = _Cache(self._make, dict(self.cache))
+            self.cache.old = {}
+            self.cache = _Cache(self._make, self.cache)
+        if len(self.starts) > CACHE_PIECES // 8:
+            self.starts.clear()
         first, *rest = text.split(" ")
         try:
             got = b"".join(map(self.cache.__getitem__, rest))
-            return (self._whole(first) if self.spaced else self.cache[first]) + got
+            if self.spaced:
+                return (self._word(first) if first.isalpha() else self._whole(first)) + got
+            return self.cache[first] + got
         except TypeError:  # a piece whose neighbours may matter
             return self._whole(text)
 
