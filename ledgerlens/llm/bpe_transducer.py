@@ -36,9 +36,9 @@ from ledgerlens.session import scratch_path
 #: Words compiled into the automaton.
 LEXICON_WORDS = 1 << 18
 #: Distinct pieces that a counting task holds before it hands its counts on.
-COUNTED_PIECES = 400_000
+COUNTED_PIECES = 250_000
 #: Pieces that a worker's cache of ids holds in each of two generations.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 250_000
 #: White space of the pattern, as the Unicode property has it.
 SPACE = r"\t-\r \x85\xa0  -     　"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
@@ -224,11 +224,27 @@ class Encoder:
         self.vocabulary, self.lexicon = vocabulary(tokenizer), Transducer(lexicon)
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.merged: dict[str, bytes] = {}  # words that the automaton rejects
 
     def words(self, words: list[str]) -> dict[str, bytes]:
-        encoded = [w.encode() for w in words]
-        out, ids = self.lexicon.out, self.lexicon.ids
-        return {w: (ids[out[n]: out[n + 1]] if n >= 0 else np.array(self.vocabulary.merge(b), "<i4")).tobytes() for w, b, n in zip(words, encoded, self.lexicon.numbers(encoded).tolist())}
+        if len(self.merged) > CACHE_PIECES // 2:
+            self.merged.clear()
+        got, new = {}, []
+        for w in words:
+            if (ids := self.merged.get(w)) is None:
+                new.append(w)
+            else:
+                got[w] = ids
+        encoded = [w.encode() for w in new]
+        numbers = self.lexicon.numbers(encoded)
+        at, end = self.lexicon.out[numbers] * 4, self.lexicon.out[numbers + 1] * 4
+        flat = memoryview(self.lexicon.ids).cast("B")
+        for w, b, n, x, y in zip(new, encoded, numbers.tolist(), at.tolist(), end.tolist()):
+            if n >= 0:
+                got[w] = bytes(flat[x:y])
+            else:
+                got[w] = self.merged[w] = np.array(self.vocabulary.merge(b), "<i4").tobytes()
+        return got
 
     def segments(self, texts_: list[str]) -> list[bytes]:
         """Ids of stretches without special tokens or meeting white space, cut at spaces into pieces."""
@@ -280,7 +296,7 @@ def _encode(batches: Iterator[pa.RecordBatch], tokenizer: str, lexicon: str) ->
         _ENCODERS.clear()
         _ENCODERS[tokenizer, lexicon] = Encoder(tokenizer, lexicon)
     enc = _ENCODERS[tokenizer, lexicon]
-    for batch in slices(batches):
+    for batch in slices(batches, limit=1 << 21):
         rows = enc.encode(batch.column("text").to_pylist())
         ends = np.cumsum([0, *(len(r) // 4 for r in rows)], dtype=np.int32)
         ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(rows), "<i4")))

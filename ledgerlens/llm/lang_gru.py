@@ -25,7 +25,7 @@ SAMPLE_DOCUMENTS, SAMPLE_WORDS = 4096, 40_000
 WIDTH, EMBEDDING, EPOCHS, BATCH, RATE = 16, 12, 4, 128, 0.01
 #: Bytes of a word that run together; longer words run in stretches.
 STRETCH = 48
-CACHE_PIECES = 300_000
+CACHE_PIECES = 200_000
 UNKNOWN = "und"
 _EDGE = 0x20
 

@@ -15,7 +15,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Pieces that each of the two generations of a worker's cache holds.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 250_000
 _LOADED: dict[str, PieceEncoder] = {}
 
 
