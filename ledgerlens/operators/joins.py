@@ -22,7 +22,8 @@ def recent_predictions(pred: DataFrame, users: DataFrame, entity: str | None = N
     p = pred if entity is None else pred.filter(F.col("entity_name") == entity)
     top = p.orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
     u = users.select(F.col("id").alias("_uid"), F.col("username").alias("created_by_username"))
-    return F.broadcast(top).join(u, top.created_by == u._uid, "left").drop("_uid")
+    joined = u.join(F.broadcast(top), top.created_by == u._uid, "right")  # the outer side of a join cannot be broadcast
+    return joined.select(*[top[c] for c in top.columns], "created_by_username")
 
 
 def recent_activity(log: DataFrame, users: DataFrame, user_id=None, limit: int = 100,
@@ -32,7 +33,8 @@ def recent_activity(log: DataFrame, users: DataFrame, user_id=None, limit: int =
     a = log if user_id is None else log.filter(F.col("user_id") == user_id)
     top = a.orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
     u = users.select(F.col("id").alias("_uid"), "username", "role")
-    j = F.broadcast(top).join(u, top.user_id == u._uid, "left").drop("_uid")
+    joined = u.join(F.broadcast(top), top.user_id == u._uid, "right")
+    j = joined.select(*[top[c] for c in top.columns], u["username"], u["role"])
     return j.withColumn("details_parsed", F.from_json("details", details_schema))
 
 

@@ -105,7 +105,7 @@ def train_models(df: DataFrame, features: Sequence[str], label: str = LABEL, tes
     train = split.filter(F.col("split") == "train")
     test = split.filter(F.col("split") == "test")
     sw = with_weights(train, label, "balanced").agg(F.sum("weight").alias("s")).first()["s"]
-    rows, models = [], {}
+    rows, models, failed = [], {}, []
     for name, (est, mode) in estimators(seed, sw).items():
         if names and name not in names:
             continue
@@ -123,6 +123,7 @@ def train_models(df: DataFrame, features: Sequence[str], label: str = LABEL, tes
                 save_model(model, f"{save_dir}/{name}")
         except Exception as e:  # noqa: BLE001 - a failing model is skipped, as in the reference
             m = {"model_name": name, "status": f"failed: {type(e).__name__}"}
+            failed.append(e)
         rows.append(m)
     cols = ["model_name", "status", "roc_auc", "pr_auc", "precision", "recall", "f1_score",
             "precision_at_5pct", "precision_at_10pct", "precision_at_20pct"]
@@ -132,6 +133,8 @@ def train_models(df: DataFrame, features: Sequence[str], label: str = LABEL, tes
                                           "precision_at_5pct double, precision_at_10pct double, "
                                           "precision_at_20pct double")
     ok = [r for r in rows if r.get("status") == "ok"]
+    if failed and not ok:
+        raise RuntimeError("no model could be fitted") from failed[0]
     best = max(ok, key=lambda r: (r["roc_auc"] or 0.0, r["model_name"]))["model_name"] if ok else None
     return metrics, models, best
 
@@ -223,13 +226,19 @@ def tfidf_svd(weights: DataFrame, n_terms: int, n_docs: int, key: str = "doc_id"
     return basis, sing.tolist()
 
 
-def svd_project(weights: DataFrame, basis: list, key: str = "doc_id", minmax: bool = True) -> DataFrame:
+def svd_project(weights: DataFrame, basis: list, key: str = "doc_id", minmax: bool = True,
+                docs: DataFrame | None = None) -> DataFrame:
     """Project documents on the basis (a bounded broadcast of terms x k
-    loadings) and min-max scale each component to [0, 1] (constant -> 0)."""
+    loadings) and min-max scale each component to [0, 1] (constant -> 0).
+    ``docs`` holds all keys: a document without a vocabulary term is a zero
+    row, which counts in the minimum and maximum and is scaled like others."""
     spark = weights.sparkSession
     bdf = spark.createDataFrame(basis, "comp int, idx int, loading double")
     p = (weights.join(F.broadcast(bdf), "idx").groupBy(key, "comp")
          .agg(F.sum(F.col("weight") * F.col("loading")).alias("value")))
+    if docs is not None:
+        comps = F.explode(F.array(*[F.lit(int(c)) for c in sorted({b[0] for b in basis})])).alias("comp")
+        p = docs.select(key, comps).join(p, [key, "comp"], "left").na.fill(0.0, ["value"])
     if not minmax:
         return p
     mm = p.groupBy("comp").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
@@ -254,7 +263,7 @@ def text_feature_matrix(docs: DataFrame, key: str = "doc_id", text: str = "text"
     n_terms = vocab.count()
     w = TX.transform_tfidf(terms, vocab, key).cache()
     basis, _ = tfidf_svd(w, n_terms, n_docs, key, k_max)
-    comps = svd_project(w, basis, key)
+    comps = svd_project(w, basis, key, docs=fe.select(key))
     k = max(c for c, _, _ in basis) + 1
     wide = comps.groupBy(key).pivot("comp", list(range(k))).agg(F.first("value"))
     wide = wide.select(key, *[F.coalesce(F.col(str(i)), F.lit(0.0)).alias(f"tfidf_svd_{i}") for i in range(k)])

@@ -134,8 +134,8 @@ cum AS (SELECT feature, sum(r) OVER w AS cr, sum(c) OVER w AS cc, sum(r) OVER (P
 d AS (SELECT feature, CAST(max(n_ref) AS BIGINT) AS n_ref, CAST(max(n_cur) AS BIGINT) AS n_cur,
   max(abs(cr / n_ref - cc / n_cur)) AS ks_statistic FROM cum GROUP BY feature),
 p AS (SELECT *, (sqrt(n_ref * n_cur / (n_ref + n_cur)) + 0.12 + 0.11 / sqrt(n_ref * n_cur / (n_ref + n_cur))) * ks_statistic AS lam FROM d),
-q AS (SELECT *, CASE WHEN lam < 1e-3 THEN 1.0 ELSE least(1.0, greatest(0.0,
-  2 * list_sum(list_transform(range(1, 101), lambda k: pow(-1.0, k - 1) * exp(-2.0 * k * k * lam * lam))))) END AS p_value FROM p)"""
+q AS (SELECT *, CASE WHEN lam <= 0 THEN 1.0 WHEN lam > 1 THEN least(1.0, 2 * (exp(-2 * lam * lam) - exp(-8 * lam * lam) + exp(-18 * lam * lam) - exp(-32 * lam * lam) + exp(-50 * lam * lam)))
+  ELSE greatest(0.0, 1 - sqrt(2 * pi()) / lam * (exp(-pi() * pi() / (8 * lam * lam)) + exp(-9 * pi() * pi() / (8 * lam * lam)) + exp(-25 * pi() * pi() / (8 * lam * lam)))) END AS p_value FROM p)"""
 
 
 @register("mon_ks_drift", _KS_SQL + f""" SELECT feature, n_ref, n_cur, {r('ks_statistic')} AS ks_statistic,
