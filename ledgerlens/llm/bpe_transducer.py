@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -39,10 +40,18 @@ LEXICON_WORDS = 1 << 18
 COUNTED_PIECES = 250_000
 #: Pieces that a worker's cache of ids holds in each of two generations.
 CACHE_PIECES = 250_000
+#: Ids that one step of decoding spells out.
+DECODED_IDS = 1 << 17
+#: A merge is one integer: its rank above ID_BITS bits of the new id; NO_MERGE is above all of them.
+ID_BITS = 24
+NEW_ID, NO_MERGE = (1 << ID_BITS) - 1, 1 << 60
 #: White space of the pattern, as the Unicode property has it.
 SPACE = r"\t-\r \x85\xa0  -     　"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
+#: A space that meets other white space.
+MET = re.compile(r" \s|\s ")
+
 
 class Vocabulary:
     """Merges and tokens of a byte-level vocabulary file."""
@@ -55,7 +64,8 @@ class Vocabulary:
         byte = {c: b for b, c in enumerate(letters)}
         ids = model["vocab"]
         pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
-        self.merges = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(pairs)}
+        #: By pair of ids: rank of the merge, then the new id in the low bits.
+        self.merges = {(ids[a], ids[b]): rank << ID_BITS | ids[a + b] for rank, (a, b) in enumerate(pairs)}
         self.first = [ids[c] for c in letters]
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.bytes = [b""] * (1 + max([*ids.values(), *self.special.values()]))
@@ -72,41 +82,35 @@ class Vocabulary:
         ids = [self.first[b] for b in word]
         if len(ids) > 64:
             return self._merge_long(ids)
-        far = 1 << 60
-        none = (far, 0)
         get = self.merges.get
-        rank = [get(p, none) for p in zip(ids, ids[1:])]
-        while rank:
-            best = min(rank)
-            if best[0] == far:
-                break
+        rank = [get(p, NO_MERGE) for p in zip(ids, ids[1:])]
+        while rank and (best := min(rank)) < NO_MERGE:
             i = rank.index(best)
-            ids[i: i + 2] = [best[1]]
-            del rank[i]
+            ids[i] = new = best & NEW_ID
+            del ids[i + 1], rank[i]
             if i:
-                rank[i - 1] = get((ids[i - 1], ids[i]), none)
+                rank[i - 1] = get((ids[i - 1], new), NO_MERGE)
             if i < len(rank):
-                rank[i] = get((ids[i], ids[i + 1]), none)
+                rank[i] = get((new, ids[i + 1]), NO_MERGE)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same with a heap and linked positions, for words of any length."""
         n, get = len(ids), self.merges.get
         after, before, alive = [*range(1, n), -1], [*range(-1, n - 1)], [True] * n
-        heap = [(*m, i, a, b) for i, (a, b) in enumerate(zip(ids, ids[1:])) if (m := get((a, b)))]
-        heap = [(r, i, new, a, b) for r, new, i, a, b in heap]
+        heap = [(m, i, a, b) for i, (a, b) in enumerate(zip(ids, ids[1:])) if (m := get((a, b))) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, new, a, b = heapq.heappop(heap)
+            best, i, a, b = heapq.heappop(heap)
             j = after[i]
             if not alive[i] or j < 0 or ids[i] != a or ids[j] != b:
                 continue
-            ids[i], alive[j], after[i] = new, False, after[j]
+            ids[i], alive[j], after[i] = best & NEW_ID, False, after[j]
             if after[i] >= 0:
                 before[after[i]] = i
             for p, q in ((before[i], i), (i, after[i])):
-                if p >= 0 and q >= 0 and (m := get((ids[p], ids[q]))):
-                    heapq.heappush(heap, (m[0], p, m[1], ids[p], ids[q]))
+                if p >= 0 and q >= 0 and (m := get((ids[p], ids[q]))) is not None:
+                    heapq.heappush(heap, (m, p, ids[p], ids[q]))
         return [x for x, kept in zip(ids, alive) if kept]
 
 
@@ -285,7 +289,7 @@ def is_plain(text: str, marks: list[str]) -> bool:
         return False
     if text.isascii():
         return not any(x in text for x in ("\n ", " \n", "\t ", " \t", "\r ", " \r", "\v", "\f", "\x1c", "\x1d", "\x1e", "\x1f"))
-    return not any(p[:1].isspace() or p[-1:].isspace() for p in text.split(" "))
+    return MET.search(text) is None
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
@@ -303,15 +307,38 @@ def _encode(batches: Iterator[pa.RecordBatch], tokenizer: str, lexicon: str) ->
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], ["doc_id", "ids"])
 
 
+class Spelling:
+    """The bytes of all tokens in one array: ids become bytes by gathering, many at a time."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.length = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        self.start = np.cumsum(self.length) - self.length
+        self.letters = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def spell(self, ids: np.ndarray) -> bytes:
+        parts = []
+        for a in range(0, len(ids), DECODED_IDS):
+            some = ids[a: a + DECODED_IDS]
+            length = self.length[some]
+            end = np.cumsum(length)
+            parts.append(self.letters[np.repeat(self.start[some] - end + length, length) + np.arange(end[-1])].tobytes())
+        return b"".join(parts)
+
+
 def _decode(batches: Iterator[pa.RecordBatch], tokenizer: str) -> Iterator[pa.RecordBatch]:
-    token = vocabulary(tokenizer).bytes.__getitem__
+    spelling = Spelling(vocabulary(tokenizer).bytes)
     for batch in batches:
         column = batch.column("ids")
-        flat, ends = column.flatten(), np.asarray(column.offsets) - column.offsets[0].as_py()
-        for a in range(0, len(batch), 512):  # few texts at a time, as bytes of tokens outgrow ids
-            b = min(a + 512, len(batch))
-            out = [b"".join(map(token, flat.slice(x, y - x).to_pylist())).decode("utf-8", "replace") for x, y in zip(ends[a:b], ends[a + 1: b + 1])]
+        ends = np.asarray(column.offsets)
+        flat = np.asarray(column.values)
+        a = 0
+        while a < len(batch):  # few texts at a time, as bytes of tokens outgrow ids
+            b = max(a + 1, int(np.searchsorted(ends, ends[a] + DECODED_IDS, "right")) - 1)
+            text = spelling.spell(flat[ends[a]: ends[b]])
+            at = np.concatenate([[0], np.cumsum(spelling.length[flat[ends[a]: ends[b]]])])[ends[a: b + 1] - ends[a]]
+            out = [text[x:y].decode("utf-8", "replace") for x, y in zip(at.tolist(), at[1:].tolist())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), column.slice(a, b - a), pa.array(out, pa.string())], ["doc_id", "ids", "decoded"])
+            a = b
 
 
 def _count(batches: Iterator[pa.RecordBatch], tokenizer: str) -> Iterator[pa.RecordBatch]:
