@@ -67,6 +67,12 @@ class Vocabulary:
         #: By pair of ids: rank of the merge, then the new id in the low bits.
         self.merges = {(ids[a], ids[b]): rank << ID_BITS | ids[a + b] for rank, (a, b) in enumerate(pairs)}
         self.first = [ids[c] for c in letters]
+        order = sorted(self.merges)
+        self.pairs = np.array([a << 32 | b for a, b in order], np.int64)
+        self.pair_ranks = np.array([self.merges[p] for p in order], np.int64)
+        self.letter_ids = np.array(self.first, np.int64)
+        a, b = np.divmod(np.arange(1 << 16), 256)
+        self.letter_ranks = self._ranks(self.letter_ids[a], self.letter_ids[b]).reshape(256, 256)
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.bytes = [b""] * (1 + max([*ids.values(), *self.special.values()]))
         for token, i in ids.items():
@@ -94,6 +100,51 @@ class Vocabulary:
                 rank[i] = get((new, ids[i + 1]), NO_MERGE)
         return ids
 
+    def merge_all(self, words: list[bytes]) -> list[bytes]:
+        """Ids (little-endian, 32 bits) of many words: those of one length are a matrix, and
+        every step merges in each row its lowest-ranked pair, the leftmost of equals."""
+        out = [b""] * len(words)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        for length in np.unique(lengths).tolist():
+            which = np.flatnonzero(lengths == length)
+            if length < 2 or length > 64 or len(which) < 16:
+                for i in which.tolist():
+                    out[i] = np.array(self.merge(words[i]), "<i4").tobytes()
+                continue
+            letters = np.frombuffer(b"".join([words[i] for i in which.tolist()]), np.uint8).reshape(-1, length)
+            ids, rank = self.letter_ids[letters], self.letter_ranks[letters[:, :-1], letters[:, 1:]]
+            while len(ids):
+                width, row = ids.shape[1], np.arange(len(ids))
+                at = rank.argmin(1) if width > 1 else None
+                best = rank[row, at] if width > 1 else np.full(len(ids), NO_MERGE)
+                done = best == NO_MERGE
+                if done.any():
+                    flat = ids[done].astype("<i4").tobytes()
+                    for k, i in enumerate(which[done].tolist()):
+                        out[i] = flat[k * width * 4: (k + 1) * width * 4]
+                    if done.all():
+                        break
+                    which, ids, rank, at, best = which[~done], ids[~done], rank[~done], at[~done], best[~done]
+                    row = np.arange(len(ids))
+                ids[row, at] = best & NEW_ID
+                kept = np.ones(ids.shape, bool)
+                kept[row, at + 1] = False
+                ids = ids[kept].reshape(len(row), width - 1)
+                kept = np.ones(rank.shape, bool)
+                kept[row, at] = False
+                rank = rank[kept].reshape(len(row), width - 2)
+                left, right = np.flatnonzero(at > 0), np.flatnonzero(at < width - 2)
+                rank[left, at[left] - 1] = self._ranks(ids[left, at[left] - 1], ids[left, at[left]])
+                rank[right, at[right]] = self._ranks(ids[right, at[right]], ids[right, at[right] + 1])
+        return out
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        if not len(self.pairs):
+            return np.full(len(a), NO_MERGE)
+        key = a << 32 | b
+        i = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[i] == key, self.pair_ranks[i], NO_MERGE)
+
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same with a heap and linked positions, for words of any length."""
         n, get = len(ids), self.merges.get
@@ -243,12 +294,15 @@ class Encoder:
         numbers = self.lexicon.numbers(encoded)
         at, end = self.lexicon.out[numbers] * 4, self.lexicon.out[numbers + 1] * 4
         flat = memoryview(self.lexicon.ids).cast("B")
+        rejected = []
         for w, b, n, x, y in zip(new, encoded, numbers.tolist(), at.tolist(), end.tolist()):
             if n >= 0:
                 got[w] = bytes(flat[x:y])
             else:
-                got[w] = self.merged[w] = np.array(self.vocabulary.merge(b), "<i4").tobytes()
-        return got
+                rejected.append((w, b))
+        merged = dict(zip([w for w, _ in rejected], self.vocabulary.merge_all([b for _, b in rejected])))
+        self.merged.update(merged)
+        return got | merged
 
     def segments(self, texts_: list[str]) -> list[bytes]:
         """Ids of stretches without special tokens or meeting white space, cut at spaces into pieces."""
