@@ -3,17 +3,15 @@
 PFX replaces every *un-partitioned* window (``Window.orderBy`` with no
 ``partitionBy``), which Spark runs in a single task.  It
 
-1. samples the (unique) order key and picks ~B range boundaries on the driver
-   (a bounded sample, never the data),
-2. assigns each row a bucket = number of boundaries below its key (a
-   JVM-side array expression, equal keys always share a bucket),
-3. sums the weights per bucket (<= B rows reach the driver) and turns them
-   into exclusive bucket offsets, inlined as a literal array,
-4. runs the window only *inside* each bucket (``partitionBy(bucket)``), so the
-   sort is split into B balanced tasks.
+1. range-partitions the rows by their (unique) key with
+   ``repartitionByRange`` and writes them once, the partition id beside them,
+2. sums the weights per partition id; two sums for each id (of its first and
+   its last group) reach the driver, whatever the number of rows and groups,
+3. hands the carry of each id back as a broadcast table of one row per id,
+4. runs the window only *inside* each id, so the sort is split evenly.
 
 Keys are unique by contract (callers pass distinct-value tables or a unique
-row key), so a hot value can never make a hot bucket: value-count tables are
+row key), so a hot value can never make a hot range: value-count tables are
 pre-aggregated with map-side combine before they get here.
 """
 
@@ -25,19 +23,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_SAMPLE_PER_BUCKET = 20
-_SEED = 20240101
-_SMALL_PARTS = 10000
-
-
-def _default_buckets(df: DataFrame) -> int:
-    sp = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(16, 2 * sp)
-
-
-def _lit_struct(row, fields: Sequence[T.StructField]) -> Column:
-    return F.struct(*[F.lit(row[i]).cast(f.dataType).alias(f.name) for i, f in enumerate(fields)])
-
 
 def prefix_sums(df: DataFrame, order: Sequence[str], weights: Sequence[str],
                 partition: Sequence[str] = (), n_buckets: int | None = None,
@@ -45,80 +30,43 @@ def prefix_sums(df: DataFrame, order: Sequence[str], weights: Sequence[str],
     """Add ``{w}{suffix}`` = sum of ``w`` over rows strictly before each row in
     ascending ``order`` (within ``partition`` when given).
 
-    ``partition + order`` must be unique and non-null.  With ``partition``, the
-    global prefix over ``partition + order`` is corrected by each partition's
-    starting offset, itself a PFX over the (small) per-partition totals.
+    ``partition + order`` must be unique and non-null.  Rows of one partition
+    value fill consecutive ranges, so only the first value of a range can go
+    on from the ranges before it: the carry of a range is what its first
+    value has gathered there.  ``n_buckets`` sets the number of ranges (else
+    the shuffle partitions, merged by AQE where they are small).
     """
-    keys = list(partition) + list(order)
-    spark = df.sparkSession
-    B = n_buckets or _default_buckets(df)
-    # The input is read several times (count, boundary sample, bucket totals,
-    # the windowed pass): an eager checkpoint into the shared checkpoint
-    # folder computes it once and cuts its lineage (executor loss re-reads
-    # the files instead of recomputing upstream joins).
     from ledgerlens.session import checkpoint_dir
+    spark = df.sparkSession
     checkpoint_dir(spark)
-    df = df.checkpoint()
-    n = df.count()
-    if n == 0:
-        return df.select("*", *[F.lit(0).cast("double").alias(w + suffix) for w in weights])
-    frac = min(1.0, _SAMPLE_PER_BUCKET * B / n)
-    key = F.struct(*[F.col(k) for k in keys])
-    fields = df.select(key.alias("k")).schema["k"].dataType.fields
-    sample = df.select(key.alias("k")).sample(False, frac, _SEED).orderBy("k").collect()
-    m = len(sample)
-    bounds = []
-    if m:
-        for i in range(1, B):
-            b = sample[min(m - 1, i * m // B)]["k"]
-            if not bounds or tuple(b) != tuple(bounds[-1]):
-                bounds.append(b)
-    if bounds:
-        arr = F.array(*[_lit_struct(b, fields) for b in bounds])
-        bucket = F.size(F.filter(arr, lambda b: b < key))
-    else:
-        bucket = F.lit(0)
-    t = df.withColumn("_bk", bucket)
-    tots = t.groupBy("_bk").agg(*[F.sum(F.col(w).cast("double")).alias(w) for w in weights]).collect()
-    offs = {w: {} for w in weights}
-    for w in weights:
-        run = 0.0
-        for r in sorted(tots, key=lambda r: r["_bk"]):
-            offs[w][r["_bk"]] = run
-            run += r[w] or 0.0
-    nb = len(bounds) + 1
-    win = Window.partitionBy("_bk").orderBy(*[F.col(k).asc() for k in keys]).rowsBetween(
-        Window.unboundedPreceding, -1)
-    out_cols = []
-    for w in weights:
-        off_arr = F.array(*[F.lit(offs[w].get(i, 0.0)) for i in range(nb)])
-        out_cols.append((F.element_at(off_arr, F.col("_bk") + 1)
-                         + F.coalesce(F.sum(F.col(w).cast("double")).over(win), F.lit(0.0))).alias(w + suffix))
-    res = t.select(*df.columns, *out_cols)
-    if not partition:
-        return res
-    # starting offset of each partition.  Few partitions (<= _SMALL_PARTS,
-    # checked by a count): totals to the driver, offsets back as a bounded
-    # broadcast table.  Many partitions: a PFX over the per-partition totals.
-    ptot = df.groupBy(*partition).agg(*[F.sum(F.col(w).cast("double")).alias(w) for w in weights])
-    if ptot.count() <= _SMALL_PARTS:
-        rows = sorted(ptot.collect(), key=lambda r: tuple(r[p] for p in partition))
-        run = {w: 0.0 for w in weights}
-        data = []
-        for r in rows:
-            data.append(tuple(r[p] for p in partition) + tuple(run[w] for w in weights))
-            for w in weights:
-                run[w] += r[w] or 0.0
-        schema = ptot.select(*partition).schema
-        from pyspark.sql import types as _T
-        for w in weights:
-            schema = schema.add(_T.StructField(w + "_poff", _T.DoubleType()))
-        poff = F.broadcast(spark.createDataFrame(data, schema))
-    else:
-        poff = prefix_sums(ptot, list(partition), weights, (), n_buckets=max(4, B // 8), suffix="_poff")
-        poff = poff.select(*partition, *[w + "_poff" for w in weights])
-    res = res.join(poff, list(partition))
-    return res.select(*df.columns, *[(F.col(w + suffix) - F.col(w + "_poff")).alias(w + suffix) for w in weights])
+    part, order = list(partition), list(order)
+    n = [n_buckets] if n_buckets else []
+    # Written once, as the totals and the windowed pass must see the same ranges.
+    t = df.repartitionByRange(*n, *part, *order).withColumn("_bk", F.spark_partition_id()).checkpoint()
+    group = F.struct(*part) if part else F.lit(0)
+    sums = t.groupBy("_bk", *part).agg(*[F.sum(F.col(w).cast("double")).alias(w) for w in weights])
+    ends = sums.groupBy("_bk").agg(F.min(F.struct(group.alias("g"), *weights)).alias("first"),
+                                   F.max(F.struct(group.alias("g"), *weights)).alias("last"))
+    carries, run, open_group = [], [0.0] * len(weights), None
+    for r in sorted(ends.collect(), key=lambda r: r["_bk"]):      # one row per range
+        first, last = r["first"], r["last"]
+        if first["g"] != open_group:
+            run = [0.0] * len(weights)
+        carries.append((r["_bk"], first["g"], *run))
+        before = run if first["g"] == last["g"] else [0.0] * len(weights)
+        run = [x + (last[w] or 0.0) for x, w in zip(before, weights)]
+        open_group = last["g"]
+    schema = T.StructType([T.StructField("_bk", T.IntegerType()),
+                           T.StructField("_g", ends.schema["first"].dataType["g"].dataType)]
+                          + [T.StructField(f"_c{i}", T.DoubleType()) for i in range(len(weights))])
+    # at most one row per shuffle partition: a bounded broadcast
+    t = t.join(F.broadcast(spark.createDataFrame(carries, schema)), "_bk")
+    win = (Window.partitionBy("_bk", *part).orderBy(*[F.col(k).asc() for k in order])
+           .rowsBetween(Window.unboundedPreceding, -1))
+    out = [(F.coalesce(F.sum(F.col(w).cast("double")).over(win), F.lit(0.0))
+            + F.when(group == F.col("_g"), F.col(f"_c{i}")).otherwise(F.lit(0.0))).alias(w + suffix)
+           for i, w in enumerate(weights)]
+    return t.select(*df.columns, *out)
 
 
 def row_index(df: DataFrame, order: Sequence[str], out: str = "row_idx", n_buckets: int | None = None) -> DataFrame:
