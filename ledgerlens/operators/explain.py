@@ -94,10 +94,10 @@ def sampled_shapley(model, instances: DataFrame, background: DataFrame, features
     """EXP-3: permutation-sampling Shapley values (Strumbelj & Kononenko).
 
     Each (instance, sample) draws a feature permutation and a background row
-    (deterministic hashes of the keys, so recomputation is stable); for each
-    feature two coalition vectors differ only in that feature; the model
-    scores all of them in one ``transform``; attributions are the averaged
-    marginal differences.  Per sample the marginals telescope to
+    (deterministic hashes of the keys, so recomputation is stable); coalitions
+    grow by one feature of the permutation at a time; the model scores them
+    in one ``transform``; attributions are the averaged differences between
+    neighbours.  Per sample the marginals telescope to
     f(x) - f(z), so attributions sum exactly to prediction - expected_value
     (expected = mean f(z) over the instance's samples).
     """
@@ -115,30 +115,21 @@ def sampled_shapley(model, instances: DataFrame, background: DataFrame, features
     keyed = F.transform(F.sequence(F.lit(0), F.lit(nf - 1)), lambda i: F.struct(F.xxhash64(h, i).alias("r"), i.alias("i")))
     s = s.withColumn("perm", F.transform(F.array_sort(keyed), lambda t: t["i"]))
     s = s.join(F.broadcast(zarr), "_bid")          # background <= 100 rows: bounded broadcast
-    s = s.select("*", F.explode(F.sequence(F.lit(0), F.lit(nf - 1))).alias("j"))
-    pos = lambda f: F.array_position(F.col("perm"), f) - 1
-    pj = F.array_position(F.col("perm"), F.col("j")) - 1
-    with_j = F.transform(F.sequence(F.lit(0), F.lit(nf - 1)),
-                         lambda f: F.when(pos(f) <= pj, F.col("x")[f]).otherwise(F.col("z")[f]))
-    without_j = F.transform(F.sequence(F.lit(0), F.lit(nf - 1)),
-                            lambda f: F.when(pos(f) < pj, F.col("x")[f]).otherwise(F.col("z")[f]))
-    pts = s.select(*key, "m", "j", F.array(F.struct(F.lit(1).alias("side"), with_j.alias("v")),
-                                           F.struct(F.lit(0).alias("side"), without_j.alias("v"))).alias("pp"))
-    pts = pts.select(*key, "m", "j", F.explode("pp").alias("p")).select(
-        *key, "m", "j", F.col("p.side").alias("side"), array_to_vector(F.col("p.v")).alias("features"))
-    scored = model.transform(pts).select(*key, "m", "j", "side",
-                                         vector_to_array("probability")[prob_index].alias("f"))
-    marg = (scored.groupBy(*key, "m", "j")
-            .agg((F.sum(F.when(F.col("side") == 1, F.col("f"))) - F.sum(F.when(F.col("side") == 0, F.col("f"))))
-                 .alias("d")))
-    attr = marg.groupBy(*key, "j").agg(F.avg("d").alias("attribution"))
-    # expected value per instance: mean f(z) over its samples = the j whose
-    # 'without' coalition is empty (first feature in the permutation).
-    first = s.filter(F.col("perm")[0] == F.col("j")).select(*key, "m", "j")
-    ez = (scored.filter(F.col("side") == 0).join(first, [*key, "m", "j"])
-          .groupBy(*key).agg(F.avg("f").alias("expected_value")))
-    names = F.element_at(F.array(*[F.lit(f) for f in feats]), F.col("j") + 1)
-    xs = inst.select(*key, "x")
-    out = attr.join(ez, list(key)).join(xs, list(key))
-    return out.select(*key, names.alias("feature"), F.col("x")[F.col("j")].alias("value"), "attribution",
-                      "expected_value")
+    # coalition t holds the first t features of the permutation: nf + 1 scores a sample
+    s = s.select("*", F.explode(F.sequence(F.lit(0), F.lit(nf))).alias("t"))
+    v = F.transform(F.sequence(F.lit(0), F.lit(nf - 1)),
+                    lambda f: F.when(F.array_position(F.col("perm"), f) <= F.col("t"), F.col("x")[f])
+                    .otherwise(F.col("z")[f]))
+    scored = model.transform(s.select(*key, "perm", "t", array_to_vector(v).alias("features")))
+    f = vector_to_array("probability")[prob_index]
+    # coalition t adds its score to the t-th feature and takes it from the next; t = 0 is the expected value (j = -1)
+    parts = F.array(F.struct(F.coalesce(F.get("perm", F.col("t") - 1), F.lit(-1)).alias("j"), f.alias("v")),
+                    F.struct(F.get("perm", F.col("t")).alias("j"), (-f).alias("v")))
+    tot = (scored.select(*key, F.explode(parts).alias("p")).filter(F.col("p.j").isNotNull())
+           .groupBy(*key, F.col("p.j").alias("j")).agg((F.sum("p.v") / n_perm).alias("a")))
+    per = tot.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("j", "a"))).alias("a"))
+    out = (per.join(inst, list(key))
+           .select(*key, "x", "a", F.explode(F.sequence(F.lit(0), F.lit(nf - 1))).alias("j")))
+    names = F.element_at(F.array(*[F.lit(n) for n in feats]), F.col("j") + 1)
+    return out.select(*key, names.alias("feature"), F.col("x")[F.col("j")].alias("value"),
+                      F.col("a")[F.col("j")].alias("attribution"), F.col("a")[F.lit(-1)].alias("expected_value"))

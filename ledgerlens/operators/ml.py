@@ -89,10 +89,12 @@ def evaluate_predictions(pred: DataFrame, label: str = LABEL, score: str = "prob
 
 
 def train_models(df: DataFrame, features: Sequence[str], label: str = LABEL, test_size: float = 0.2,
-                 names: Sequence[str] | None = None, save_dir: str | None = None, seed: int = 42):
+                 names: Sequence[str] | None = None, save_dir: str | None = None, seed: int = 42,
+                 skip_failing: bool = False):
     """MLT-5: time-aware split, fit every estimator on the cached training
     split, evaluate on the test split, pick the best ROC AUC, optionally
-    persist.  A failing estimator is skipped and reported.  Returns
+    persist.  A failing estimator raises, or with ``skip_failing`` is reported
+    in its row (as long as another can be fitted).  Returns
     (metrics DataFrame, {name: fitted model}, best name)."""
     spark = df.sparkSession
     base = assemble(df, features)
@@ -121,7 +123,9 @@ def train_models(df: DataFrame, features: Sequence[str], label: str = LABEL, tes
             if save_dir:
                 from ledgerlens.sources.io import save_model
                 save_model(model, f"{save_dir}/{name}")
-        except Exception as e:  # noqa: BLE001 - a failing model is skipped, as in the reference
+        except Exception as e:  # noqa: BLE001 - skipped and reported only where the caller asks for it
+            if not skip_failing:
+                raise
             m = {"model_name": name, "status": f"failed: {type(e).__name__}"}
             failed.append(e)
         rows.append(m)
