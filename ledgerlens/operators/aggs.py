@@ -17,6 +17,16 @@ from ledgerlens.functions import rules
 from ledgerlens.functions.exprs import classify_by_keywords, col_, safe_div
 
 ENTITY = "entity_name"
+MAX_YEARS = 1000
+
+
+def distinct_years(df: DataFrame, year: str = "year") -> list[int]:
+    """Sorted distinct years, for a pivot or a split; a column with more than
+    ``MAX_YEARS`` values is no calendar year and raises."""
+    rows = df.select(year).filter(F.col(year).isNotNull()).distinct().limit(MAX_YEARS + 1).collect()
+    if len(rows) > MAX_YEARS:
+        raise ValueError(f"column {year} has more than {MAX_YEARS} years")
+    return sorted(r[0] for r in rows)
 
 
 def kpi_metrics(df: DataFrame, exp_col: str = "total_expenditure", flag_col: str = "audit_flag") -> DataFrame:
@@ -112,12 +122,13 @@ def issue_type_counts(df: DataFrame, issues_col: str = "detected_issues",
             .select("issue_type", F.coalesce("n", F.lit(0)).cast("long").alias("count")))
 
 
-def intensity_matrix(df: DataFrame, years: Sequence[int], top_n: int = 20, exp_col: str = "total_expenditure",
+def intensity_matrix(df: DataFrame, years: Sequence[int] | None = None, top_n: int = 20, exp_col: str = "total_expenditure",
                      flag_col: str | None = "audit_flag") -> DataFrame:
     """AGG-6 / AGG-7: per entity-year intensity (flags/records, or log1p of
     expenditure when there is no flag column) pivoted over ``years``; only
-    the top-N entities by total flags (or expenditure).  The year list is a
-    parameter so the pivot needs no distinct-values job."""
+    the top-N entities by total flags (or expenditure).  Without ``years``,
+    every year of the data becomes a column."""
+    years = distinct_years(df) if years is None else years
     if flag_col is not None:
         ey = (df.groupBy(ENTITY, "year").agg(F.sum(flag_col).alias("flags"), F.count(flag_col).alias("records"))
               .withColumn("value", F.col("flags") / F.col("records")))

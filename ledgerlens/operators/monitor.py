@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import rules
+from ledgerlens.operators.aggs import distinct_years
 from ledgerlens.operators.ordered import prefix_sums
 
 METRICS = ["roc_auc", "precision_at_10", "f1_score"]
@@ -77,9 +78,9 @@ def drift_summary(drift: DataFrame, overall_share: float = 0.3) -> DataFrame:
 def split_reference_current(df: DataFrame, year: str = "year") -> tuple[DataFrame, DataFrame]:
     """MON-2: sorted distinct years halved at len // 2 (first half reference).
 
-    The distinct-year list is tiny and bounded (calendar years); it returns
-    to the driver and becomes two pushed-down ``isin`` filters."""
-    years = sorted(r[0] for r in df.select(year).filter(F.col(year).isNotNull()).distinct().collect())
+    The distinct-year list is bounded (``distinct_years`` checks it); it
+    becomes two pushed-down ``isin`` filters."""
+    years = distinct_years(df, year)
     half = len(years) // 2
     return df.filter(F.col(year).isin(years[:half])), df.filter(F.col(year).isin(years[half:]))
 

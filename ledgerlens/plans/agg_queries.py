@@ -47,7 +47,7 @@ SELECT entity_name, ever_flagged, total_flags, total_records, {r('total_expendit
   {r('avg_expenditure')} AS avg_expenditure, record_count, years_active FROM t""")
 def q_entity_risk_table(spark, sf):
     """AGG-3: per-entity risk table over all entities."""
-    return aggs.entity_risk_table(fx.entity_year(spark, sf), exp_col="expenditure")
+    return aggs.entity_risk_table(fx.entity_year(spark, sf, materialize=False), exp_col="expenditure")
 
 
 @register("agg_entity_risk_scores_all", with_(EY, _RISK_T, _RISK_S) + f"""
@@ -62,6 +62,7 @@ from ledgerlens.functions import rules as RL  # noqa: E402
 from ledgerlens.functions.exprs import classify_by_keywords  # noqa: E402
 from ledgerlens.plans import sqlgen as S  # noqa: E402
 
+#: Years of the driver's orders, for the SQL's columns; the operator takes them from the data.
 YEARS = list(range(1995, 2002))
 
 
@@ -87,7 +88,7 @@ SELECT year, CAST(sum(audit_flag) AS BIGINT) AS flagged_count, count(audit_flag)
 FROM ey WHERE year IS NOT NULL GROUP BY year""")
 def q_yearly_trend(spark, sf):
     """AGG-2: yearly trend."""
-    return aggs.yearly_trend(fx.entity_year(spark, sf))
+    return aggs.yearly_trend(fx.entity_year(spark, sf, materialize=False))
 
 
 _TYPE_SQL = S.classify("trim(u)", RL.ISSUE_TYPE_RULES, None)
@@ -114,7 +115,7 @@ top AS (SELECT entity_name, CAST(sum(flags) AS BIGINT) AS tot FROM g GROUP BY en
 SELECT g.entity_name, top.tot, {_YCOLS} FROM g JOIN top ON g.entity_name = top.entity_name GROUP BY g.entity_name, top.tot""")
 def q_intensity_matrix(spark, sf):
     """AGG-6: top-20 entity x year flag intensity matrix."""
-    return aggs.intensity_matrix(fx.entity_year(spark, sf), YEARS)
+    return aggs.intensity_matrix(fx.entity_year(spark, sf))
 
 
 @register("agg_expenditure_intensity_matrix", with_(EY) + f"""
@@ -124,7 +125,7 @@ top AS (SELECT entity_name, sum(expenditure) AS tot FROM g GROUP BY entity_name
 SELECT g.entity_name, {r('top.tot')} AS tot, {_YCOLS} FROM g JOIN top ON g.entity_name = top.entity_name GROUP BY g.entity_name, top.tot""")
 def q_expenditure_intensity_matrix(spark, sf):
     """AGG-7: intensity on log expenditure (no flag column)."""
-    return aggs.intensity_matrix(fx.entity_year(spark, sf), YEARS, exp_col="expenditure", flag_col=None)
+    return aggs.intensity_matrix(fx.entity_year(spark, sf), exp_col="expenditure", flag_col=None)
 
 
 _DASH_TYPE_SQL = S.classify("entity_name", RL.ENTITY_TYPE_RULES_DASHBOARD, RL.ENTITY_TYPE_DEFAULT_DASHBOARD)
@@ -162,7 +163,7 @@ SELECT min(year) AS min_year, max(year) AS max_year, count(DISTINCT year) AS yea
 FROM ey""")
 def q_year_coverage(spark, sf):
     """AGG-10: year coverage and freshness (as of 2002)."""
-    return aggs.year_coverage(fx.entity_year(spark, sf), 2002)
+    return aggs.year_coverage(fx.entity_year(spark, sf, materialize=False), 2002)
 
 
 _EY_COLS = ["entity_name", "year", "region", "entity_type", "revenue", "expenditure", "total_assets",
@@ -373,7 +374,7 @@ SELECT entity_name, year, CAST(sum(audit_flag) AS BIGINT) AS flags, count(*) AS
   {r('sum(expenditure)')} AS expenditure FROM ey WHERE entity_name IS NOT NULL GROUP BY entity_name, year""")
 def q_entity_year_summary(spark, sf):
     """AGG-26: entity-year summary."""
-    return aggs.entity_year_summary(fx.entity_year(spark, sf), exp_col="expenditure")
+    return aggs.entity_year_summary(fx.entity_year(spark, sf, materialize=False), exp_col="expenditure")
 
 
 @register("agg_data_quality_report", with_(EY) + f"""

@@ -364,10 +364,11 @@ def q_append_columns(spark, sf):
 
 _MLT7 = with_(EYX) + """, g AS (SELECT entity_name, sum(audit_flag) * 1.0 / count(*) AS audit_risk,
   avg(coalesce(total_expenditure, 0)) AS m, stddev_samp(coalesce(total_expenditure, 0)) AS s,
-  max(coalesce(total_expenditure, 0)) AS mx, count(DISTINCT year) AS yrs FROM eyx GROUP BY entity_name),
+  max(coalesce(total_expenditure, 0)) AS mx, count(DISTINCT year) AS yrs,
+  avg(least(round(total_liabilities / total_assets, 2), 1.0)) AS pc FROM eyx GROUP BY entity_name),
 h AS (SELECT entity_name, audit_risk,
   least(1.0, CASE WHEN m > 0 THEN coalesce(s, 0) / m ELSE 0 END * 0.5 + mx / 1e7 * 0.1) AS financial_risk,
-  least(1.0, yrs / 10.0) AS activity_risk, CAST(0 AS DOUBLE) AS prediction_confidence FROM g),
+  least(1.0, yrs / 10.0) AS activity_risk, coalesce(pc, 0) AS prediction_confidence FROM g),
 k AS (SELECT *, audit_risk * 0.4 + financial_risk * 0.2 + activity_risk * 0.1 + prediction_confidence * 0.3 AS overall_score FROM h)"""
 _LEVEL = ("CASE WHEN overall_score >= 0.7 THEN 'Critical' WHEN overall_score >= 0.4 THEN 'High' "
           "WHEN overall_score >= 0.2 THEN 'Medium' ELSE 'Low' END")
@@ -378,7 +379,8 @@ _LEVEL = ("CASE WHEN overall_score >= 0.7 THEN 'Critical' WHEN overall_score >=
   {r('overall_score')} AS overall_score, {_LEVEL} AS risk_level FROM k""")
 def q_composite_risk(spark, sf):
     """MLT-7: composite entity risk for all entities."""
-    k = RK.composite_entity_risk(fx.entity_year_ext(spark, sf))
+    d = fx.entity_year_ext(spark, sf)
+    k = RK.composite_entity_risk(d, fx.entity_scores(d))
     return k.select("entity_name", "audit_risk", "financial_risk", "activity_risk", "prediction_confidence",
                     "overall_score", "risk_level")
 
@@ -395,7 +397,8 @@ SELECT ov.entity_name, ov.records, ov.years, {r('ov.total_expenditure')} AS tota
 FROM ov JOIN k ON ov.entity_name = k.entity_name""")
 def q_entity_report(spark, sf):
     """MLT-8 / FN-11: batch entity report dataset (overview, risk, additional recommendations, yearly)."""
-    rep = RK.entity_report_dataset(fx.entity_year_ext(spark, sf))
+    d = fx.entity_year_ext(spark, sf)
+    rep = RK.entity_report_dataset(d, fx.entity_scores(d))
     yearly = F.array_join(F.transform("yearly", lambda x: F.concat(x["year"].cast("string"), F.lit(":"),
                                                                     x["flags"].cast("string"))), ",")
     return rep.select("entity_name", "records", "years", "total_expenditure", "audit_flags", "risk_level",

@@ -26,19 +26,19 @@ EY_R = ("entity_name, year, region, entity_type, round(revenue, 6) AS revenue, r
 @register("flt_year_range", with_(EY) + f"SELECT {EY_R} FROM ey WHERE year BETWEEN 1997 AND 1999")
 def q_year_range(spark, sf):
     """FLT-1: inclusive year range."""
-    return FL.year_range(fx.entity_year(spark, sf), 1997, 1999)
+    return FL.year_range(fx.entity_year(spark, sf, materialize=False), 1997, 1999)
 
 
 @register("flt_flagged_only", with_(EY) + f"SELECT {EY_R} FROM ey WHERE audit_flag = 1")
 def q_flagged_only(spark, sf):
     """FLT-2: flag selector = Flagged."""
-    return FL.flag_selector(fx.entity_year(spark, sf), "Flagged")
+    return FL.flag_selector(fx.entity_year(spark, sf, materialize=False), "Flagged")
 
 
 @register("flt_severity_high", with_(ISS) + "SELECT entity_name, year, severity, irregularity_score FROM iss WHERE severity = 'high'")
 def q_severity_high(spark, sf):
     """FLT-3: severity equality."""
-    return FL.severity_equals(fx.entity_year(spark, sf, labelled=True), "high").select(
+    return FL.severity_equals(fx.entity_year(spark, sf, labelled=True, materialize=False), "high").select(
         "entity_name", "year", "severity", "irregularity_score")
 
 
@@ -49,19 +49,19 @@ _CASE_TYPE = S.classify("entity_name", RL.ENTITY_TYPE_RULES_CASES, RL.ENTITY_TYP
 WHERE {_CASE_TYPE} IN ('Education', 'Government')""")
 def q_inferred_type(spark, sf):
     """FLT-4: inferred-type multi-select (case-viewer rules)."""
-    return FL.inferred_type_in(fx.entity_year(spark, sf), ["Education", "Government"], "cases").select(*KEY)
+    return FL.inferred_type_in(fx.entity_year(spark, sf, materialize=False), ["Education", "Government"], "cases").select(*KEY)
 
 
 @register("flt_expenditure_range", with_(EY) + "SELECT entity_name, year FROM ey WHERE expenditure BETWEEN 100000 AND 1000000")
 def q_expenditure_range(spark, sf):
     """FLT-5: expenditure range."""
-    return FL.min_expenditure(fx.entity_year(spark, sf), 1e5, 1e6, exp_col="expenditure").select(*KEY)
+    return FL.min_expenditure(fx.entity_year(spark, sf, materialize=False), 1e5, 1e6, exp_col="expenditure").select(*KEY)
 
 
 @register("flt_name_search", with_(EY) + "SELECT entity_name, year FROM ey WHERE contains(lower(entity_name), 'hospital')")
 def q_name_search(spark, sf):
     """FLT-6: case-insensitive literal name search."""
-    return FL.name_search(fx.entity_year(spark, sf), "HOSPITAL").select(*KEY)
+    return FL.name_search(fx.entity_year(spark, sf, materialize=False), "HOSPITAL").select(*KEY)
 
 
 def _categories(df):
@@ -83,7 +83,7 @@ CATEGORIES_SQL = f"CASE WHEN len({_CAT_SQL}) = 0 THEN {_FALLBACK_SQL} ELSE {_CAT
   array_to_string({CATEGORIES_SQL}, '|') AS categories FROM iss""")
 def q_irregularity_categories(spark, sf):
     """FN-7: irregularity category array per row (joined for comparison)."""
-    d = _categories(fx.entity_year(spark, sf, labelled=True))
+    d = _categories(fx.entity_year(spark, sf, labelled=True, materialize=False))
     return d.select(*KEY, F.array_join("irregularity_categories", "|").alias("categories"))
 
 
@@ -91,7 +91,7 @@ def q_irregularity_categories(spark, sf):
 WHERE list_has_any({CATEGORIES_SQL}, ['Tax', 'Payroll'])""")
 def q_category_overlap(spark, sf):
     """FLT-7: category overlap with a selected set."""
-    return FL.category_overlap(_categories(fx.entity_year(spark, sf, labelled=True)), ["Tax", "Payroll"]).select(*KEY)
+    return FL.category_overlap(_categories(fx.entity_year(spark, sf, labelled=True, materialize=False)), ["Tax", "Payroll"]).select(*KEY)
 
 
 @register("flt_risk_focus_medium", with_(EY) + """SELECT entity_name, year FROM ey WHERE entity_name IN (
@@ -104,7 +104,7 @@ def q_risk_focus_medium(spark, sf):
 @register("flt_quick_recent", with_(ISS) + "SELECT entity_name, year FROM iss WHERE irregularity_score > 0.6 AND year >= 1999")
 def q_quick_recent(spark, sf):
     """FLT-9: quick filters (score > .6 and year >= now - 2, now = 2001)."""
-    d = FL.quick_filter(fx.entity_year(spark, sf, labelled=True), "high_score")
+    d = FL.quick_filter(fx.entity_year(spark, sf, labelled=True, materialize=False), "high_score")
     return FL.quick_filter(d, "recent", 2001).select(*KEY)
 
 
@@ -127,14 +127,14 @@ def q_entity_lookup_exact(spark, sf):
 @register("flt_entity_history", with_(EY) + f"SELECT {EY_R} FROM ey WHERE entity_name = 'Customer#000000002 Commission'")
 def q_entity_history(spark, sf):
     """FLT-11: entity history ordered by year."""
-    return FL.entity_history(fx.entity_year(spark, sf), "Customer#000000002 Commission")
+    return FL.entity_history(fx.entity_year(spark, sf, materialize=False), "Customer#000000002 Commission")
 
 
 @register("flt_page", with_(EY) + """SELECT entity_name, year, audit_flag FROM ey
 ORDER BY year DESC, entity_name LIMIT 25 OFFSET 50""")
 def q_page(spark, sf):
     """FLT-12: third page of 25 rows, newest first."""
-    return FL.page(fx.entity_year(spark, sf), [F.desc("year"), F.asc("entity_name")], 2, 25).select(
+    return FL.page(fx.entity_year(spark, sf, materialize=False), [F.desc("year"), F.asc("entity_name")], 2, 25).select(
         "entity_name", "year", "audit_flag")
 
 

@@ -109,7 +109,12 @@ def q_engineer_features(spark, sf):
 @register("txt_label_documents")
 def q_label_documents(spark, sf):
     """TXT-4: the labelling job (documents -> sentences -> mentions -> keyword
-    labels -> applied to the entity-year table), reference keyword list."""
-    ey = fx.entity_year(spark, sf).select("entity_name", "year", "expenditure")
-    labelled, _ = TX.label_documents(ey, fx.english_documents(spark, sf))
+    labels -> applied to the entity-year table and a row of each entity that
+    the reports may name), whole keyword list."""
+    from ledgerlens.plans import text_queries as TQ
+    ey = fx.entity_year(spark, sf).select("entity_name", "year", "expenditure").unionByName(
+        fx.report_entities(spark, sf, TQ.ENT_NAMES).select("entity_name", F.lit(2001).alias("year"),
+                                                           F.lit(None).cast("double").alias("expenditure")))
+    labelled, _ = TX.label_documents(ey, fx.report_documents(spark, sf), keywords=TQ.KW_KEYWORDS,
+                                     severity=TQ.KW_SEVERITY)
     return labelled

@@ -14,16 +14,18 @@ from ledgerlens.sources.tables import table
 
 r = S.r
 
-# Fixture entity names (ENT) and keyword list (KW) that occur in
-# the driver's invented prose (FIXTURES.md part B).
+# Entity names beside those of the benchmark table (one word, filler
+# words, a legal suffix), and words of the driver's invented prose beside the
+# whole keyword list (FIXTURES.md part B).
 ENT_NAMES = ["License", "That With", "The From And This", "Free Ltd"]
-KW_KEYWORDS = ["worthless", "idiot", "license", "free", "fine"]
-KW_SEVERITY = {"high": ["worthless", "idiot"], "medium": ["license"], "low": ["free", "fine"]}
+KW_PROSE = {"high": ["worthless", "idiot"], "medium": ["license"], "low": ["free"]}
+KW_KEYWORDS = RL.IRREGULARITY_KEYWORDS + [k for words in KW_PROSE.values() for k in words]
+KW_SEVERITY = {level: RL.SEVERITY_KEYWORDS[level] + words for level, words in KW_PROSE.items()}
 
 _SUF = "|".join(RL.LEGAL_SUFFIXES)
 _FILL = "the|of|and|&"
 
-DOCS = "docs AS (SELECT doc_id, text FROM documents WHERE lang = 'en')"
+DOCS = "docs AS (SELECT doc_id, text FROM documents)"
 NORM = """norm AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text),
   '\\s+', ' ', 'g'), 'page \\d+', '', 'g'), 'ghana audit service', '', 'g'), 'auditor[- ]general', '', 'g')) AS t FROM docs)"""
 SENTS = """sp AS (SELECT doc_id, regexp_split_to_array(t, '[.!?]+') AS arr FROM norm),
@@ -36,7 +38,9 @@ def _clean_sql(col):
             f"'(?i)\\b({_FILL})\\b', ' ', 'g'), '\\s+', ' ', 'g')))")
 
 
-ENTS = ("ents(entity) AS (VALUES " + ", ".join(f"({S.q(n)})" for n in ENT_NAMES) + "), "
+ENTS = ("ents AS (SELECT DISTINCT entity FROM (SELECT array_to_string(list_slice(string_split(trim(regexp_replace(text, "
+        "'[^\\pL\\pN]+', ' ', 'g')), ' '), 1, 4), ' ') AS entity FROM benchmark UNION ALL SELECT * FROM (VALUES "
+        + ", ".join(f"({S.q(n)})" for n in ENT_NAMES) + ") v(entity)) z WHERE length(entity) > 0), "
         f"ec AS (SELECT entity, {_clean_sql('entity')} AS clean FROM ents), "
         "ec2 AS (SELECT *, string_split(clean, ' ') AS w FROM ec WHERE length(clean) > 0)")
 MEN = """men0 AS (SELECT e.entity, s.doc_id, s.sentence_index, s.sentence,
@@ -62,15 +66,17 @@ lab AS (SELECT m.entity AS entity_name, CAST(coalesce(hg.sc, 0) > 0 AS INT) AS a
 
 
 def _sents(spark, sf):
-    return TX.sentences(fx.english_documents(spark, sf))
+    return TX.sentences(fx.report_documents(spark, sf))
 
 
-def _ents(spark):
-    return spark.createDataFrame([(n,) for n in ENT_NAMES], "entity_name string")
+def _ents(spark, sf):
+    return fx.report_entities(spark, sf, ENT_NAMES)
 
 
 def _mentions(spark, sf):
-    return TX.entity_mentions(_sents(spark, sf), _ents(spark))
+    from ledgerlens.session import materialize
+    # sentences are read as tokens and as texts: cleaned and split once
+    return TX.entity_mentions(materialize(_sents(spark, sf), "sentences"), _ents(spark, sf))
 
 
 def _labels(spark, sf):
@@ -89,8 +95,8 @@ def q_assemble(spark, sf):
 
 @register("fn_report_text", with_(DOCS, NORM) + "SELECT doc_id, t AS text FROM norm")
 def q_report_text(spark, sf):
-    """FN-2: report text normalisation of every English document."""
-    d = fx.english_documents(spark, sf)
+    """FN-2: report text normalisation of every document."""
+    d = fx.report_documents(spark, sf)
     return d.select("doc_id", TX.normalize_report_text(F.col("text")).alias("text"))
 
 
@@ -123,7 +129,7 @@ FE_SQL = """fe AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_repl
 @register("fn_feature_text", with_(DOCS, FE_SQL) + "SELECT doc_id, t AS text FROM fe")
 def q_feature_text(spark, sf):
     """FN-5: feature-text normalisation (currency / dollar / percent / number / date tokens)."""
-    d = fx.english_documents(spark, sf)
+    d = fx.report_documents(spark, sf)
     return d.select("doc_id", TX.normalize_feature_text(F.col("text")).alias("text"))
 
 
@@ -160,7 +166,7 @@ def q_apply_labels(spark, sf):
     """JON-5: labels applied to every row of an entity (defaults elsewhere)."""
     _, _, lab = _labels(spark, sf)
     base = fx.entity_year(spark, sf).select("entity_name", "year").unionByName(
-        _ents(spark).withColumn("year", F.lit(2001)))
+        _ents(spark, sf).withColumn("year", F.lit(2001)))
     return TX.apply_labels(base, lab).select("entity_name", "year", "audit_flag", "irregularity_score",
                                              "detected_issues", "severity", "evidence_count")
 
@@ -197,7 +203,7 @@ DOMAIN_SQL = f"""dm AS (SELECT doc_id, CAST({S.count_present('t', _DOM['financia
 FROM dm""")
 def q_domain_features(spark, sf):
     """TXT-5/6/7: domain keyword scores, text statistics and derived scores."""
-    d = TX.domain_features(fx.english_documents(spark, sf))
+    d = TX.domain_features(fx.report_documents(spark, sf))
     return d.select("doc_id", *[F.col(c).cast("long").alias(c) if c not in (
         "domain_avg_word_length", "domain_complexity_score") else F.col(c) for c in TX.DOMAIN_COLUMNS])
 
@@ -217,9 +223,10 @@ tw AS (SELECT tf.doc_id, tf.term, tf.tf * voc.idf AS w FROM tf JOIN voc ON tf.te
 
 
 def _tfidf(spark, sf):
-    docs = fx.english_documents(spark, sf)
+    docs = fx.report_documents(spark, sf)
     fe = docs.select("doc_id", TX.normalize_feature_text(F.col("text")).alias("text"))
-    terms = TX.doc_terms(fe)
+    from ledgerlens.session import materialize
+    terms = materialize(TX.doc_terms(fe), "terms")      # read by the fit and by the weights
     vocab = TX.fit_tfidf(terms, docs.agg(F.count(F.lit(1)).alias("n")).scalar())
     return vocab, TX.transform_tfidf(terms, vocab)
 
@@ -248,4 +255,4 @@ SELECT d.doc_id, length(d.text) AS text_length, coalesce(per.em, 0) AS entities_
 def q_corpus_summary(spark, sf):
     """AGG-28: per-document corpus analysis summary."""
     m, _, lab = _labels(spark, sf)
-    return TX.corpus_summary(fx.english_documents(spark, sf), m, lab)
+    return TX.corpus_summary(fx.report_documents(spark, sf), m, lab)

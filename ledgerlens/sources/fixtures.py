@@ -136,6 +136,12 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.round(F.col("total_liabilities") / F.col("total_assets"), 2).alias("score"))
 
 
+def entity_scores(ey: DataFrame) -> DataFrame:
+    """Prediction table of the entities: the score of SC for each year, at most 1."""
+    return ey.select("entity_name", F.least(F.round(F.col("total_liabilities") / F.col("total_assets"), 2),
+                                            F.lit(1.0)).alias("probability"))
+
+
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PRED: prediction log rows derived from events."""
     e = table(spark, sf_dir, "events")
@@ -212,5 +218,15 @@ def config_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upd.unionByName(new)
 
 
-def english_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").filter(F.col("lang") == "en").select("doc_id", "text")
+def report_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DOC: every document, whatever its language."""
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def report_entities(spark: SparkSession, sf_dir: str, extra: list[str]) -> DataFrame:
+    """ENT: names that reports mention: the first four words of each passage of
+    ``benchmark`` (documents quote these passages), and ``extra``."""
+    words = F.split(F.trim(F.regexp_replace("text", r"[^\pL\pN]+", " ")), " ")
+    names = table(spark, sf_dir, "benchmark").select(F.array_join(F.slice(words, 1, 4), " ").alias("entity_name"))
+    more = spark.createDataFrame([(n,) for n in extra], "entity_name string")
+    return names.filter(F.length("entity_name") > 0).unionByName(more).distinct()
