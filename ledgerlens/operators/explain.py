@@ -115,6 +115,8 @@ def sampled_shapley(model, instances: DataFrame, background: DataFrame, features
     keyed = F.transform(F.sequence(F.lit(0), F.lit(nf - 1)), lambda i: F.struct(F.xxhash64(h, i).alias("r"), i.alias("i")))
     s = s.withColumn("perm", F.transform(F.array_sort(keyed), lambda t: t["i"]))
     s = s.join(F.broadcast(zarr), "_bid")          # background <= 100 rows: bounded broadcast
+    # few instances make many scores: spread before the coalitions are spelled out
+    s = s.repartition(int(s.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key, "m")
     # coalition t holds the first t features of the permutation: nf + 1 scores a sample
     s = s.select("*", F.explode(F.sequence(F.lit(0), F.lit(nf))).alias("t"))
     v = F.transform(F.sequence(F.lit(0), F.lit(nf - 1)),
