@@ -43,7 +43,7 @@ _RANDOM = np.random.default_rng(7919)
 _FLIP = _RANDOM.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64)
 _TURN = _RANDOM.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 _MARK = _RANDOM.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
-SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, signature binary"
+SIGNED = "doc_id long, mark long, n_shingles long, set_a long, set_b long, signature binary"
 
 
 def reach(percent: int, symbols: int = SYMBOLS, miss: float = MISS) -> int:
@@ -80,7 +80,7 @@ def _sign(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
                 sums[k, full] = np.add.reduceat(mixed(h, salt), begin)
         rows = iter(signatures(h, sizes[full]))
         signature = pa.array([next(rows).tobytes() if f else None for f in full], pa.binary())
-        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_shingles": sizes.astype(np.int64), "set_a": sums[0].view(np.int64), "set_b": sums[1].view(np.int64), "signature": signature})
+        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "mark": batch.column("mark"), "n_shingles": sizes.astype(np.int64), "set_a": sums[0].view(np.int64), "set_b": sums[1].view(np.int64), "signature": signature})
 
 
 def keys_of(sig: np.ndarray, distance: int) -> np.ndarray:
@@ -198,7 +198,7 @@ def _remaining(shared: DataFrame, comps: DataFrame, signed: DataFrame, whole: Da
     left = stored(rows.join(open_, "key"), "open")
     nodes = left.select("node").distinct()
     maps = whole.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(partial(_bitmaps, width=width), "node long, bits binary")
-    signs = nodes.join(signed.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "signature"), "node").join(maps, "node")
+    signs = nodes.join(signed.select("node", F.col("n_shingles").alias("n"), "signature"), "node").join(maps, "node")
     dealt = left.withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "node", "comp")
@@ -207,49 +207,72 @@ def _remaining(shared: DataFrame, comps: DataFrame, signed: DataFrame, whole: Da
     return found.distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest id reachable by links) and kept, a row for each row.
+def _placed(docs: DataFrame, width: int, percent: int, by_id: bool) -> DataFrame:
+    """doc_id, mark (hash of the text), n_shingles, group and component_id, a row for each row.
 
-    Texts null or without words have no shingles and no links.  Rows of one id are one node: repeated
-    rows share their component, and all of them are kept or none.  Rows without id have no component
-    and are kept.  An empty table gives no row.
+    A class has a key of its own, whatever ids its rows have: of one id, rows of different texts are in
+    different classes.  ``group`` is what links make of classes, null without shingles or id; with
+    ``by_id``, classes that share an id are linked as well.
     """
     distance = reach(percent)
-    whole = texts(docs)
+    whole = texts(docs).withColumn("mark", F.xxhash64("text"))
+    key = F.xxhash64("n_shingles", "set_a", "set_b").alias("node")
     signed = stored(whole.mapInArrow(partial(_sign, width=width), SIGNED), "signed")
     classed = signed.filter("n_shingles > 0 and doc_id is not null")
-    classes = classed.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("last"), F.first("signature").alias("signature"))
-    classes = stored(classes, "classes")
+    classes = classed.groupBy("n_shingles", "set_a", "set_b").agg(F.min(F.struct("doc_id", "mark")).alias("one"), F.first("signature").alias("signature"))
+    classes = stored(classes.select(key, "n_shingles", "one.*", "signature"), "classes")
     keys = classes.select("node", "signature").mapInArrow(partial(_keys, distance=distance), "node long, key long")
     several = keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("members")).filter("least < most").select("key", "members")
     shared = stored(keys.join(several, "key"), "shared")
     met = shared.groupBy("node").agg(F.sum("members").alias("met"))
     leaders = shared.join(met, "node").groupBy("key").agg(F.max_by("node", F.struct("met", -F.col("node"))).alias("leader"))
-    signs = classes.select(F.col("node").alias("doc_id"), "n_shingles", "signature")
-    members = stored(whole.join(shared.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").join(classes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text"), "members")
+    signs = classes.select("node", "n_shingles", "signature")
+    named = classes.select("node", "doc_id", "mark").join(shared.select("node").distinct(), "node", "left_semi")
+    members = stored(whole.join(named, ["doc_id", "mark"]).select("node", "text"), "members")
     votes = shared.join(leaders, "key").filter("node <> leader").groupBy("node", "leader").count()
     best = votes.groupBy(F.col("node").alias("a")).agg(F.max_by("leader", F.struct("count", -F.col("leader"))).alias("b"))
     links = stored(confirmed(best, members, width, percent), "links")
     comps = stored(components(links), "comps")
     more = stored(confirmed(_remaining(shared, comps, signs, members, distance, width, percent), members, width, percent), "more")
     dropped(shared, members)
-    if more.limit(1).count():
-        comps = stored(components(links.unionByName(more)), "comps")
+    edges = links.unionByName(more)
+    mixed_ids = classed.groupBy("doc_id").agg(F.min(key).alias("b"), F.max(key).alias("most")).filter("b < most").select("doc_id", "b")
+    if by_id and (mixed_ids := stored(mixed_ids, "ids")).limit(1).count():
+        same = classed.join(mixed_ids, "doc_id").select(key.alias("a"), "b").filter("a <> b").distinct()
+        comps = stored(components(edges.unionByName(same)), "comps")
+    elif more.limit(1).count():
+        comps = stored(components(edges), "comps")
     dropped(links, more)
-    nodes = classes.select("n_shingles", "set_a", "set_b", "node").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    at = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(nodes.drop("node"), ["n_shingles", "set_a", "set_b"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return at.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    at = classes.select("node", "doc_id").join(comps, "node", "left").withColumn("group", F.coalesce("component", "node"))
+    linked = comps.join(classes.select("node", "doc_id"), "node").groupBy(F.col("component").alias("group")).agg(F.min("doc_id").alias("least"))
+    at = at.join(linked, "group", "left").select("node", "group", F.coalesce("least", "doc_id").alias("component_id"))
+    has = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), key)
+    rows = signed.select("doc_id", "mark", "n_shingles", has.alias("node")).join(at, "node", "left")
+    return rows.select("doc_id", "mark", "n_shingles", "group", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest id reachable by links) and kept, a row for each row.
+
+    Texts null or without words have no shingles and no links.  Rows of one id are linked, whatever their
+    texts: they share their component, and all of them are kept or none; only those without words stand
+    alone.  Rows without id have no component and are kept.  An empty table gives no row.
+    """
+    rows = _placed(docs, width, percent, True)
+    return rows.select("doc_id", "n_shingles", "component_id").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """Rows of ``docs``, all columns, without near-duplicates: of each component the smallest id stays, and
-    of several rows of that id the one with the smallest text.  Rows without id stay."""
-    result = stored(near_duplicates(docs, width, percent), "components")
-    out = docs.join(result.filter("not kept").select("doc_id").distinct(), "doc_id", "left_anti")
-    again = result.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    """Rows of ``docs``, all columns, without near-duplicates: of each component of texts the smallest id
+    stays, and of several rows of that id and component the one with the smallest text.  Ids link nothing
+    here: a text without a copy stays, whatever rows its id has besides.  Rows without id stay."""
+    placed = stored(_placed(docs, width, percent, False), "components").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.col("group").alias("_group"), "component_id").filter("_id is not null")
+    here = (docs["doc_id"].cast("long") == F.col("_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_mark"))
+    out = docs.join(placed.filter("_id <> component_id").select("_id", "_mark").distinct(), here, "left_anti")
+    again = placed.filter("_id = component_id").groupBy("_id", "_group").agg(F.count("*").alias("rows"), F.collect_set("_mark").alias("marks")).filter("rows > 1").select("_id", "_group", F.explode("marks").alias("_mark"))
     if again.limit(1).count():
-        several = out.join(again, "doc_id", "left_semi").select(F.struct(*docs.columns).alias("row"))
-        first = several.groupBy(F.col("row.doc_id").alias("_id")).agg(F.min_by("row", F.coalesce("row.text", F.lit(""))).alias("row")).select("row.*")
-        out = out.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(first)
+        again = stored(again, "again")
+        several = docs.join(again, here).select("_id", "_group", F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+        first = several.groupBy("_id", "_group").agg(F.min_by("row", F.coalesce("row.text", F.lit(""))).alias("row")).select("row.*")
+        out = out.join(again.select("_id", "_mark").distinct(), here, "left_anti").select(*docs.columns).unionByName(first)
     return out.select(*docs.columns)
