@@ -164,21 +164,27 @@ def near_duplicates(df: DataFrame, least: float = 0.9) -> DataFrame:
     if dim < 2:  # halves need two components; of one, only the sign counts
         return _small(df, all_ids, dim, kind)
     rows = stored(V.usable(df, dim, kind), "vectors")
-    classes = stored(rows.groupBy("x").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")), "classes")
+    # a class has a key of its own, as one id may have several vectors
+    classes = stored(rows.groupBy("x").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies")).withColumn("node", F.xxhash64("x")), "classes")
     total = classes.count()
-    reps = classes.groupBy("node").agg(F.min("x").alias("x"), F.max("copies").alias("copies")) if total != classes.select("node").distinct().count() else classes
-    unit = V.sample(classes.withColumnRenamed("node", "vec_id"), total, SAMPLE, kind, dim)
+    unit = V.sample(classes.select(F.col("least").alias("vec_id"), "x"), total, SAMPLE, kind, dim)
     found = spark.createDataFrame([], LINKS)
     if total:
         grid = Grid(unit, int(min(CODES, max(1, np.sqrt(total / 32)))))
         some = unit[:: max(1, len(unit) // MEASURED)][:MEASURED]
         links = [r["need"] for r in classes.mapInArrow(partial(_true_links, grid=grid, q=some, least=least, kind=kind), "need double").collect()]
         grid.fit_slack(unit, least, np.array(links))
-        found = stored(_found(reps, grid, kind, least), "links")
+        found = stored(_found(classes, grid, kind, least), "links")
     counted = found.filter("to is null").groupBy("node").agg(F.sum("n").alias("n"))
     edges = found.filter("to is not null").select(F.col("node").alias("a"), F.col("to").alias("b"))
+    key = F.xxhash64("x")
+    several = stored(rows.groupBy("vec_id").agg(F.min(key).alias("b"), F.max(key).alias("most")).filter("b < most").select("vec_id", "b"), "several")
+    if several.limit(1).count():
+        edges = edges.unionByName(rows.join(several, "vec_id").select(key.alias("a"), "b").filter("a <> b").distinct())
     comps = stored(components(edges), "comps")
-    mine = classes.join(counted, "node", "left").join(comps, "node", "left").select("x", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
+    smallest = comps.join(classes.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("smallest"))
+    at = comps.join(smallest, "component").select("node", "smallest")
+    mine = classes.join(counted, "node", "left").join(at, "node", "left").select("x", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("smallest", "least").alias("component_id"))
     # rows come back to their class by the vector, and rows that took no part stay alone
     linked = rows.join(mine, "x").select("vec_id", "n_links", "component_id")
     alone = all_ids.join(rows.select("vec_id").distinct(), "vec_id", "left_anti").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
