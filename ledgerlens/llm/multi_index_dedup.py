@@ -2,9 +2,10 @@
 
 Unit vectors are turned by a random rotation and cut into halves, each with its
 own codebook (k-means on a bounded sample); the product of the codebooks is a
-grid of cells.  A vector lives in its nearest cell and visits, nearest first,
-every cell whose center is at most ``slack`` farther than its own: that is
-where the multi-sequence traversal stops.  ``slack`` is what the target recall
+grid of cells.  A vector lives in its nearest cell and visits every cell whose
+center is at most ``slack`` farther than its own.  There is no multi-sequence
+traversal: a plain test of the distance to all cells finds the same set that a
+traversal up to that limit would visit.  ``slack`` is what the target recall
 needs, measured on vectors moved to the very threshold and on the true links
 of a bounded sample.  Cells with one first half form a row of the grid; rows
 are cut into blocks of bounded size and their visitors into chunks, so a hot
