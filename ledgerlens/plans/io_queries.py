@@ -52,7 +52,7 @@ def q_csv_roundtrip(spark, sf):
     IO.export_csv(ey, path)
     back = IO.read_table(spark, path)
     back = IN.parse_money(back, ["revenue", "expenditure", "contract_count"])
-    back = IN.clean_year(back, 1990, 2030)
+    back = back.withColumn("year", F.expr("CAST(try_cast(year AS DOUBLE) AS INT)"))  # every row comes back, whatever its year
     return back.select("entity_name", "year", "region", "entity_type", "revenue", "expenditure",
                        F.col("contract_count").cast("int").alias("contract_count"),
                        F.col("audit_flag").cast("int").alias("audit_flag"))
