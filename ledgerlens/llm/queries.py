@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.llm import oracles
 from ledgerlens.llm.common import prepare, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,6 +112,29 @@ def op9_warc_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.audit(placed.select("file", "offset", "length", "hash"), second)
 
 
+@query
+def op11_simplex_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every vector after five rounds with 40 centroids."""
+    from ledgerlens.llm import simplex_clusters as S
+    return S.clusters(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code of every vector: 16 parts, codebooks of 64 entries, two rounds."""
+    from ledgerlens.llm import vector_codes as V
+    return V.codes(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document in a mix of all sources."""
+    from ledgerlens.llm import mixing as M
+    return M.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLE["op11_simplex_clusters"], ORACLE["op12_vector_codes"], ORACLE["op13_systematic_mix"] = oracles.clusters(), oracles.codes(), oracles.MIXING
+
 _NODES = """
 {r}_n0 AS (SELECT file, offset_ // 65536 AS r0, sha256(string_agg(offset_ || ':' || hash, ',' ORDER BY offset_)) AS hash FROM {r} GROUP BY ALL),
 {r}_n1 AS (SELECT file, r0 // 16 AS r1, sha256(string_agg(r0 || ':' || hash, ',' ORDER BY r0)) AS hash FROM {r}_n0 GROUP BY ALL),
