@@ -1,9 +1,8 @@
-"""Cleaning and encoding (CLN-*).
+"""Cleaning and encoding (CLN-*) of a table by its own statistics.
 
-Every fitted statistic (medians, modes, quartiles, moments, distinct counts)
-for all columns is computed in *one* aggregation and enters the transform as
-literals -- the fit/transform split of the reference without a pass per
-column.
+Fitted statistics of all columns are computed together and enter the transform
+as literals; ``operators.fitted`` holds the transformers that keep them for
+other rows.
 """
 
 from __future__ import annotations
@@ -14,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import rules
-from ledgerlens.functions.exprs import NUMERIC_TYPES, contains_any, flag, numeric_columns, string_columns
+from ledgerlens.functions.exprs import NUMERIC_TYPES, contains_any, numeric_columns, string_columns
+from ledgerlens.operators.ordered import columns_with_more_values
 
 
 def _finite(c):
@@ -23,15 +23,12 @@ def _finite(c):
 
 
 def fit_medians(df: DataFrame, cols: Sequence[str]) -> dict:
-    """CLN-1 fit: exact linear medians (PFX order statistics, no single-task
-    percentile buffer)."""
+    """CLN-1 fit: exact linear medians (bracketed by sketches, ranked only
+    inside the brackets)."""
     from ledgerlens.operators.ordered import exact_quantiles_multi
     if not cols:
         return {}
     d = df.select(*[_finite(c).alias(c) for c in cols])
-    if len(cols) == 1:
-        from ledgerlens.operators.ordered import exact_quantiles
-        return {cols[0]: exact_quantiles(d, cols[0], [0.5])[0]}
     return {c: v[0] for c, v in exact_quantiles_multi(d, cols, [0.5]).items()}
 
 
@@ -50,9 +47,9 @@ def impute_median(df: DataFrame, cols: Sequence[str] | None = None, medians: dic
 
 def fit_modes(df: DataFrame, cols: Sequence[str]) -> dict:
     """CLN-2 fit: most frequent value per column, lowest on ties (two-level
-    aggregation: counts per value, then the arg-max)."""
-    from ledgerlens.operators.ordered import mode_value
-    return {c: mode_value(df, c) for c in cols}
+    aggregation over all columns: counts per value, then the arg-max)."""
+    from ledgerlens.operators.ordered import mode_values
+    return mode_values(df, cols)
 
 
 def impute_mode(df: DataFrame, cols: Sequence[str] | None = None, modes: dict | None = None) -> DataFrame:
@@ -73,75 +70,35 @@ def entity_name_features(df: DataFrame, col: str = "entity_name", flags=rules.NA
     return df.withColumns(new)
 
 
-def _distinct_counts(df: DataFrame, cols: Sequence[str]) -> dict:
-    if not cols:
-        return {}
-    row = df.agg(*[F.count_distinct(c).alias(c) for c in cols]).first()
-    return {c: row[c] for c in cols}
-
-
 def flag_outliers(df: DataFrame, cols: Sequence[str] | None = None, method: str = "iqr") -> DataFrame:
     """CLN-5/6/7: per-column outlier flags (IQR 1.5 fences or |z| > 3 with
     sample std), skipping columns with <= 2 distinct values, plus the row
-    total.  Distinct counts and all statistics: two batched aggregations."""
-    cols = list(cols) if cols is not None else numeric_columns(df)
-    nd = _distinct_counts(df, cols)
-    use = [c for c in cols if nd[c] > 2]
-    if not use:
-        return df
-    new = {}
-    if method == "iqr":
-        from ledgerlens.operators.ordered import exact_quantiles_multi
-        quart = exact_quantiles_multi(df, use, [0.25, 0.75])
-        for c in use:
-            q1, q3 = quart[c]
-            iqr = q3 - q1
-            new[f"{c}_outlier"] = flag((F.col(c) < q1 - 1.5 * iqr) | (F.col(c) > q3 + 1.5 * iqr))
-    elif method == "zscore":
-        row = df.agg(*[F.avg(c).alias(f"m_{c}") for c in use], *[F.stddev_samp(c).alias(f"s_{c}") for c in use]).first()
-        for c in use:
-            m, s = row[f"m_{c}"], row[f"s_{c}"]
-            if s is None or s == 0:
-                new[f"{c}_outlier"] = flag((F.col(c) - m) != 0) if s == 0 else F.lit(0)
-            else:
-                new[f"{c}_outlier"] = flag(F.abs((F.col(c) - m) / s) > 3)
-    else:
-        raise ValueError(method)
-    out = df.withColumns(new)
-    total = F.lit(0)
-    for c in new:
-        total = total + F.col(c)
-    return out.withColumn("total_outlier_count", total)
+    total.  Fitted on and applied to the same rows."""
+    from ledgerlens.operators.fitted import OutlierFlags
+    return OutlierFlags(inputCols=None if cols is None else list(cols), method=method).fit(df).transform(df)
 
 
 def label_encode(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
-    """CLN-8: 0-based index of the value in sorted order.
-
-    Distinct values are indexed by PFX (no driver-held label array, so any
-    cardinality works) and joined back; AQE broadcasts the dictionary only
-    when it measures it small."""
-    from ledgerlens.operators.ordered import row_index
-    out = out or col
-    d = df.select(col).filter(F.col(col).isNotNull()).distinct()
-    idx = row_index(d, [col], "_idx").select(col, F.col("_idx").cast("int").alias("_idx"))
-    j = df.join(idx, col, "left")
-    if out == col:
-        return j.withColumn(col, F.col("_idx")).drop("_idx").select(*df.columns)
-    return j.withColumnRenamed("_idx", out).select(*df.columns, out)
+    """CLN-8: 0-based index of the value in sorted order, of any cardinality;
+    ``fitted.LabelEncoder`` keeps the dictionary for other rows."""
+    from ledgerlens.operators.fitted import LabelEncoder
+    return LabelEncoder(inputCol=col, outputCol=out).fit(df).transform(df)
 
 
 def one_hot(df: DataFrame, col: str, max_categories: int = 10, drop_first: bool = True) -> DataFrame:
     """CLN-9: one column ``col_value`` (1.0/0.0) per sorted category, first
-    dropped, source dropped.  The category list is checked to hold at most
-    ``max_categories`` values before it reaches the driver."""
-    d = df.select(col).distinct()
-    vals = [r[0] for r in d.orderBy(col).limit(max_categories + 1).collect()]
-    if len(vals) > max_categories:
-        raise ValueError(f"{col} has more than {max_categories} categories")
-    vals = [v for v in vals if v is not None]
-    keep = vals[1:] if drop_first else vals
-    new = {f"{col}_{v}": F.when(F.col(col) == v, 1.0).otherwise(0.0) for v in keep}
-    return df.withColumns(new).drop(col)
+    dropped, source dropped; ``fitted.OneHot`` keeps the categories for other
+    rows.  More than ``max_categories`` values are an error."""
+    from ledgerlens.operators.fitted import OneHot
+    model = OneHot(inputCol=col, maxCategories=max_categories, dropFirst=drop_first, handleUnseen="error").fit(df)
+    return model.transform(df)
+
+
+def standard_scale(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """CLN-10: (x - mean) / population std; zero variance divides by 1.
+    ``fitted.Scaler`` keeps the moments for other rows."""
+    from ledgerlens.operators.fitted import Scaler
+    return Scaler(inputCols=None if cols is None else list(cols)).fit(df).transform(df)
 
 
 def encode_categoricals(df: DataFrame, max_categories: int = 10, entity: str = "entity_name") -> DataFrame:
@@ -149,39 +106,17 @@ def encode_categoricals(df: DataFrame, max_categories: int = 10, entity: str = "
     string columns one-hot when <= 10 distinct, else label-encoded in place."""
     out = df
     cats = string_columns(df)
-    nd = _distinct_counts(df, [c for c in cats if c != entity])
+    many = columns_with_more_values(df, [c for c in cats if c != entity], max_categories)
     for c in cats:
         if c == entity:
             out = label_encode(out, c, "entity_id")
-        elif nd[c] <= max_categories:
+        elif c not in many:
             out = one_hot(out, c, max_categories)
         else:
             out = label_encode(out, c)
     return out
 
 
-def scale_columns(df: DataFrame, exclude=("year", "audit_flag", "entity_id")) -> list[str]:
-    """CLN-10 column choice: numeric, not ``is_*``/year/flag/id, > 2 distinct."""
-    cand = [c for c in numeric_columns(df) if not c.startswith("is_") and c not in exclude]
-    nd = _distinct_counts(df, cand)
-    return [c for c in cand if nd[c] > 2]
-
-
-def standard_scale(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """CLN-10: (x - mean) / population std; zero variance divides by 1."""
-    cols = list(cols) if cols is not None else scale_columns(df)
-    if not cols:
-        return df
-    row = df.agg(*[F.avg(c).alias(f"m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"s_{c}") for c in cols]).first()
-    new = {}
-    for c in cols:
-        m, s = row[f"m_{c}"], row[f"s_{c}"]
-        if m is None:
-            continue
-        new[c] = (F.col(c) - m) / (s if s else 1.0)
-    return df.withColumns(new) if new else df
-
-
 def zero_fill(df: DataFrame) -> DataFrame:
     """CLN-11: numeric +-inf / NaN / NULL -> 0 (strings untouched)."""
     new = {}
@@ -194,24 +129,16 @@ def zero_fill(df: DataFrame) -> DataFrame:
     return df.withColumns(new) if new else df
 
 
-def preprocess(df: DataFrame, standardize_names: bool = False, name_threshold: int = 85,
-               reference_order: bool = False) -> DataFrame:
+def preprocess(df: DataFrame, standardize_names: bool = False, name_threshold: int = 85) -> DataFrame:
     """CLN-12: missing values -> (name standardisation) -> name features ->
-    lags -> IQR outliers -> encoding -> scaling -> zero fill.
-
-    ``reference_order`` only matters together with feature engineering: the
-    reference scales before ratios are computed (quirk Q6); by default callers
-    run features on raw values and scale last (see ``plans.chains``)."""
-    from ledgerlens.operators.ordered import lag_features
-    d = impute_median(df)
-    d = impute_mode(d)
+    lags -> IQR outliers -> encoding -> scaling -> zero fill, fitted on and
+    applied to the same rows (``fitted.fit_preprocess`` keeps the pipeline).
+
+    The reference scales before ratios are computed (quirk Q6); callers that
+    engineer features run them on raw values and scale last (``plans.chains``)."""
+    from ledgerlens.operators.fitted import fit_preprocess
+    d = df
     if standardize_names and "entity_name" in d.columns:
         from ledgerlens.operators.fuzzy import standardize_names as _std
-        d = _std(d, threshold=name_threshold)
-    d = entity_name_features(d)
-    if "year" in d.columns and "entity_name" in d.columns:
-        d = lag_features(d)
-    d = flag_outliers(d, method="iqr")
-    d = encode_categoricals(d)
-    d = standard_scale(d)
-    return zero_fill(d)
+        d = _std(impute_mode(d, ["entity_name"]), threshold=name_threshold)
+    return fit_preprocess(d, handle_unseen="error").transform(d)

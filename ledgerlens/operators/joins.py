@@ -1,7 +1,7 @@
 """Relational joins (JON-1..5, 10..13).
 
-Dictionary-sized sides are broadcast only behind a bound: either a row
-count fixed by the operator (a top-k), or AQE's runtime size check.
+Dictionary-sized sides are broadcast only behind a bound: a row count fixed by
+the operator (a top-k), a count (``broadcast_if_few``), or AQE's size check.
 """
 
 from __future__ import annotations
@@ -12,6 +12,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DETAIL_SCHEMA = "k INT"
+#: Rows up to which a counted side is handed to every task.
+FEW_ROWS = 100_000
+
+
+def broadcast_if_few(df: DataFrame, rows: int = FEW_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if a count shows at most ``rows`` rows, so
+    that the other side need not be shuffled; else as it is, for AQE."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def recent_predictions(pred: DataFrame, users: DataFrame, entity: str | None = None, limit: int = 100) -> DataFrame:
@@ -39,9 +47,10 @@ def recent_activity(log: DataFrame, users: DataFrame, user_id=None, limit: int =
 
 
 def apply_mapping(df: DataFrame, mapping: DataFrame, col: str, key: str = "from", value: str = "to") -> DataFrame:
-    """JON-3: dictionary lookup; unmatched values keep the original.  The
-    join strategy is AQE's (it broadcasts the dictionary after measuring it)."""
-    m = mapping.select(F.col(key).alias("_k"), F.col(value).alias("_v"))
+    """JON-3: dictionary lookup; unmatched values keep the original.  A
+    dictionary that a count shows to be small is broadcast, so the table
+    itself does not move."""
+    m = broadcast_if_few(mapping.select(F.col(key).alias("_k"), F.col(value).alias("_v")))
     j = df.join(m, df[col] == m._k, "left")
     return j.withColumn(col, F.coalesce("_v", F.col(col))).drop("_k", "_v")
 

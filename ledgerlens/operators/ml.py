@@ -192,11 +192,12 @@ def _gram_partials(batches, n_terms: int):
     import pandas as pd
     G = np.zeros((n_terms, n_terms))
     for pdf in batches:
-        for vec in pdf["v"]:
-            x = np.zeros(n_terms)
-            for e in vec:
-                x[int(e["idx"])] = e["weight"]
-            G += np.outer(x, x)
+        for a in range(0, len(pdf), 4096):               # a dense block of documents at a time
+            block = pdf["v"].iloc[a:a + 4096]
+            x = np.zeros((len(block), n_terms))
+            for row, vec in zip(x, block):
+                row[[int(e["idx"]) for e in vec]] = [e["weight"] for e in vec]
+            G += x.T @ x
     ii, jj = np.nonzero(G)
     yield pd.DataFrame({"i": ii.astype("int32"), "j": jj.astype("int32"), "v": G[ii, jj]})
 
@@ -211,6 +212,8 @@ def tfidf_svd(weights: DataFrame, n_terms: int, n_docs: int, key: str = "doc_id"
     Components are sign-fixed (largest |loading| positive).  Returns
     (basis rows [(comp, idx, loading)], singular values)."""
     import numpy as np
+    if not n_terms:
+        return [], []
     k = max(1, min(k_max, n_terms - 1, n_docs - 1))
     rows = weights.groupBy(key).agg(F.collect_list(F.struct("idx", "weight")).alias("v"))
     partial = rows.mapInPandas(lambda it: _gram_partials(it, n_terms), "i int, j int, v double")
@@ -254,23 +257,12 @@ def svd_project(weights: DataFrame, basis: list, key: str = "doc_id", minmax: bo
 
 def text_feature_matrix(docs: DataFrame, key: str = "doc_id", text: str = "text", max_features: int = 100,
                         k_max: int = 50) -> DataFrame:
-    """TXT-10: fit + transform: TF-IDF -> SVD components (named
-    ``tfidf_svd_{i}``) beside the named domain features, one row per doc.
+    """TXT-10: fit + transform of the same documents: SVD components (named
+    ``tfidf_svd_{i}``) beside the named domain features, one row per doc;
+    ``text_extractor.TextFeatures`` keeps the fit for other documents.
     A missing text column gives the zero matrix (reference behaviour)."""
-    from ledgerlens.operators import text as TX
+    from ledgerlens.operators.text_extractor import TextFeatures
     if text not in docs.columns:
         return docs.select(key).withColumn("tfidf_svd_0", F.lit(0.0))
-    fe = docs.select(key, TX.normalize_feature_text(F.col(text)).alias("text"))
-    n_docs = fe.count()
-    terms = TX.doc_terms(fe, key)
-    vocab = TX.fit_tfidf(terms, n_docs, max_features).cache()
-    n_terms = vocab.count()
-    w = TX.transform_tfidf(terms, vocab, key).cache()
-    basis, _ = tfidf_svd(w, n_terms, n_docs, key, k_max)
-    comps = svd_project(w, basis, key, docs=fe.select(key))
-    k = max(c for c, _, _ in basis) + 1
-    wide = comps.groupBy(key).pivot("comp", list(range(k))).agg(F.first("value"))
-    wide = wide.select(key, *[F.coalesce(F.col(str(i)), F.lit(0.0)).alias(f"tfidf_svd_{i}") for i in range(k)])
-    dom = TX.domain_features(fe, text="text", normalized=True).select(key, *TX.DOMAIN_COLUMNS)
-    out = fe.select(key).join(wide, key, "left").join(dom, key, "left")
-    return out.na.fill(0.0)
+    model = TextFeatures(keyCol=key, textCol=text, maxFeatures=max_features, components=k_max).fit(docs)
+    return model.transform(docs).select(key, *model.feature_names())

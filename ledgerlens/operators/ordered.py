@@ -124,17 +124,17 @@ def zscore_within_group(df: DataFrame, cols: Sequence[str] = ("revenue", "expend
                         group: str = "entity_type") -> DataFrame:
     """WIN-5: z-score inside each group, only where n > 1 and std > 0.
 
-    Group moments are one aggregation joined back on the group key; the join
-    strategy is left to AQE, which broadcasts the moments table only after
-    measuring it below the broadcast threshold.
+    Group moments are one aggregation, joined back by broadcast where a count
+    shows few groups, so the table itself does not move.
     """
+    from ledgerlens.operators.joins import broadcast_if_few
     cols = [c for c in cols if c in df.columns]
     if group not in df.columns or not cols:
         return df
     mom = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"),
                                 *[F.avg(c).alias(f"_m_{c}") for c in cols],
                                 *[F.stddev_samp(c).alias(f"_s_{c}") for c in cols])
-    j = df.join(mom, group, "left")
+    j = df.join(broadcast_if_few(mom), group, "left")
     new = {f"{c}_zscore_within_type": F.when((F.col("_n") > 1) & (F.col(f"_s_{c}") > 0),
                                              (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}"))
            for c in cols}
@@ -159,29 +159,24 @@ def percentile_ranks(df: DataFrame, cols: Sequence[str] | None = None, min_disti
                      exclude: Sequence[str] = ("year", "audit_flag")) -> DataFrame:
     """WIN-6 over every numeric column with more than ``min_distinct`` values.
 
-    The distinct counts of all columns come from one aggregation; the input
-    is checkpointed once so every column's rank table derives from the same
-    short lineage and the plan grows linearly with the number of columns."""
+    The columns are unpivoted once: one count per (column, value), one prefix
+    sum over all columns, one join on (column, value) -- whose hot values
+    adaptive execution splits -- and one aggregate back to a row per row."""
     from ledgerlens.functions.exprs import numeric_columns
-    from ledgerlens.session import checkpoint_dir
+    from ledgerlens.session import materialize
     cand = [c for c in (cols or numeric_columns(df)) if c not in exclude]
-    if not cand:
-        return df
-    nd = df.agg(*[F.count_distinct(c).alias(c) for c in cand]).first()
-    use = [c for c in cand if nd[c] > min_distinct]
+    use = columns_with_more_values(df, cand, min_distinct)
     if not use:
         return df
-    checkpoint_dir(df.sparkSession)
-    base = df.checkpoint()
-    out = base
-    for c in use:
-        vc = base.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_c"))
-        pf = prefix_sums(vc, [c], ["_c"])
-        n = pf.agg(F.sum("_c").alias("n")).first()["n"] or 1
-        pr = pf.select(F.col(c).alias(f"_v_{c}"),
-                       ((F.col("_c_below") + (F.col("_c") + 1) / 2.0) / F.lit(n)).alias(f"{c}_percentile"))
-        out = out.join(pr, out[c] == pr[f"_v_{c}"], "left").drop(f"_v_{c}")
-    return out
+    base = materialize(df.withColumn("_row", F.monotonically_increasing_id()), "ranked")
+    values = base.select("_row", *[F.col(c).cast("double").alias(c) for c in use])
+    lon = values.unpivot(["_row"], use, "_f", "_v").filter(F.col("_v").isNotNull())
+    pf = prefix_sums(lon.groupBy("_f", "_v").agg(F.count(F.lit(1)).alias("_c")), ["_v"], ["_c"], partition=["_f"])
+    n = pf.groupBy("_f").agg(F.sum("_c").alias("_n"))          # a row per column: a bounded broadcast
+    pr = pf.join(F.broadcast(n), "_f").select("_f", "_v", ((F.col("_c_below") + (F.col("_c") + 1) / 2.0) / F.col("_n")).alias("_p"))
+    wide = lon.join(pr, ["_f", "_v"]).groupBy("_row").agg(
+        *[F.max(F.when(F.col("_f") == c, F.col("_p"))).alias(f"{c}_percentile") for c in use])
+    return base.join(wide, "_row", "left").select(*df.columns, *[f"{c}_percentile" for c in use])
 
 
 def latest_vs_previous(df: DataFrame, cols: Sequence[str], entity: str = "entity_name",
@@ -260,92 +255,118 @@ def distinct_sorted_set(df: DataFrame, group: Sequence[str], col: str, out: str
 # Exact quantiles and modes without a single-task global aggregate
 # ---------------------------------------------------------------------------
 
+#: Relative rank error of the quantile sketches is 1 / SKETCH_ACCURACY; a bracket reaches twice as far.
+SKETCH_ACCURACY = 10_000
+
+
 def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float]) -> list:
-    """Exact linear-interpolated quantiles (numpy / pandas 'linear',
-    DuckDB ``quantile_cont``).
-
-    Spark's exact ``percentile`` merges every distinct value of a global
-    group in one task; here the values are counted (map-side combined),
-    ranked by PFX, and only the <= 2 * len(qs) rows holding the needed
-    order statistics reach the driver."""
-    vc = df.filter(F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double"))) \
-        .groupBy(F.col(col).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    pf = prefix_sums(vc, ["_v"], ["_c"])
-    n = int(pf.agg(F.sum("_c").alias("n")).first()["n"] or 0)
-    if n == 0:
-        return [None for _ in qs]
-    ranks = sorted({int(k) for q in qs for k in (int((n - 1) * q), min(n - 1, int((n - 1) * q) + 1))})
-    hit = None
-    for k in ranks:
-        c = (F.col("_c_below") <= k) & (F.lit(k) < F.col("_c_below") + F.col("_c"))
-        hit = c if hit is None else (hit | c)
-    rows = pf.filter(hit).select("_v", "_c_below", "_c").collect()
-
-    def at(k):
-        for r in rows:
-            if r["_c_below"] <= k < r["_c_below"] + r["_c"]:
-                return r["_v"]
-        raise RuntimeError("order statistic not found")
-    out = []
-    for q in qs:
-        h = (n - 1) * q
-        lo = int(h)
-        hi = min(n - 1, lo + 1)
-        vlo, vhi = at(lo), at(hi)
-        out.append(vlo + (h - lo) * (vhi - vlo))
-    return out
+    """``exact_quantiles_multi`` of one column."""
+    return exact_quantiles_multi(df, [col], qs)[col]
+
+
+def mode_values(df: DataFrame, cols: Sequence[str]) -> dict:
+    """Most frequent non-null value of each column, lowest on ties: counts of
+    (column, value) from one unpivot, then one ``min_by`` per column.  Columns
+    of one type share a job."""
+    out, by_type = {}, {}
+    for c in cols:
+        by_type.setdefault(df.schema[c].dataType.simpleString(), []).append(c)
+    for group in by_type.values():
+        lon = df.select(*group).unpivot([], group, "_f", "_v").filter(F.col("_v").isNotNull())
+        vc = lon.groupBy("_f", "_v").agg(F.count(F.lit(1)).alias("_c"))
+        best = vc.groupBy("_f").agg(F.min_by("_v", F.struct(-F.col("_c"), F.col("_v"))).alias("m"))
+        found = {r["_f"]: r["m"] for r in best.collect()}      # one row per column
+        out |= {c: found.get(c) for c in group}
+    return {c: out[c] for c in cols}
 
 
 def mode_value(df: DataFrame, col: str):
-    """Most frequent non-null value, lowest on ties: counts per value
-    (map-side combined), then one ``min_by`` over the counts."""
-    vc = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_c"))
-    r = vc.agg(F.min_by(col, F.struct(-F.col("_c"), F.col(col))).alias("m")).first()
-    return r["m"]
+    """``mode_values`` of one column."""
+    return mode_values(df, [col])[col]
 
 
-def exact_quantiles_multi(df: DataFrame, cols: Sequence[str], qs: Sequence[float]) -> dict:
-    """``exact_quantiles`` for many columns in one pass: the columns are
-    unpivoted to (feature, value), counted, and ranked by one PFX
-    partitioned by feature.  Returns {col: [quantile per q]}."""
+def columns_with_more_values(df: DataFrame, cols: Sequence[str], limit: int) -> list[str]:
+    """The columns with more than ``limit`` distinct non-null values.
+
+    One aggregate of HyperLogLog sketches over all columns settles those far
+    above the limit; only columns whose sketch is near it are counted exactly,
+    from sets that the sketch has shown to be small."""
     cols = list(cols)
     if not cols:
-        return {}
-    lon = (df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-           .unpivot([], cols, "_f", "_v").filter(F.col("_v").isNotNull() & ~F.isnan("_v")))
-    vc = lon.groupBy("_f", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    pf = prefix_sums(vc, ["_v"], ["_c"], partition=["_f"])
-    ns = {r["_f"]: int(r["n"]) for r in pf.groupBy("_f").agg(F.sum("_c").alias("n")).collect()}
-    need = {}
-    cond = None
-    for c in cols:
-        n = ns.get(c, 0)
-        if n == 0:
-            continue
-        ks = sorted({k for q in qs for k in (int((n - 1) * q), min(n - 1, int((n - 1) * q) + 1))})
-        need[c] = ks
-        for k in ks:
-            t = (F.col("_f") == c) & (F.col("_c_below") <= k) & (F.lit(k) < F.col("_c_below") + F.col("_c"))
-            cond = t if cond is None else (cond | t)
-    rows = pf.filter(cond).select("_f", "_v", "_c_below", "_c").collect() if cond is not None else []
+        return []
+    sketch = df.agg(*[F.approx_count_distinct(c, 0.05).alias(c) for c in cols]).first()
+    near = [c for c in cols if sketch[c] <= 2 * limit + 10]
+    exact = df.agg(*[F.size(F.collect_set(c)).alias(c) for c in near]).first() if near else {}
+    return [c for c in cols if (exact[c] if c in near else sketch[c]) > limit]
+
+
+def exact_quantiles_multi(df: DataFrame, cols: Sequence[str], qs: Sequence[float]) -> dict:
+    """Exact linear-interpolated quantiles (numpy / pandas 'linear', DuckDB
+    ``quantile_cont``) of many columns: {col: [quantile per q]}; nulls and NaN
+    are left out.
+
+    Mergeable quantile sketches of all columns (one aggregate) give a bracket
+    of two values around each quantile; a second aggregate counts the rows
+    below and inside every bracket, which proves that the order statistics lie
+    inside (a bracket that fails is widened to the whole column).  Only rows
+    inside brackets of more than one value are counted per value and ranked, so
+    no column is ordered in full."""
+    cols, qs = list(cols), list(qs)
+    if not cols or not qs:
+        return {c: [] for c in cols}
+    # Expressions as text: hundreds of them, each one a round trip to the JVM otherwise.
+    base = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)]).selectExpr(
+        *[f"CASE WHEN NOT isnan(x{i}) THEN x{i} END AS x{i}" for i in range(len(cols))])
+    reach, number = 2.0 / SKETCH_ACCURACY, lambda v: f"double('{v!r}')"
+    ends = ", ".join(number(min(1.0, max(0.0, q + d))) for q in qs for d in (-reach, reach))
+    fit = base.selectExpr(*[f"struct(count({v}) AS n, min({v}) AS lo, max({v}) AS hi, percentile_approx({v}, array({ends}), {SKETCH_ACCURACY}) AS at) AS {v}"
+                            for v in base.columns]).first()
+    brackets = {}                                   # (column, quantile) -> (lo, hi)
+    for i in range(len(cols)):
+        f = fit[f"x{i}"]
+        for j, q in enumerate(qs if f["n"] else []):
+            brackets[i, j] = (f["lo"] if q - reach <= 0 else f["at"][2 * j],
+                              f["hi"] if q + reach >= 1 else f["at"][2 * j + 1])
+
+    def ranks(i, j):
+        n = fit[f"x{i}"]["n"]
+        first = int((n - 1) * qs[j])
+        return first, min(n - 1, first + 1)
+    below, todo = {}, list(brackets)
+    while todo:
+        got = base.selectExpr(*[f"struct(count_if(x{i} < {number(brackets[i, j][0])}), count_if(x{i} <= {number(brackets[i, j][1])})) AS b{i}_{j}"
+                                for i, j in todo]).first()
+        wrong = []
+        for i, j in todo:
+            under, through = got[f"b{i}_{j}"]
+            if under <= ranks(i, j)[0] and ranks(i, j)[1] < through:
+                below[i, j] = under
+            else:
+                brackets[i, j] = (fit[f"x{i}"]["lo"], fit[f"x{i}"]["hi"])
+                wrong.append((i, j))
+        todo = wrong
+    at = {(i, j, k): lo for (i, j), (lo, hi) in brackets.items() if lo == hi for k in ranks(i, j)}
+    wide = [b for b, (lo, hi) in brackets.items() if lo < hi]
+    if wide:
+        hits = ", ".join(f"CASE WHEN x{i} BETWEEN {number(brackets[i, j][0])} AND {number(brackets[i, j][1])} THEN struct({b} AS b, x{i} AS v) END"
+                         for b, (i, j) in enumerate(wide))
+        inside = base.selectExpr(f"inline(filter(array({hits}), h -> h IS NOT NULL))")
+        placed = prefix_sums(inside.groupBy("b", "v").agg(F.count(F.lit(1)).alias("c")), ["v"], ["c"], partition=["b"])
+        wanted = " OR ".join(f"(b = {b} AND c_below <= {k - below[i, j]} AND {k - below[i, j]} < c_below + c)"
+                             for b, (i, j) in enumerate(wide) for k in ranks(i, j))
+        for r in placed.filter(wanted).collect():    # two rows per quantile at most
+            i, j = wide[r["b"]]
+            for k in ranks(i, j):
+                if r["c_below"] <= k - below[i, j] < r["c_below"] + r["c"]:
+                    at[i, j, k] = r["v"]
     out = {}
-    for c in cols:
-        n = ns.get(c, 0)
-        if n == 0:
-            out[c] = [None for _ in qs]
-            continue
-        mine = [r for r in rows if r["_f"] == c]
-
-        def at(k, mine=mine):
-            for r in mine:
-                if r["_c_below"] <= k < r["_c_below"] + r["_c"]:
-                    return r["_v"]
-            raise RuntimeError("order statistic not found")
-        vals = []
-        for q in qs:
-            h = (n - 1) * q
-            lo = int(h)
-            hi = min(n - 1, lo + 1)
-            vals.append(at(lo) + (h - lo) * (at(hi) - at(lo)))
-        out[c] = vals
+    for i, c in enumerate(cols):
+        n = fit[f"x{i}"]["n"]
+        out[c] = []
+        for j, q in enumerate(qs):
+            if not n:
+                out[c].append(None)
+                continue
+            h, (lo, hi) = (n - 1) * q, ranks(i, j)
+            out[c].append(at[i, j, lo] + (h - lo) * (at[i, j, hi] - at[i, j, lo]))
     return out

@@ -311,15 +311,18 @@ def english_stop_words() -> list[str]:
 
 
 def doc_terms(docs: DataFrame, key: str = "doc_id", text: str = "text", ngram: tuple[int, int] = (1, 3),
-              stop_words: Sequence[str] | None = None, accents: bool = True) -> DataFrame:
+              stop_words: Sequence[str] | None = None, accents: bool = True, partition: bool = True) -> DataFrame:
     """(doc, term, count): ``\\w\\w+`` tokens, lower-cased, accents stripped,
     stop words removed, 1..3-grams of the remaining tokens.
 
     Documents are hash-partitioned by their key *before* tokenising: one
     shuffle of the raw text, after which the (doc, term) count is satisfied
-    by that partitioning (no second exchange of the 3x larger n-gram rows)."""
+    by that partitioning (no second exchange of the 3x larger n-gram rows).
+    With ``partition=False`` texts stay where they are and the counts, combined
+    before their exchange, move instead: for a caller that keeps few of them."""
     sw = english_stop_words() if stop_words is None else list(stop_words)
-    docs = docs.repartition(F.col(key))
+    if partition:
+        docs = docs.repartition(F.col(key))
     t = F.lower(F.col(text))
     if accents:
         t = strip_accents(t)

@@ -1,14 +1,16 @@
 """Registered ingest, cleaning, join and risk-report queries (ING-*, CLN-*, JON-*, MLT-7/8)."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import rules as RL
-from ledgerlens.operators import clean as CL, ingest as IN, joins as JN, risk as RK
+from ledgerlens.operators import clean as CL, fitted as FT, ingest as IN, joins as JN, risk as RK
 from ledgerlens.operators.filters import with_inferred_type
 from ledgerlens.plans import sqlgen as S
 from ledgerlens.plans.oracle_fixtures import CFG, EY, EYX, LOG, PRED, USR, with_
 from ledgerlens.plans.registry import register
-from ledgerlens.sources import fixtures as fx
+from ledgerlens.sources import fixtures as fx, io as IO
 
 r = S.r
 KEY = ["entity_name", "year"]
@@ -247,12 +249,97 @@ def q_zero_fill(spark, sf):
     return CL.zero_fill(d)
 
 
-@register("cln_preprocess")
+# Fitted on the years up to the middle one, applied to the later ones.
+_MID = "(SELECT (min(year) + max(year)) // 2 FROM ey)"
+
+
+def _early_late(spark, sf):
+    ey = fx.entity_year(spark, sf)
+    mid = ey.agg(F.floor((F.min("year") + F.max("year")) / 2).alias("m")).scalar()
+    return ey.filter(F.col("year") <= mid), ey.filter(F.col("year") > mid)
+
+
+def _reloaded(spark, model):
+    """The model as it comes back from storage (SRC-6)."""
+    from ledgerlens.session import scratch_path
+    return IO.load_model(IO.save_model(model, scratch_path(spark, f"model-{uuid.uuid4().hex}")), type(model))
+
+
+@register("cln_label_encode_fitted", with_(EY) + f""", seen AS (SELECT entity_name, row_number() OVER (ORDER BY entity_name) - 1 AS i
+  FROM (SELECT DISTINCT entity_name FROM ey WHERE year <= {_MID}))
+SELECT ey.entity_name, ey.year, CAST(coalesce(i, (SELECT count(*) FROM seen)) AS INT) AS entity_id
+FROM ey LEFT JOIN seen ON ey.entity_name = seen.entity_name WHERE year > {_MID}""")
+def q_label_encode_fitted(spark, sf):
+    """CLN-8: names encoded by the dictionary of the early years; later names share the slot after it."""
+    early, late = _early_late(spark, sf)
+    model = _reloaded(spark, FT.LabelEncoder(inputCol="entity_name", outputCol="entity_id").fit(early))
+    return model.transform(late.select(*KEY))
+
+
+@register("cln_one_hot_fitted", with_(EY) + "SELECT entity_name, year, " + ", ".join(
+    f"CASE WHEN entity_type = '{v}' THEN 1.0 ELSE 0.0 END::DOUBLE AS entity_type_{v}" for v in _SEGS[1:-1])
+    + f", CASE WHEN entity_type = '{_SEGS[-1]}' THEN 1.0 ELSE 0.0 END::DOUBLE AS entity_type_unseen FROM ey WHERE year > {_MID}")
+def q_one_hot_fitted(spark, sf):
+    """CLN-9: segments of the late years by the categories of the early ones, among which one segment was not yet met."""
+    early, late = _early_late(spark, sf)
+    model = _reloaded(spark, FT.OneHot(inputCol="entity_type").fit(early.filter(F.col("entity_type") != _SEGS[-1])))
+    return model.transform(late.select(*KEY, "entity_type"))
+
+
+@register("cln_standard_scale_fitted", with_(EY) + f", f AS (SELECT * FROM ey WHERE year <= {_MID}) SELECT entity_name, year, " + ", ".join(
+    f"{r(f'({c} - (SELECT avg({c}) FROM f)) / CASE WHEN (SELECT stddev_pop({c}) FROM f) = 0 THEN 1 ELSE (SELECT stddev_pop({c}) FROM f) END')} AS {c}"
+    for c in _SC_COLS) + f" FROM ey WHERE year > {_MID}")
+def q_standard_scale_fitted(spark, sf):
+    """CLN-10: the late years scaled by the moments of the early ones."""
+    early, late = _early_late(spark, sf)
+    model = _reloaded(spark, FT.Scaler().fit(early.select(*KEY, *_SC_COLS, "audit_flag")))
+    return model.transform(late.select(*KEY, *_SC_COLS))
+
+
+def _preprocess_sql(fit: str, apply: str, unseen: bool) -> str:
+    """CLN-12 in SQL: statistics of the rows ``fit``, applied to the rows ``apply``."""
+    lags = ["revenue", "expenditure", "total_assets", "total_liabilities"]
+    made = [f"{c}_{s}" for c in lags for s in ("lag1", "yoy_change", "yoy_pct_change")]
+    fenced = [c for c in _NUM if c != "audit_flag"] + ["entity_name_length", *made]
+    scaled = [c for c in fenced if c != "year"] + ["region", "total_outlier_count"]
+    flags = [n for n, _ in RL.NAME_FLAGS]
+    window = "OVER (PARTITION BY entity_name ORDER BY year)"
+    texts = ", ".join(f"coalesce({c}, (SELECT {c} FROM ey WHERE {fit} AND {c} IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) AS {c}" for c in ("entity_name", "region", "entity_type"))
+    numbers = ", ".join(f"coalesce({c}, (SELECT quantile_cont({c}, 0.5) FROM ey WHERE {fit})) AS {c}" for c in _NUM)
+    steps = [EY]
+    for x, rows in (("f", fit), ("t", apply)):
+        steps += [
+            f"{x}1 AS (SELECT {texts}, {numbers} FROM ey WHERE {rows})",
+            f"{x}2 AS (SELECT *, length(entity_name) AS entity_name_length, " + ", ".join(f"CAST({S.contains_any('entity_name', ws)} AS INT) AS {n}" for n, ws in RL.NAME_FLAGS)
+            + ", " + ", ".join(f"lag({c}) {window} AS {c}_lag1, {c} - lag({c}) {window} AS {c}_yoy_change, CASE WHEN lag({c}) {window} = 0 THEN CASE WHEN {c} <> 0 THEN 0.0 END ELSE ({c} - lag({c}) {window}) / lag({c}) {window} END AS {c}_yoy_pct_change" for c in lags)
+            + f" FROM {x}1)",
+            f"{x}3 AS (SELECT *, " + ", ".join(f"CAST(coalesce({c} < q.{c}[1] - 1.5 * (q.{c}[2] - q.{c}[1]) OR {c} > q.{c}[2] + 1.5 * (q.{c}[2] - q.{c}[1]), false) AS INT) AS {c}_outlier" for c in fenced)
+            + f" FROM {x}2, (SELECT struct_pack(" + ", ".join(f"{c} := quantile_cont({c}, [0.25, 0.75])" for c in fenced) + ") AS q FROM f2) z)",
+            f"{x}4 AS (SELECT * EXCLUDE (q), " + " + ".join(f"{c}_outlier" for c in fenced) + f" AS total_outlier_count FROM {x}3)",
+            f"{x}5 AS (SELECT y.* REPLACE (coalesce(g.i, (SELECT count(DISTINCT region) FROM f1)) AS region), CAST(coalesce(n.i, (SELECT count(DISTINCT entity_name) FROM f1)) AS INT) AS entity_id FROM {x}4 y"
+            " LEFT JOIN (SELECT entity_name, row_number() OVER (ORDER BY entity_name) - 1 AS i FROM (SELECT DISTINCT entity_name FROM f1)) n ON y.entity_name = n.entity_name"
+            " LEFT JOIN (SELECT region, row_number() OVER (ORDER BY region) - 1 AS i FROM (SELECT DISTINCT region FROM f1)) g ON y.region = g.region)"]
+    out = ", ".join(f"{r(f'coalesce(({c} - m.{c}[1]) / CASE WHEN m.{c}[2] = 0 THEN 1 ELSE m.{c}[2] END, 0)')} AS {c}" for c in scaled)
+    hot = ", ".join([f"CASE WHEN entity_type = '{v}' THEN 1.0 ELSE 0.0 END::DOUBLE AS entity_type_{v}" for v in _SEGS[1:]]
+                    + ([f"CASE WHEN entity_type NOT IN ({', '.join(S.q(v) for v in _SEGS)}) THEN 1.0 ELSE 0.0 END::DOUBLE AS entity_type_unseen"] if unseen else []))
+    moments = ", ".join(f"{c} := [avg({c}), stddev_pop({c})]" for c in scaled)
+    return with_(*steps) + f"""SELECT entity_name, year, audit_flag, entity_id, {', '.join(flags)}, {', '.join(f'{c}_outlier' for c in fenced)}, {hot}, {out}
+FROM t5, (SELECT struct_pack({moments}) AS m FROM f5) z"""
+
+
+@register("cln_preprocess", _preprocess_sql("true", "true", False))
 def q_preprocess(spark, sf):
-    """CLN-12: the seven-step preprocessing composition (rows-only check)."""
+    """CLN-12: the seven-step preprocessing composition."""
     return CL.preprocess(fx.entity_year(spark, sf))
 
 
+@register("cln_preprocess_fitted", _preprocess_sql(f"year <= {_MID}", f"year > {_MID}", True))
+def q_preprocess_fitted(spark, sf):
+    """CLN-12 + SRC-6: the whole preprocessing fitted on the early years, saved as one pipeline, loaded, applied to the late ones."""
+    early, late = _early_late(spark, sf)
+    return _reloaded(spark, FT.fit_preprocess(early)).transform(late)
+
+
 # ---- JON -----------------------------------------------------------------------
 
 @register("fn_timestamp_display", with_(USR) + """SELECT id, strftime(created_at, '%Y-%m-%d %H:%M') AS created_at,

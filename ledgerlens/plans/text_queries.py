@@ -1,15 +1,19 @@
 """Registered text queries: assembly, normalisation, sentences, entity
 mentions, keyword labels, domain features, TF-IDF and corpus summary."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import rules as RL
 from ledgerlens.functions.stopwords import ENGLISH_STOP_WORDS
 from ledgerlens.operators import text as TX
+from ledgerlens.operators.text_extractor import TextFeatures
 from ledgerlens.plans import sqlgen as S
 from ledgerlens.plans.oracle_fixtures import EY, with_
 from ledgerlens.plans.registry import register
-from ledgerlens.sources import fixtures as fx
+from ledgerlens.session import materialize, scratch_path
+from ledgerlens.sources import fixtures as fx, io as IO
 from ledgerlens.sources.tables import table
 
 r = S.r
@@ -246,6 +250,64 @@ def q_tfidf_weights(spark, sf):
     return w.select("doc_id", "term", "weight")
 
 
+def _extractor(spark, sf):
+    """The text extractor fitted on documents of even id, saved and loaded (SRC-6); all documents."""
+    docs = fx.report_documents(spark, sf)
+    fitted = TextFeatures().fit(docs.filter(F.col("doc_id") % 2 == 0))
+    path = scratch_path(spark, f"extractor-{uuid.uuid4().hex}")
+    return IO.load_model(IO.save_model(fitted, path), type(fitted)), docs
+
+
+_EVEN_FIT = TFIDF_SQL.replace("nd AS (SELECT count(*) AS n FROM docs)", "nd AS (SELECT count(*) AS n FROM docs WHERE doc_id % 2 = 0)").replace(
+    "FROM tf GROUP BY term)", "FROM tf WHERE doc_id % 2 = 0 GROUP BY term)")
+
+
+@register("txt_extractor_weights", with_(DOCS, FE_SQL, _EVEN_FIT) + f"""SELECT doc_id, term,
+  {r('w / sqrt(sum(w * w) OVER (PARTITION BY doc_id))')} AS weight FROM tw WHERE doc_id % 2 = 1""")
+def q_extractor_weights(spark, sf):
+    """TXT-10 / SRC-6: extractor fitted on even documents, saved, loaded; TF-IDF weights of the odd ones."""
+    model, docs = _extractor(spark, sf)
+    return model.tfidf(docs.filter(F.col("doc_id") % 2 == 1)).select("doc_id", "term", "weight")
+
+
+@register("txt_extractor_features", with_(DOCS, FE_SQL, DOMAIN_SQL, _EVEN_FIT) + f"""SELECT doc_id, (SELECT greatest(least(50, count(*) - 1, (SELECT n - 1 FROM nd)), 1) FROM voc) AS components,
+  domain_financial_score, domain_text_length, domain_word_count, domain_sentence_count, {r('domain_avg_word_length')} AS domain_avg_word_length,
+  CAST(domain_financial_score * 3 + domain_procedural_score * 2 + domain_recovery_score AS BIGINT) AS domain_evidence_strength FROM dm WHERE doc_id % 2 = 1""")
+def q_extractor_features(spark, sf):
+    """TXT-10: the fitted extractor's features of odd documents: number of components and the domain features."""
+    model, docs = _extractor(spark, sf)
+    out = model.transform(docs.filter(F.col("doc_id") % 2 == 1))
+    components = sum(F.col(c).isNotNull().cast("int") for c in out.columns if c.startswith("tfidf_svd_"))
+    return out.select("doc_id", components.cast("long").alias("components"), *[F.col(c).cast("long").alias(c) for c in (
+        "domain_financial_score", "domain_text_length", "domain_word_count", "domain_sentence_count")],
+        "domain_avg_word_length", F.col("domain_evidence_strength").cast("long").alias("domain_evidence_strength"))
+
+
+@register("txt_svd_invariants", with_(DOCS, FE_SQL, _EVEN_FIT) + """SELECT CAST(i AS INT) AS component, 1.0::DOUBLE AS norm, 0.0::DOUBLE AS overlap, 0.0::DOUBLE AS residual,
+  0.0::DOUBLE AS lowest, 1.0::DOUBLE AS highest, 1 AS in_order FROM range((SELECT greatest(least(50, count(*) - 1, (SELECT n - 1 FROM nd)), 1) FROM voc)) t(i)""")
+def q_svd_invariants(spark, sf):
+    """TXT-9: what makes the fitted basis the SVD of the even documents: unit, orthogonal vectors that solve the
+    eigenvalue equation of the Gram matrix, in falling order, with components scaled to 0..1 on the fitted rows."""
+    import numpy as np
+    model, docs = _extractor(spark, sf)
+    even = docs.filter(F.col("doc_id") % 2 == 0)
+    plain = materialize(model.components_of(even, scaled=False), "components")
+    names = [c for c in plain.columns if c.startswith("tfidf_svd_")]
+    k, terms = len(names), model.tables["vocabulary"].count()
+    basis = np.zeros((terms, k))
+    for b in model.tables["basis"].collect():                       # maxFeatures x k numbers
+        basis[b["idx"], b["comp"]] = b["loading"]
+    image = np.zeros((terms, k))                                    # X^T X V, by Spark
+    for g in model.tfidf(even).join(plain, "doc_id").groupBy("idx").agg(*[F.sum(F.col("weight") * F.col(c)).alias(c) for c in names]).collect():
+        image[g["idx"]] = [g[c] for c in names]
+    energy = np.array(plain.agg(*[F.sum(F.col(c) * F.col(c)) for c in names]).first(), float)
+    ends = model.components_of(even).agg(*[F.struct(F.min(c), F.max(c)) for c in names]).first()
+    dots = basis.T @ basis
+    rows = [(i, float(dots[i, i]), float(np.abs(np.delete(dots[i], i)).max(initial=0)), float(np.abs(image[:, i] - energy[i] * basis[:, i]).max() / max(energy[0], 1e-9)),
+             float(ends[i][0]), float(ends[i][1]), int(i == 0 or energy[i] <= energy[i - 1] + 1e-9)) for i in range(k)]
+    return spark.createDataFrame(rows, "component int, norm double, overlap double, residual double, lowest double, highest double, in_order int")
+
+
 @register("agg_corpus_summary", with_(DOCS, NORM, SENTS, ENTS, MEN, HITS, LABELS) + """, md AS (SELECT DISTINCT doc_id, entity FROM men),
 per AS (SELECT md.doc_id, count(*) AS em, count(CASE WHEN lab.irregularity_score > 0 THEN 1 END) AS ei,
   coalesce(sum(lab.irregularity_score), 0) AS ts FROM md LEFT JOIN lab ON md.entity = lab.entity_name GROUP BY md.doc_id)
