@@ -118,8 +118,13 @@ class _Fitting(Estimator, ColumnParams, DefaultParamsReadable, DefaultParamsWrit
 
 class _Fitted(TableModel, ColumnParams):
     def rows(self, name: str) -> list:
-        """A table of one row per column or category."""
-        return self.tables[name].collect()
+        """A table of one row per column or category, in the order of the fit."""
+        return sorted(self.tables[name].collect(), key=lambda r: r["index"])
+
+
+def _numbered(df: DataFrame, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A table of fitted values with their order: one row per column or category."""
+    return df.sparkSession.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"index int, {schema}")
 
 
 # ---- CLN-8 -----------------------------------------------------------------
@@ -162,7 +167,7 @@ class OneHotModel(_Fitted):
 
     def _transform(self, df: DataFrame) -> DataFrame:
         col, unseen = self.value("inputCol"), self.value("handleUnseen")
-        values = [r["value"] for r in sorted(self.rows("categories"), key=lambda r: r["index"])]
+        values = [r["value"] for r in self.rows("categories")]
         seen = F.col(col).isin(values) if values else F.lit(False)
         other = F.coalesce(~seen, F.lit(False))
         hit = lambda v: F.when(F.col(col) == v, 1.0).otherwise(0.0)
@@ -188,8 +193,7 @@ class OneHot(_Fitting):
         if len(values) > most:
             raise ValueError(f"{col} has more than {most} categories")
         kind = df.schema[col].dataType.simpleString()
-        table = df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(values)], f"value {kind}, index int")
-        return self._model({"categories": table})
+        return self._model({"categories": _numbered(df, [(v,) for v in values], f"value {kind}")})
 
 
 # ---- CLN-10 ----------------------------------------------------------------
@@ -213,7 +217,7 @@ class Scaler(_Fitting):
         cols = scale_columns(df) if cols is None else cols
         row = df.agg(F.lit(0).alias("_"), *[F.struct(F.avg(c), F.stddev_pop(c)).alias(f"_{c}") for c in cols]).first()
         table = [(c, *row[f"_{c}"]) for c in cols]
-        return self._model({"moments": df.sparkSession.createDataFrame(table, "column string, mean double, std double")}, inputCols=cols)
+        return self._model({"moments": _numbered(df, table, "column string, mean double, std double")}, inputCols=cols)
 
 
 def scale_columns(df: DataFrame, exclude: Sequence[str] = ("year", "audit_flag", "entity_id")) -> list[str]:
@@ -245,7 +249,7 @@ class FillMissing(_Fitting):
         cols = self.value("inputCols")
         numbers, words = ([c for c in of(df) if cols is None or c in cols] for of in (numeric_columns, string_columns))
         table = [(c, False, v, None) for c, v in fit_medians(df, numbers).items()] + [(c, True, None, v) for c, v in fit_modes(df, words).items()]
-        return self._model({"fills": df.sparkSession.createDataFrame(table, "column string, is_text boolean, number double, text string")})
+        return self._model({"fills": _numbered(df, table, "column string, is_text boolean, number double, text string")})
 
 
 # ---- CLN-5/6/7 -------------------------------------------------------------
@@ -287,7 +291,7 @@ class OutlierFlags(_Fitting):
             table = [(c, *row[f"_{c}"]) for c in use]
         else:
             raise ValueError(method)
-        return self._model({"bounds": df.sparkSession.createDataFrame(table, "column string, a double, b double")}, inputCols=use)
+        return self._model({"bounds": _numbered(df, table, "column string, a double, b double")}, inputCols=use)
 
 
 # ---- CLN-12 ----------------------------------------------------------------
