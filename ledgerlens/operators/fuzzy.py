@@ -4,26 +4,23 @@ Score = token-sort ratio: both names are normalised (non-ASCII dropped,
 non-word characters -> space, lower-case, tokens sorted and re-joined), then
 round(100 * 2 * LCS / (len1 + len2)), the indel-normalised similarity.
 
-Candidate generation is exact and never forms all pairs of a group:
-
-* a score >= T needs indel distance d <= floor((1 - r)(L1 + L2)) with
-  r = (T - 0.5) / 100, and a length ratio inside [r / (2 - r), (2 - r) / r];
-* each insertion/deletion destroys at most two of a string's character
-  bigrams, so the pair shares >= max(L1, L2) - 1 - 2d bigram occurrences
-  (>= 1 for every pair except very short strings), and at least
-  max(L1, L2) - d characters in any case;
-* with tokens ordered rarest-first, two sets sharing >= t tokens share a
-  token inside their first (n - t + 1) tokens (prefix filtering).
-
-So names meet only through their rare prefix tokens; identical normalised
-strings meet through an equality join.  Every pair that can reach the
-threshold is generated, then verified by a vectorised LCS (pandas UDF).
+Names of one normal form are one class, and classes are compared.  A score of
+T or more needs an indel distance of at most d = floor((1 - r)(L1 + L2)) with
+r = (T - 0.5) / 100.  Cut the longer form into d + 1 segments: d edits leave
+some segment i whole, with exactly i - 1 edits before it, so it stands in the
+shorter form at a shift of at most i - 1 seen from the left, and of d + 1 - i
+seen from the right.  So forms meet only through an equality join on (length,
+d, i, segment), and no pair that can reach the threshold is lost.  What meets
+must also share enough characters (histograms, JVM-side) before the LCS is
+computed (pandas UDF).  Forms are told apart by their text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,84 +64,92 @@ def ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio_score(x, y) for x, y in zip(a, b)], dtype="int32")
 
 
-def _dmax(l1, l2, threshold: int) -> F.Column:
-    return F.floor((l1 + l2) * F.lit(1005 - 10 * threshold) / F.lit(1000))
+#: Characters of a normal form, counted side by side.
+_LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789_ "
+
+
+#: Place and size of segment i of a form of ``len`` characters cut into d + 1; the last ones are longer by one.
+_SEGMENT = ("(i - 1) * (len div (d + 1)) + greatest(0, i - 2 - d + len % (d + 1)) + 1 AS at",
+            "CAST(len div (d + 1) + IF(i > d + 1 - len % (d + 1), 1, 0) AS INT) AS size")
+
+
+def _edits(threshold: int, length: str) -> str:
+    """Largest indel distance of two forms of ``length`` characters together, as SQL."""
+    return f"CAST(floor(({length}) * {1005 - 10 * threshold} / 1000) AS INT)"
 
 
-def _len_range(length, threshold: int):
+def _segment_index(forms: DataFrame, threshold: int) -> DataFrame:
+    """Segments (len, d, i, piece) of every form, for each number of edits that a partner no longer than it may be away."""
     r = (threshold - 0.5) / 100.0
-    lo = F.ceil(length * F.lit(r / (2 - r)) - F.lit(1e-9))
-    hi = F.floor(length * F.lit((2 - r) / r) + F.lit(1e-9))
-    return F.greatest(lo, F.lit(1)), hi
-
-
-def _tokens(names: DataFrame, q: int) -> DataFrame:
-    """(name_id, token) with occurrence numbers so multisets become sets."""
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length("norm") - q + 1, F.lit(1))),
-                        lambda i: F.substring("norm", i, q))
-    t = names.filter(F.length("norm") >= q).select("nid", "norm", F.explode(grams).alias("g"))
-    w = Window.partitionBy("nid", "g").orderBy(F.lit(1))
-    t = t.withColumn("occ", F.row_number().over(w))
-    return t.select("nid", F.concat(F.col("g"), F.lit("\u0001"), F.col("occ").cast("string")).alias("tok"))
-
-
-def _prefix_candidates(names: DataFrame, q: int, threshold: int, need_expr) -> DataFrame:
-    """Candidate (nid_a, nid_b) pairs via rarest-first prefix filtering on
-    q-gram tokens; ``need_expr(L_self, L_other)`` is the guaranteed overlap."""
-    toks = _tokens(names, q)
-    freq = toks.groupBy("tok").agg(F.count(F.lit(1)).alias("freq"))
-    t = toks.join(freq, "tok").join(names.select("nid", F.length("norm").alias("L")), "nid")
-    lo, hi = _len_range(F.col("L"), threshold)
-    # minimal guaranteed overlap over every feasible partner length
-    need = F.aggregate(F.sequence(lo, F.greatest(hi, lo)), F.lit(1 << 30).cast("long"),
-                       lambda acc, lb: F.least(acc, need_expr(F.col("L"), lb).cast("long")))
-    n_tok = F.greatest(F.col("L") - q + 1, F.lit(0))
-    t = t.withColumn("need", F.greatest(need, F.lit(1))).withColumn("plen", n_tok - F.col("need") + 1)
-    w = Window.partitionBy("nid").orderBy("freq", "tok")
-    pre = (t.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= F.col("plen"))
-           .select("nid", "L", "tok"))
-    a = pre.select(F.col("nid").alias("a"), F.col("L").alias("La"), "tok")
-    b = pre.select(F.col("nid").alias("b"), F.col("L").alias("Lb"), "tok")
+    least = f"greatest(1, CAST(ceil(len * double('{r / (2 - r)!r}') - 1e-9D) AS INT))"
+    e = forms.selectExpr("*", f"explode(sequence({_edits(threshold, f'len + {least}')}, {_edits(threshold, 'len + len')})) AS d")
+    e = e.selectExpr("*", "explode(sequence(1, d + 1)) AS i").selectExpr("*", *_SEGMENT)
+    return e.selectExpr("* EXCEPT (at, size)", "substring(norm, at, size) AS piece")
+
+
+def _segment_probes(forms: DataFrame, threshold: int) -> DataFrame:
+    """Pieces of every form where a segment of a form as long or longer could stand."""
     r = (threshold - 0.5) / 100.0
-    j = a.join(b, "tok").filter((F.col("a") < F.col("b"))
-                                & (2 * F.least("La", "Lb") >= F.lit(r) * (F.col("La") + F.col("Lb")) - F.lit(1e-9)))
-    # a pair sharing several prefix tokens appears once per token: the
-    # distinct is map-side combined before its shuffle.
-    return j.select("a", "b").distinct()
+    most = f"greatest(own, CAST(floor(own * double('{(2 - r) / r!r}') + 1e-9D) AS INT))"
+    e = forms.withColumnRenamed("len", "own").selectExpr("*", f"explode(sequence(own, {most})) AS len")
+    e = e.selectExpr("*", f"{_edits(threshold, 'own + len')} AS d").selectExpr("*", "explode(sequence(1, d + 1)) AS i").selectExpr("*", *_SEGMENT)
+    e = e.selectExpr("*", "greatest(1, at - (i - 1), at + own - len - (d + 1 - i)) AS low",
+                     "least(own - size + 1, at + (i - 1), at + own - len + (d + 1 - i)) AS high").filter("low <= high")
+    e = e.selectExpr("* EXCEPT (at, low, high, own)", "explode(sequence(CAST(low AS INT), CAST(high AS INT))) AS s")
+    return e.selectExpr("* EXCEPT (s, size)", "substring(norm, s, size) AS piece").distinct()
+
+
+def _candidates(forms: DataFrame, threshold: int, block: Sequence[str] = ()) -> DataFrame:
+    """Pairs (norm_a < norm_b, block) of different forms, one ``left`` and one ``right``, that share a segment."""
+    if threshold <= 50:
+        raise ValueError("a threshold of 51 or more leaves no segment empty")
+    index = _segment_index(forms, threshold).withColumnsRenamed({"norm": "long", "left": "long_left", "right": "long_right"})
+    met = index.join(_segment_probes(forms, threshold), ["len", "d", "i", "piece", *block]).filter(
+        (F.col("long") != F.col("norm")) & ((F.col("long_left") & F.col("right")) | (F.col("long_right") & F.col("left"))))
+    pairs = met.select(F.least("long", "norm").alias("norm_a"), F.greatest("long", "norm").alias("norm_b"), *block)
+    return pairs.distinct()          # pairs that share several segments; map-side combined before its shuffle
+
 
+def name_classes(names: DataFrame, col: str = "name", block: Sequence[str] = ()) -> DataFrame:
+    """Distinct names (name, norm and the ``block`` columns), with their normal forms; null names are left out."""
+    n = names.select(F.col(col).alias("name"), *block).filter(F.col("name").isNotNull()).distinct()
+    return n.withColumn("norm", normalize_for_ratio(F.col("name")))
 
-def _short_names(names: DataFrame, threshold: int) -> DataFrame:
-    """Names with some feasible partner length whose bigram bound is < 1."""
-    L = F.length("norm")
-    lo, hi = _len_range(L, threshold)
-    worst = F.aggregate(F.sequence(lo, F.greatest(hi, lo)), F.lit(1 << 30).cast("long"),
-                        lambda acc, lb: F.least(acc, (F.greatest(L, lb) - 1 - 2 * _dmax(L, lb, threshold)).cast("long")))
-    return names.filter(worst < 1)
 
+def _forms(classes: DataFrame, block: Sequence[str] = ()) -> DataFrame:
+    """The distinct forms, each on both sides of the comparison."""
+    forms = classes.filter(F.length("norm") > 0).select("norm", *block).distinct()
+    return forms.select("*", F.length("norm").alias("len"), F.lit(True).alias("left"), F.lit(True).alias("right"))
 
-def similar_pairs(names: DataFrame, threshold: int = 85, col: str = "name") -> DataFrame:
+
+def _verified(pairs: DataFrame, threshold: int) -> DataFrame:
+    """``pairs`` (norm_a, norm_b) with their score, where it reaches the threshold."""
+    counts = lambda c: F.array(*[F.length(c) - F.length(F.replace(F.col(c), F.lit(x), F.lit(""))) for x in _LETTERS])
+    forms = pairs.select(F.explode(F.array("norm_a", "norm_b")).alias("norm")).distinct().withColumn("counts", counts("norm"))
+    a, b = (forms.select(F.col("norm").alias(f"norm_{x}"), F.col("counts").alias(f"counts_{x}")) for x in "ab")
+    shared = F.aggregate(F.zip_with("counts_a", "counts_b", lambda x, y: F.least(x, y)), F.lit(0), lambda total, x: total + x)
+    enough = pairs.join(a, "norm_a").join(b, "norm_b").filter(200 * shared >= F.lit(threshold - 0.5) * (F.length("norm_a") + F.length("norm_b")) - F.lit(1e-6))
+    return enough.drop("counts_a", "counts_b").withColumn("score", ratio_udf("norm_a", "norm_b")).filter(F.col("score") >= threshold)
+
+
+def similar_classes(classes: DataFrame, threshold: int = 85, block: Sequence[str] = ()) -> DataFrame:
+    """JON-7 between classes: (norm_a < norm_b, score) of different normal forms with a ratio of ``threshold`` or
+    more, among those that agree in the ``block`` columns.  With ``name_classes`` as membership this is the whole
+    join: names of one form score 100, other names as their forms do."""
+    return _verified(_candidates(_forms(classes, block), threshold, block), threshold).select("norm_a", "norm_b", *block, "score")
+
+
+def similar_pairs(names: DataFrame, threshold: int = 85, col: str = "name", block: Sequence[str] = ()) -> DataFrame:
     """JON-7: all pairs of distinct names (a < b by name) with token-sort
-    ratio >= threshold.  Returns (name_a, name_b, score)."""
-    n = (names.select(F.col(col).alias("name")).filter(F.col("name").isNotNull()).distinct()
-         .withColumn("norm", normalize_for_ratio(F.col("name"))).filter(F.length("norm") > 0)
-         .withColumn("nid", F.xxhash64("name")))
-    big = _prefix_candidates(n, 2, threshold,
-                             lambda l1, l2: F.greatest(l1, l2) - 1 - 2 * _dmax(l1, l2, threshold))
-    short = _short_names(n, threshold)
-    small = _prefix_candidates(short, 1, threshold, lambda l1, l2: F.greatest(l1, l2) - _dmax(l1, l2, threshold))
-    eq_a = n.select(F.col("nid").alias("a"), "norm")
-    eq_b = n.select(F.col("nid").alias("b"), "norm")
-    eq = eq_a.join(eq_b, "norm").filter(F.col("a") < F.col("b")).select("a", "b")
-    cand = big.unionByName(small).unionByName(eq).distinct()
-    na = n.select(F.col("nid").alias("a"), F.col("name").alias("name_a"), F.col("norm").alias("norm_a"))
-    nb = n.select(F.col("nid").alias("b"), F.col("name").alias("name_b"), F.col("norm").alias("norm_b"))
-    c = cand.join(na, "a").join(nb, "b")
-    la, lb = F.length("norm_a"), F.length("norm_b")
-    r = (threshold - 0.5) / 100.0
-    c = c.filter(2 * F.least(la, lb) >= F.lit(r) * (la + lb) - F.lit(1e-9))
-    c = c.withColumn("score", ratio_udf("norm_a", "norm_b")).filter(F.col("score") >= threshold)
-    out = c.select(F.least("name_a", "name_b").alias("name_a"), F.greatest("name_a", "name_b").alias("name_b"), "score")
-    return out
+    ratio >= threshold, within the ``block`` columns where given.  Returns
+    (name_a, name_b, block, score): the class pairs spelled out by name."""
+    block = list(block)
+    classes = name_classes(names, col, block)
+    a, b = (classes.select(F.col("name").alias(f"name_{x}"), F.col("norm").alias(f"norm_{x}"), *block) for x in "ab")
+    between = similar_classes(classes, threshold, block).join(a, ["norm_a", *block]).join(b, ["norm_b", *block])
+    within = a.join(b.withColumnRenamed("norm_b", "norm_a"), ["norm_a", *block]).filter((F.col("name_a") < F.col("name_b")) & (F.length("norm_a") > 0))
+    pairs = between.select("name_a", "name_b", *block, "score").unionByName(within.select("name_a", "name_b", *block, F.lit(100).alias("score")))
+    return pairs.select(F.least("name_a", "name_b").alias("name_a"), F.greatest("name_a", "name_b").alias("name_b"), *block, "score")
 
 
 def cluster_names(names: DataFrame, pairs: DataFrame, col: str = "name") -> DataFrame:
@@ -190,12 +195,28 @@ def cluster_names(names: DataFrame, pairs: DataFrame, col: str = "name") -> Data
     return members.join(canon.select("leader", "canonical"), "leader").select("name", "leader", "canonical")
 
 
+def cluster_similar_names(names: DataFrame, threshold: int = 85, col: str = "name") -> DataFrame:
+    """JON-8 over JON-7 without spelling out pairs of names: (name, leader, canonical).
+
+    Names of one form are all linked and have the same neighbours, so the
+    first of them stands for the class in ``cluster_names``; its leader leads
+    all of them, and the longest of all members is canonical."""
+    from ledgerlens.session import materialize
+    members = materialize(name_classes(names, col).withColumn("form", F.when(F.length("norm") > 0, F.col("norm"))), "name-classes")
+    first = members.filter("form IS NOT NULL").groupBy("form").agg(F.min("name").alias("first"))
+    a, b = (first.select(F.col("form").alias(f"norm_{x}"), F.col("first").alias(f"name_{x}")) for x in "ab")
+    pairs = similar_classes(members.select("name", "norm"), threshold).join(a, "norm_a").join(b, "norm_b").select("name_a", "name_b", "score")
+    stars = cluster_names(first.select(F.col("first").alias("name")), materialize(pairs, "class-pairs")).select(F.col("name").alias("first"), "leader")
+    led = members.join(first, "form", "left").join(stars, "first", "left").select("name", F.coalesce("leader", "name").alias("leader"))
+    canon = led.groupBy("leader").agg(F.min_by("name", F.struct(
+        -F.length("name"), (F.col("name") != F.col("leader")).cast("int"), F.col("name"))).alias("canonical"))
+    return led.join(canon, "leader").select("name", "leader", "canonical")
+
+
 def standardize_names(df: DataFrame, col: str = "entity_name", threshold: int = 85) -> DataFrame:
     """CLN-3: replace each name by its cluster's canonical name (join on the
     name; names outside any pair keep their value)."""
-    names = df.select(F.col(col).alias("name")).filter(F.col("name").isNotNull()).distinct()
-    pairs = similar_pairs(names, threshold)
-    cl = cluster_names(names, pairs).select(F.col("name").alias("_n"), F.col("canonical").alias("_c"))
+    cl = cluster_similar_names(df, threshold, col).select(F.col("name").alias("_n"), F.col("canonical").alias("_c"))
     j = df.join(cl, df[col] == cl["_n"], "left")
     return j.withColumn(col, F.coalesce("_c", F.col(col))).drop("_n", "_c")
 
@@ -204,17 +225,17 @@ def best_match(left: DataFrame, right: DataFrame, threshold: int = 80, left_col:
                right_col: str = "name") -> DataFrame:
     """JON-9: for each left name the best right name by token-sort ratio of
     the FN-4-cleaned names (>= threshold); ties go to the first right name in
-    name order.  Blocking as in JON-7 across the two tables."""
+    name order.  Forms of the two tables meet as in JON-7, but only across the
+    tables; of the right names of one form the first counts."""
     from ledgerlens.operators.text import clean_legal_name
-    lc = left.select(F.col(left_col).alias("left_name")).distinct().withColumn("ln", clean_legal_name(F.col("left_name")))
-    rc = right.select(F.col(right_col).alias("right_name")).distinct().withColumn("rn", clean_legal_name(F.col("right_name")))
-    both = lc.select(F.col("ln").alias("name")).unionByName(rc.select(F.col("rn").alias("name")))
-    pairs = similar_pairs(both, threshold)
-    same = lc.join(rc, lc.ln == rc.rn).select("left_name", "right_name", F.lit(100).alias("score"))
-    p = pairs.unionByName(pairs.select(F.col("name_b").alias("name_a"), F.col("name_a").alias("name_b"), "score"))
-    cross = (lc.join(p, lc.ln == p.name_a).join(rc, F.col("name_b") == rc.rn)
-             .select("left_name", "right_name", "score"))
-    allp = cross.unionByName(same)
-    return allp.groupBy("left_name").agg(
-        F.min_by("right_name", F.struct(-F.col("score"), F.col("right_name"))).alias("right_name"),
-        F.max("score").alias("score"))
+    lc, rc = (name_classes(t.select(F.col(c).alias("full"), clean_legal_name(F.col(c)).alias("name")), "name", ["full"]) for t, c in ((left, left_col), (right, right_col)))
+    sides = lc.select("norm", F.lit(True).alias("left")).unionByName(rc.select("norm", F.lit(False).alias("left"))).filter(F.length("norm") > 0)
+    forms = sides.groupBy("norm").agg(F.bool_or("left").alias("left"), F.bool_or(~F.col("left")).alias("right")).withColumn("len", F.length("norm"))
+    scored = _verified(_candidates(forms, threshold), threshold)
+    turned = scored.select(F.col("norm_b").alias("norm_a"), F.col("norm_a").alias("norm_b"), "score")
+    equal = forms.filter("left AND right").select(F.col("norm").alias("norm_a"), F.col("norm").alias("norm_b"), F.lit(100).alias("score"))
+    scored = scored.select("norm_a", "norm_b", "score").unionByName(turned).unionByName(equal)  # left forms first, whichever is smaller
+    firsts = rc.groupBy("norm").agg(F.min("full").alias("right_name")).withColumnRenamed("norm", "norm_b")
+    best = scored.join(firsts, "norm_b").groupBy("norm_a").agg(
+        F.min_by("right_name", F.struct(-F.col("score"), F.col("right_name"))).alias("right_name"), F.max("score").alias("score"))
+    return lc.join(best, lc["norm"] == best["norm_a"]).select(F.col("full").alias("left_name"), "right_name", "score")
