@@ -203,6 +203,21 @@ def q_sampled_shapley(spark, sf):
     return XP.sampled_shapley(models["random_forest"], base, bg, feats, key, n_perm=8)
 
 
+@register("exp_tree_attributions", with_(EY) + """SELECT entity_name, year, CAST(count(*) AS BIGINT) AS rows, 0.0::DOUBLE AS gap FROM ey GROUP BY ALL""")
+def q_tree_attributions(spark, sf):
+    """EXP-3: exact Shapley values of the random forest for every row.  Each row's values and the expected value must
+    add up to the probability that MLlib gives it: ``gap`` is what is missing."""
+    from ledgerlens.operators.tree_explain import tree_attributions
+    d, feats, (_, models, _) = _train(spark, sf, ["random_forest"])
+    model = models["random_forest"]
+    base = d.select("entity_name", F.col("year").alias("row_year"), *[F.col(f).cast("double").alias(f) for f in feats])
+    parts = tree_attributions(model, base, feats, ["entity_name", "row_year"]).groupBy("entity_name", "row_year").agg(
+        F.sum("attribution").alias("sum"), F.first("expected_value").alias("expected"))
+    scored = ML.probability(model.transform(ML.assemble(base, feats))).select("entity_name", "row_year", "probability_1")
+    gap = F.round(F.abs(F.col("sum") + F.col("expected") - F.col("probability_1")), 9)
+    return parts.join(scored, ["entity_name", "row_year"]).groupBy("entity_name", F.col("row_year").alias("year")).agg(F.count("*").alias("rows"), F.max(gap).alias("gap"))
+
+
 @register("txt_svd_components")
 def q_svd_components(spark, sf):
     """TXT-9/10: TF-IDF -> uncentred SVD -> min-max components plus domain
