@@ -11,14 +11,17 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import partial
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens.functions import rules
+from ledgerlens.functions.automaton import Automaton
 from ledgerlens.functions.exprs import classify_by_keywords, contains_any, count_present
 
 WS = r"(?U)\s+"
@@ -119,6 +122,8 @@ def entity_mentions(sents: DataFrame, entities: DataFrame, name_col: str = "enti
     direct match is verified on the candidates that hit every word.  This is
     exact: every true pair passes through the index.
     """
+    from ledgerlens.operators.joins import broadcast_if_few
+    from ledgerlens.session import materialize
     ents = (entities.select(F.col(name_col).alias("entity")).filter(F.col("entity").isNotNull()).distinct()
             .withColumn("clean", F.lower(clean_legal_name(F.col("entity"))))
             .filter(F.length("clean") > 0))                                   # Q8: '' would match everything
@@ -136,7 +141,8 @@ def entity_mentions(sents: DataFrame, entities: DataFrame, name_col: str = "enti
                 .groupBy("word").agg(F.min_by("gram", F.struct("freq", "gram")).alias("gram")))
     tok_word = (key_gram.join(vgrams, "gram").filter(F.col("token").contains(F.col("word")))
                 .select("token", "word").distinct())
-    sent_word = toks.join(tok_word, "token").select(key, "sentence_index", "word").distinct()
+    # Written once: word frequencies, candidates and their counts read it.
+    sent_word = materialize(toks.join(broadcast_if_few(materialize(tok_word, "token-words")), "token").select(key, "sentence_index", "word").distinct(), "sentence-words")
     # Probe with each entity's rarest words only: a direct match needs all k
     # words, a fuzzy match at least m = ceil(ratio * k), so every match
     # contains one of the entity's (k - m + 1) rarest words (prefix
@@ -153,10 +159,11 @@ def entity_mentions(sents: DataFrame, entities: DataFrame, name_col: str = "enti
     allw = cand_pairs.join(words.select("entity", "word", "wpos"), "entity")
     hits = (allw.join(sent_word.withColumn("_hit", F.lit(1)), [key, "sentence_index", "word"], "left")
             .groupBy(key, "sentence_index", "entity").agg(F.count("_hit").alias("hits")))
-    cand = hits.join(nwords, "entity")
+    # Counts decide first; only sentences that hold enough words meet their text.
+    fuzzy = (F.col("k") > 1) & (F.col("hits") >= F.col("k") * F.lit(ratio))
+    cand = materialize(hits.join(nwords, "entity").filter((F.col("hits") == F.col("k")) | fuzzy), "mention-candidates")
     cand = cand.join(sents.select(key, "sentence_index", "sentence"), [key, "sentence_index"])
     direct = (F.col("hits") == F.col("k")) & F.col("sentence").contains(F.col("clean"))
-    fuzzy = (F.col("k") > 1) & (F.col("hits") >= F.col("k") * F.lit(ratio))
     out = cand.withColumn("match_type", F.when(direct, "direct").when(fuzzy, "fuzzy")).filter(F.col("match_type").isNotNull())
     return out.select("entity", key, "sentence_index", "sentence", "match_type")
 
@@ -165,16 +172,31 @@ def entity_mentions(sents: DataFrame, entities: DataFrame, name_col: str = "enti
 # Keyword labels (TXT-1..3) and label application (JON-5)
 # ---------------------------------------------------------------------------
 
+def _keywords_in(batches: Iterator[pa.RecordBatch], automaton: Automaton) -> Iterator[pa.RecordBatch]:
+    """The keywords of each sentence, a row for each."""
+    for batch in batches:
+        at, found = automaton.matches(batch.column("lowered").to_pylist())
+        out = batch.take(pa.array(at)).drop_columns(["lowered"])
+        yield out.append_column("kw_order", pa.array(found, pa.int32()))
+
+
 def keyword_hits(mentions: DataFrame, keywords: Sequence[str] = rules.IRREGULARITY_KEYWORDS,
-                 severity: dict = rules.SEVERITY_KEYWORDS) -> DataFrame:
-    """TXT-1: one row per (mention, keyword) substring hit.  The keyword list
-    is a fixed literal array (bounded), filtered per row -- no join."""
-    kw = F.array(*[F.struct(F.lit(i).alias("kw_order"), F.lit(k).alias("keyword")) for i, k in enumerate(keywords)])
-    hit = mentions.withColumn("_k", F.explode(F.filter(kw, lambda x: F.lower(F.col("sentence")).contains(x["keyword"]))))
-    sev_rank = (F.when(F.col("_k.keyword").isin(list(severity.get("high", []))), F.lit(3))
-                .when(F.col("_k.keyword").isin(list(severity.get("medium", []))), F.lit(2)).otherwise(F.lit(1)))
-    return hit.select("*", F.col("_k.kw_order").alias("kw_order"), F.col("_k.keyword").alias("keyword"),
-                      sev_rank.alias("sev_rank")).drop("_k")
+                 severity: dict = rules.SEVERITY_KEYWORDS, key: str = "doc_id") -> DataFrame:
+    """TXT-1: one row per (mention, keyword) substring hit.
+
+    Each mentioned sentence is lowered and read once, however many entities it
+    mentions and however many keywords there are: an automaton of all keywords
+    (flat arrays, as large as the list) runs over batches of sentences."""
+    words = list(keywords)
+    automaton, on = Automaton(words), [key, "sentence_index"]
+    texts = mentions.groupBy(*on).agg(F.lower(F.min("sentence")).alias("lowered")).filter(F.col("lowered").isNotNull())
+    schema = T.StructType([*[texts.schema[c] for c in on], T.StructField("kw_order", T.IntegerType())])
+    found = texts.mapInArrow(partial(_keywords_in, automaton=automaton), schema)
+    rank = {k: 3 if k in severity.get("high", []) else 2 if k in severity.get("medium", []) else 1 for k in words}
+    at = F.col("kw_order") + 1
+    return mentions.join(found, on).select(
+        *[mentions[c] for c in mentions.columns], "kw_order", F.element_at(F.array(*[F.lit(k) for k in words]), at).alias("keyword"),
+        F.element_at(F.array(*[F.lit(rank[k]) for k in words]), at).alias("sev_rank"))
 
 
 def entity_labels(mentions: DataFrame, hits: DataFrame, key: str = "doc_id", evidence: int = 3) -> DataFrame:
@@ -234,7 +256,7 @@ def label_documents(df: DataFrame, docs: DataFrame, key: str = "doc_id", text: s
     s = sentences(docs, key, text)
     # mentions are read twice (entity set, keyword hits): written once, small next to the corpus
     m = materialize(entity_mentions(s, df.select("entity_name"), key=key), "mentions")
-    h = keyword_hits(m, keywords, severity)
+    h = materialize(keyword_hits(m, keywords, severity, key), "keyword-hits")     # read for scores and evidence
     lab = entity_labels(m, h, key)
     return apply_labels(df, lab), review_table(lab)
 

@@ -86,7 +86,7 @@ def _mentions(spark, sf):
 def _labels(spark, sf):
     from ledgerlens.session import materialize
     m = materialize(_mentions(spark, sf), "mentions")
-    h = TX.keyword_hits(m, KW_KEYWORDS, KW_SEVERITY)
+    h = materialize(TX.keyword_hits(m, KW_KEYWORDS, KW_SEVERITY), "keyword-hits")      # read for scores and evidence
     return m, h, TX.entity_labels(m, h)
 
 
