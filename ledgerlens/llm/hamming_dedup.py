@@ -266,13 +266,17 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     """Rows of ``docs``, all columns, without near-duplicates: of each component of texts the smallest id
     stays, and of several rows of that id and component the one with the smallest text.  Ids link nothing
     here: a text without a copy stays, whatever rows its id has besides.  Rows without id stay."""
-    placed = stored(_placed(docs, width, percent, False), "components").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.col("group").alias("_group"), "component_id").filter("_id is not null")
-    here = (docs["doc_id"].cast("long") == F.col("_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_mark"))
-    out = docs.join(placed.filter("_id <> component_id").select("_id", "_mark").distinct(), here, "left_anti")
-    again = placed.filter("_id = component_id").groupBy("_id", "_group").agg(F.count("*").alias("rows"), F.collect_set("_mark").alias("marks")).filter("rows > 1").select("_id", "_group", F.explode("marks").alias("_mark"))
+    taken, p = {c.lower() for c in docs.columns}, "_"
+    while {f"{p}id", f"{p}mark", f"{p}group"} & taken:
+        p += "_"
+    id_, mark, group = f"{p}id", f"{p}mark", f"{p}group"
+    placed = stored(_placed(docs, width, percent, False), "components").select(F.col("doc_id").alias(id_), F.col("mark").alias(mark), F.col("group").alias(group), "component_id").filter(F.col(id_).isNotNull())
+    here = (docs["doc_id"].cast("long") == F.col(id_)) & (F.xxhash64(docs["text"].cast("string")) == F.col(mark))
+    out = docs.join(placed.filter(F.col(id_) != F.col("component_id")).select(id_, mark).distinct(), here, "left_anti")
+    again = placed.filter(F.col(id_) == F.col("component_id")).groupBy(id_, group).agg(F.count("*").alias("rows"), F.collect_set(mark).alias("marks")).filter("rows > 1").select(id_, group, F.explode("marks").alias(mark))
     if again.limit(1).count():
         again = stored(again, "again")
-        several = docs.join(again, here).select("_id", "_group", F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-        first = several.groupBy("_id", "_group").agg(F.min_by("row", F.coalesce("row.text", F.lit(""))).alias("row")).select("row.*")
-        out = out.join(again.select("_id", "_mark").distinct(), here, "left_anti").select(*docs.columns).unionByName(first)
+        several = docs.join(again, here).select(id_, group, F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+        first = several.groupBy(id_, group).agg(F.min_by("row", F.coalesce("row.text", F.lit(""))).alias("row")).select("row.*")
+        out = out.join(again.select(id_, mark).distinct(), here, "left_anti").select(*docs.columns).unionByName(first)
     return out.select(*docs.columns)
