@@ -102,7 +102,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = 1024, gro
     many, bytes_ = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     groups = max(1, -(-(many + bytes_ // (4 * size)) // group_rows))
     item = encoder(tokenizer).dtype.itemsize
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(1 << 40)))  # equal rows part, too
     tokens = salted.mapInArrow(partial(_tokens, path=tokenizer, end_id=end_id, size=size, groups=groups), TOKENS)
     return tokens.groupBy("packing_group").applyInArrow(lambda key, rows: _pack(key, rows, size, item), PIECES)
 
