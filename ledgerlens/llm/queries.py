@@ -104,9 +104,12 @@ def op9_warc_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = F.md5(F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.coalesce("url", F.lit("")), "html"))
     hurt = F.concat(F.lit("#"), F.expr("substr(html, 2)"))
     whole, altered = W.record(F.col("url"), F.col("html")), W.record(F.col("url"), F.when(F.col("place").startswith("00"), hurt).otherwise(F.col("html")))
-    rows = pages.withColumn("place", place).select("place", F.octet_length(whole).cast("long").alias("length"), F.sha2(whole, 256).alias("hash"), F.octet_length(altered).cast("long").alias("length_b"), F.sha2(altered, 256).alias("hash_b")).distinct()
-    rows = rows.withColumn("file", F.format_string("pages-%06d.warc", F.conv(F.substring("place", 1, 8), 16, 10).cast("long") % files))
-    before = Window.partitionBy("file").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    rows = pages.withColumn("place", place).select("place", F.octet_length(whole).cast("long").alias("length"), F.sha2(whole, 256).alias("hash"), F.octet_length(altered).cast("long").alias("length_b"), F.sha2(altered, 256).alias("hash_b"))
+    # equal pages are counted and numbered, so that each is a record with a place of its own
+    rows = rows.groupBy(*rows.columns).agg(F.count("*").alias("n")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("n")
+    rows = rows.withColumn("spot", F.md5(F.concat_ws("|", "place", F.col("copy").cast("string")).cast("binary")))
+    rows = rows.withColumn("file", F.format_string("pages-%06d.warc", F.conv(F.substring("spot", 1, 8), 16, 10).cast("long") % files))
+    before = Window.partitionBy("file").orderBy("spot").rowsBetween(Window.unboundedPreceding, -1)
     placed = stored(rows.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long")), "replicas")
     second = placed.filter(~F.col("place").startswith("ff")).select("file", "offset", F.col("length_b").alias("length"), F.col("hash_b").alias("hash"))
     return W.audit(placed.select("file", "offset", "length", "hash"), second)
@@ -147,12 +150,12 @@ _NODES = """
 ORACLE["op9_warc_merkle"] = f"""
 WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, md5(concat_ws('|', coalesce(page_id::VARCHAR, ''), coalesce(url, ''), coalesce(html, ''))) AS place FROM pages),
 h AS (SELECT *, CASE WHEN place LIKE '00%' THEN '#' || substr(html, 2) ELSE html END AS html_b FROM p),
-w AS (SELECT DISTINCT place,
+w AS (SELECT place, md5(place || '|' || row_number() OVER (PARTITION BY place)) AS spot,
   'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10) AS rec,
   'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(html_b) || chr(13) || chr(10) || chr(13) || chr(10) || html_b || chr(13) || chr(10) || chr(13) || chr(10) AS rec_b FROM h),
-f AS (SELECT place, strlen(rec) AS length, sha256(rec) AS hash, strlen(rec_b) AS length_b, sha256(rec_b) AS hash_b,
-  format('pages-{{:06d}}.warc', ('0x' || substr(place, 1, 8))::BIGINT % (SELECT greatest(1, (count(*) + 511) // 512) FROM pages)) AS file FROM w),
-o AS (SELECT *, coalesce(sum(length) OVER (PARTITION BY file ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS offset_ FROM f),
+f AS (SELECT place, spot, strlen(rec) AS length, sha256(rec) AS hash, strlen(rec_b) AS length_b, sha256(rec_b) AS hash_b,
+  format('pages-{{:06d}}.warc', ('0x' || substr(spot, 1, 8))::BIGINT % (SELECT greatest(1, (count(*) + 511) // 512) FROM pages)) AS file FROM w),
+o AS (SELECT *, coalesce(sum(length) OVER (PARTITION BY file ORDER BY spot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS offset_ FROM f),
 a AS (SELECT file, offset_, length, hash FROM o),
 b AS (SELECT file, offset_, length_b AS length, hash_b AS hash FROM o WHERE place NOT LIKE 'ff%'),
 {_NODES.format(r="a").strip()},
