@@ -126,6 +126,13 @@ def priority(score) -> Column:
     return F.when(s > 0.7, "High").when(s > 0.4, "Medium").otherwise("Low")
 
 
+def resolution_note(score) -> Column:
+    """FN-12: note on a resolved case by its score > .7 / > .4."""
+    from ledgerlens.functions.rules import RESOLUTION_NOTES as notes
+    s = col_(score)
+    return F.when(s > 0.7, notes["High"]).when(s > 0.4, notes["Medium"]).otherwise(notes["Low"])
+
+
 def numeric_columns(df: DataFrame, exclude: Iterable[str] = ()) -> list[str]:
     ex = set(exclude)
     return [f.name for f in df.schema.fields

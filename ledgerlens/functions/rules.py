@@ -216,3 +216,10 @@ MONEY_COLUMNS = ["revenue", "expenditure", "total_assets", "total_liabilities",
 
 # Null-like entity names (ING-4), compared lower-case.
 NULL_LIKE_NAMES = ["nan", "none", "null", ""]
+
+# Note on a resolved case by its score (FN-12).
+RESOLUTION_NOTES = {
+    "High": "High-risk case resolved - follow-up audit recommended",
+    "Medium": "Medium-risk case resolved - monitoring continued",
+    "Low": "Low-risk case resolved - no further action required",
+}

@@ -81,6 +81,28 @@ def insert_missing(base: DataFrame, new: DataFrame, key: str | Sequence[str]) ->
     return base.unionByName(new.join(base.select(key), key, "left_anti"))
 
 
+def write_snapshot(df: DataFrame, path: str, key: str, buckets: int = 64) -> str:
+    """A keyed table in folders by a hash of its key, for ``merge_snapshot``."""
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    df.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    return path
+
+
+def merge_snapshot(spark, path: str, changes: DataFrame, merge, key: str, buckets: int = 64) -> str:
+    """``merge(base, changes)`` for the keys of ``changes``, in place: only the
+    folders that hold a changed key are read and written again (dynamic
+    partition overwrite); all others stay as they are, file for file.
+    ``buckets`` is the number that ``write_snapshot`` was given."""
+    from ledgerlens.session import materialize
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    changes = materialize(changes.withColumn("bucket", bucket), "changes")
+    touched = [r["bucket"] for r in changes.select("bucket").distinct().collect()]     # at most ``buckets`` numbers
+    base = spark.read.parquet(path).filter(F.col("bucket").isin(touched)).drop("bucket")
+    merged = materialize(merge(base, changes.drop("bucket")).withColumn("bucket", bucket), "merged")
+    merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    return path
+
+
 def append_columns(left: DataFrame, right: DataFrame, key: Sequence[str]) -> DataFrame:
     """JON-13: column-wise concat of frames aligned on a row key."""
     return left.join(right, list(key), "inner")
@@ -93,7 +115,8 @@ def peer_comparison(df: DataFrame, type_col: str = "inferred_type", exp_col: str
 
     Same-type peers (other entities of the entity's inferred type, in name
     order) when there are at least ``min_peers``; otherwise the ``fallback``
-    largest entities by total expenditure (minus itself).  At most ``cap``.
+    largest entities by total expenditure (minus itself).  At most ``cap``,
+    after the entity's own row (basis 'self', rank 0).
 
     Bounded expansion: an entity can only ever use the first ``cap + 1``
     names of its type (itself removed), so only those per type are kept
@@ -129,6 +152,8 @@ def peer_comparison(df: DataFrame, type_col: str = "inferred_type", exp_col: str
     w2 = Window.partitionBy(entity).orderBy("_ord")
     pairs = (pairs.withColumn("peer_rank", F.row_number().over(w2).cast("long"))
              .filter(F.col("peer_rank") <= cap).drop("_ord"))
+    own = ent.select(entity, F.col(entity).alias("peer"), F.lit("self").alias("basis"), F.lit(0).cast("long").alias("peer_rank"))
+    pairs = pairs.unionByName(own)
     metrics = ent.select(F.col(entity).alias("peer"), F.col(type_col).alias("peer_type"), "revenue", "expenditure",
                          "assets", "audit_flags", "audit_rate", "years_active")
     return pairs.join(metrics, "peer")

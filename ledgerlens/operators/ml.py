@@ -26,13 +26,13 @@ LABEL = "audit_flag"
 
 def class_weights(df: DataFrame, label: str = LABEL) -> DataFrame:
     """MLT-1: per class n / (2 n_c) ('balanced') and the positive weight
-    neg / pos (one 2-row aggregation)."""
+    neg / pos, from one aggregation of a row per class."""
     g = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_c"))
-    n = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    neg = df.agg(F.count(F.when(F.col(label) == 0, 1)).alias("x")).scalar()
-    pos = df.agg(F.count(F.when(F.col(label) == 1, 1)).alias("x")).scalar()
-    return g.select(label, "n_c", (n / (2.0 * F.col("n_c"))).alias("balanced_weight"),
-                    (neg / pos.cast("double")).alias("pos_weight"))
+    counts = {r[label]: r["n_c"] for r in g.collect()}          # a row per class
+    n, neg, pos = sum(counts.values()), counts.get(0, 0), counts.get(1, 0)
+    rows = [(c, k, n / (2.0 * k), neg / pos if pos else None) for c, k in counts.items()]
+    kind = df.schema[label].dataType.simpleString()
+    return df.sparkSession.createDataFrame(rows, f"{label} {kind}, n_c long, balanced_weight double, pos_weight double")
 
 
 def with_weights(df: DataFrame, label: str = LABEL, mode: str = "balanced", out: str = "weight") -> DataFrame:

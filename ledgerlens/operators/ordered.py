@@ -229,11 +229,30 @@ def time_split(df: DataFrame, test_size: float = 0.2, order: Sequence[str] = ("y
 
 def stratified_split(df: DataFrame, label: str = "audit_flag", test_size: float = 0.2,
                      key: Sequence[str] = ("entity_name", "year"), seed: int = 42, out: str = "split") -> DataFrame:
-    """WIN-10: random split stratified by class, without a year column: a
-    deterministic hash of the key per row, so every class keeps ~test_size
-    in test and recomputation after an executor loss gives the same split."""
-    h = F.abs(F.xxhash64(*[F.col(k) for k in key], F.lit(seed))) % 1000000 / 1000000.0
-    return df.withColumn(out, F.when(h < test_size, "test").otherwise("train"))
+    """WIN-10: split stratified by class, without a year column: of every class
+    exactly floor(n * test_size + 0.5) rows are 'test', those with the smallest
+    md5 of their key, so a recomputation after an executor loss gives the same
+    split.  ``key`` is unique by contract; a null class is a class.
+
+    A histogram of hash beginnings (65,536 cells a class at most) finds the
+    cell in which a class reaches its quota; cells before it are 'test' whole,
+    and only the rows of that one cell are put in order."""
+    key = [k for k in key if k in df.columns]
+    mark = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key], F.lit(str(seed))).cast("binary"))
+    marked = df.withColumn("_mark", mark).withColumn("_cell", F.substring("_mark", 1, 4))
+    cells = marked.groupBy(F.col(label).alias("_class"), F.col("_cell").alias("_edge")).agg(F.count("*").alias("_n"))
+    run = Window.partitionBy("_class").orderBy("_edge").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("_before", F.coalesce(F.sum("_n").over(run), F.lit(0)))
+    quota = F.floor(F.sum("_n").over(Window.partitionBy("_class")) * F.lit(test_size) + F.lit(0.5))
+    edges = cells.withColumn("_left", quota - F.col("_before")).filter("_left >= 0").groupBy("_class").agg(
+        F.max("_edge").alias("_edge"), F.min("_left").alias("_left"))          # the last cell that starts within the quota
+    from ledgerlens.operators.joins import broadcast_if_few
+    j = marked.join(broadcast_if_few(edges), F.col(label).eqNullSafe(F.col("_class")))
+    inner = j.filter(F.col("_cell") == F.col("_edge"))
+    rank = F.row_number().over(Window.partitionBy("_class").orderBy("_mark", *key))
+    inner = inner.withColumn(out, F.when(rank <= F.col("_left"), "test").otherwise("train"))
+    outer = j.filter(F.col("_cell") != F.col("_edge")).withColumn(out, F.when(F.col("_cell") < F.col("_edge"), "test").otherwise("train"))
+    return outer.unionByName(inner).select(*[c for c in df.columns if c != out], out)
 
 
 def waterfall(contrib: DataFrame, instance: str = "row_id", feature: str = "feature",

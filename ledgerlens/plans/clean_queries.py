@@ -414,7 +414,8 @@ same AS (SELECT a.entity_name, b.entity_name AS peer, 'same_type' AS basis,
 top AS (SELECT entity_name AS peer, row_number() OVER (ORDER BY tot DESC, entity_name) AS tr FROM ent ORDER BY tot DESC, entity_name LIMIT 20),
 fb AS (SELECT a.entity_name, t.peer, 'largest' AS basis, row_number() OVER (PARTITION BY a.entity_name ORDER BY t.tr) AS peer_rank
   FROM ent a JOIN nt ON a.inferred_type = nt.inferred_type, top t WHERE nt.n - 1 < 5 AND t.peer <> a.entity_name),
-p AS (SELECT * FROM same WHERE peer_rank <= 15 UNION ALL SELECT * FROM fb WHERE peer_rank <= 15)
+p AS (SELECT * FROM same WHERE peer_rank <= 15 UNION ALL SELECT * FROM fb WHERE peer_rank <= 15
+  UNION ALL SELECT entity_name, entity_name, 'self', 0 FROM ent)
 SELECT p.entity_name, p.peer, p.basis, p.peer_rank, e.inferred_type AS peer_type, {r('e.revenue')} AS revenue,
   {r('e.expenditure')} AS expenditure, {r('e.assets')} AS assets, e.audit_flags, {r('e.audit_rate')} AS audit_rate, e.years_active
 FROM p JOIN ent e ON p.peer = e.entity_name""")
@@ -424,19 +425,26 @@ def q_peer_comparison(spark, sf):
     return JN.peer_comparison(d)
 
 
+def _merged(spark, base, changes, merge):
+    """A snapshot of ``base`` in the shared folder, merged in place and read back."""
+    from ledgerlens.session import scratch_path
+    path = JN.write_snapshot(base, scratch_path(spark, f"config-{uuid.uuid4().hex}"), "config_key")
+    return spark.read.parquet(JN.merge_snapshot(spark, path, changes, merge, "config_key")).drop("bucket")
+
+
 @register("jon_upsert_config", with_(CFG) + """SELECT coalesce(u.config_key, b.config_key) AS config_key,
   CASE WHEN u.config_key IS NOT NULL THEN u.config_value ELSE b.config_value END AS config_value,
   coalesce(u.description, b.description) AS description FROM cfg b FULL OUTER JOIN cfg_upd u ON b.config_key = u.config_key""")
 def q_upsert_config(spark, sf):
-    """JON-11: keyed upsert keeping old descriptions for NULL updates."""
-    return JN.upsert(fx.config_base(spark, sf), fx.config_updates(spark, sf))
+    """JON-11: settings of customers updated from their orders in a keyed snapshot, old descriptions kept for NULL updates."""
+    return _merged(spark, fx.config_base(spark, sf), fx.config_updates(spark, sf), JN.upsert)
 
 
 @register("jon_insert_missing", with_(CFG) + """SELECT * FROM cfg UNION ALL
 SELECT * FROM cfg_upd WHERE config_key NOT IN (SELECT config_key FROM cfg)""")
 def q_insert_missing(spark, sf):
-    """JON-12: insert-if-absent."""
-    return JN.insert_missing(fx.config_base(spark, sf), fx.config_updates(spark, sf), "config_key")
+    """JON-12: settings of customers that have none yet inserted in a keyed snapshot."""
+    return _merged(spark, fx.config_base(spark, sf), fx.config_updates(spark, sf), lambda b, u: JN.insert_missing(b, u, "config_key"))
 
 
 @register("jon_append_columns", with_(EY) + f"""SELECT entity_name, year, {r('revenue')} AS revenue,

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import rules as RL
-from ledgerlens.functions.exprs import classify_by_keywords, format_currency, risk_category, confidence, \
+from ledgerlens.functions.exprs import classify_by_keywords, format_currency, resolution_note, risk_category, confidence, \
     risk_level, priority
 from ledgerlens.operators import aggs, features as FE, filters as FL, ordered as OR
 from ledgerlens.plans import sqlgen as S
@@ -189,16 +189,17 @@ _P = "(total_liabilities / total_assets)"
   {r(f'greatest({_P}, 1 - {_P})')} AS confidence,
   CASE WHEN {_P} >= 0.7 THEN 'Critical' WHEN {_P} >= 0.4 THEN 'High' WHEN {_P} >= 0.2 THEN 'Medium' ELSE 'Low' END AS risk_level,
   CASE WHEN {_P} > 0.7 THEN 'High' WHEN {_P} > 0.4 THEN 'Medium' ELSE 'Low' END AS priority,
+  CASE WHEN {_P} > 0.7 THEN {S.q(RL.RESOLUTION_NOTES['High'])} WHEN {_P} > 0.4 THEN {S.q(RL.RESOLUTION_NOTES['Medium'])} ELSE {S.q(RL.RESOLUTION_NOTES['Low'])} END AS resolution_note,
   array_to_string(CASE WHEN {_P} >= 0.7 THEN {list(RL.RISK_RECOMMENDATIONS['Critical'])}
     WHEN {_P} >= 0.4 THEN {list(RL.RISK_RECOMMENDATIONS['High'])} WHEN {_P} >= 0.2 THEN {list(RL.RISK_RECOMMENDATIONS['Medium'])}
     ELSE {list(RL.RISK_RECOMMENDATIONS['Low'])} END, '|') AS recommendations FROM ey""")
 def q_risk_labels(spark, sf):
-    """FN-9/10/12: risk category, confidence, level, recommendations, priority."""
+    """FN-9/10/12: risk category, confidence, level, recommendations, priority, resolution note."""
     from ledgerlens.operators.risk import recommendations
     ey = fx.entity_year(spark, sf)
     p = F.col("total_liabilities") / F.col("total_assets")
     return ey.select(*KEY, risk_category(p).alias("risk_category"), confidence(p).alias("confidence"),
-                     risk_level(p).alias("risk_level"), priority(p).alias("priority"),
+                     risk_level(p).alias("risk_level"), priority(p).alias("priority"), resolution_note(p).alias("resolution_note"),
                      F.array_join(recommendations(risk_level(p)), "|").alias("recommendations"))
 
 
@@ -430,12 +431,11 @@ from ledgerlens.plans.agg_queries import _RISK_S, _RISK_T  # noqa: E402
 
 def _ranked(spark, sf):
     s = aggs.entity_risk_ranking(fx.entity_year(spark, sf), None, exp_col="expenditure")
-    s = s.withColumn("risk_score", F.round("risk_score", 9))
     return OR.rank_entities(s, "risk_score").select("entity_name", "risk_score", "risk_rank")
 
 
-_RANK_SQL = with_(EY, _RISK_T, _RISK_S) + """, rk AS (SELECT entity_name, round(risk_score, 9) AS risk_score,
-  rank() OVER (ORDER BY round(risk_score, 9) DESC) AS risk_rank FROM s)"""
+_RANK_SQL = with_(EY, _RISK_T, _RISK_S) + """, rk AS (SELECT entity_name, risk_score,
+  rank() OVER (ORDER BY risk_score DESC) AS risk_rank FROM s)"""
 
 
 @register("win_rank_entities", _RANK_SQL + " SELECT entity_name, round(risk_score, 6) AS risk_score, risk_rank FROM rk")
@@ -473,11 +473,14 @@ def q_time_split(spark, sf):
     return OR.time_split(fx.entity_year(spark, sf).select(*KEY), 0.2)
 
 
-@register("win_stratified_split")
+@register("win_stratified_split", with_(EY) + """, k AS (SELECT entity_name, year, audit_flag,
+  row_number() OVER (PARTITION BY audit_flag ORDER BY md5(entity_name || '|' || year || '|42'), entity_name, year) AS place,
+  floor(count(*) OVER (PARTITION BY audit_flag) * 0.2::DOUBLE + 0.5) AS quota FROM ey)
+SELECT entity_name, year, audit_flag, CASE WHEN place <= quota THEN 'test' ELSE 'train' END AS split FROM k""")
 def q_stratified_split(spark, sf):
-    """WIN-10: hash-stratified split (no year column); rows-only check."""
+    """WIN-10: hash-stratified split (no year column), exactly the asked share of every class."""
     d = fx.entity_year(spark, sf).select(*KEY, "audit_flag")
-    return OR.stratified_split(d, "audit_flag", 0.2).groupBy("audit_flag", "split").count()
+    return OR.stratified_split(d, "audit_flag", 0.2).select(*KEY, "audit_flag", "split")
 
 
 @register("top_years_per_entity", with_(EY) + f"""SELECT entity_name, year, {r('expenditure')} AS expenditure, rank FROM (

@@ -67,12 +67,10 @@ HIST = """hist AS (SELECT CAST(ts AS DATE) AS date, event_type AS model_name,
   avg(CASE WHEN value > 30 THEN 1.0 ELSE 0.0 END) AS f1_score
   FROM events GROUP BY CAST(ts AS DATE), event_type)"""
 
-CFG = """cfg AS (SELECT r_name AS config_key, CAST(r_regionkey AS VARCHAR) AS config_value,
-  'region ' || r_name AS description FROM region),
-cfg_upd AS (SELECT r_name AS config_key, CAST(r_regionkey + 100 AS VARCHAR) AS config_value,
-  CASE WHEN r_regionkey = 0 THEN NULL ELSE 'updated ' || r_name END AS description
-  FROM region WHERE r_regionkey < 2
-  UNION ALL SELECT 'NEW_KEY', '42', 'new key' FROM region WHERE r_regionkey = 0)"""
+CFG = """cfg AS (SELECT 'customer.' || c_custkey AS config_key, c_mktsegment AS config_value,
+  'segment of ' || c_name AS description FROM customer WHERE c_acctbal >= 0),
+cfg_upd AS (SELECT 'customer.' || o_custkey AS config_key, last(o_orderpriority ORDER BY o_orderdate, o_orderkey) AS config_value,
+  CASE WHEN count(*) > 1 THEN 'latest of ' || count(*) END AS description FROM orders GROUP BY o_custkey)"""
 
 
 def with_(*ctes: str) -> str:

@@ -199,23 +199,19 @@ def metric_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def config_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = table(spark, sf_dir, "region")
-    return r.select(F.col("r_name").alias("config_key"), F.col("r_regionkey").cast("string").alias("config_value"),
-                    F.concat(F.lit("region "), F.col("r_name")).alias("description"))
+    """CFG: a setting of every customer that is not in debt."""
+    c = table(spark, sf_dir, "customer").filter(F.col("c_acctbal") >= 0)
+    return c.select(F.concat(F.lit("customer."), F.col("c_custkey").cast("string")).alias("config_key"),
+                    F.col("c_mktsegment").alias("config_value"), F.concat(F.lit("segment of "), F.col("c_name")).alias("description"))
 
 
 def config_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CFG updates: two existing keys (one null description) and one new key."""
-    r = table(spark, sf_dir, "region")
-    upd = r.filter(F.col("r_regionkey") < 2).select(
-        F.col("r_name").alias("config_key"),
-        (F.col("r_regionkey") + 100).cast("string").alias("config_value"),
-        F.when(F.col("r_regionkey") == 0, F.lit(None).cast("string"))
-         .otherwise(F.concat(F.lit("updated "), F.col("r_name"))).alias("description"))
-    new = r.filter(F.col("r_regionkey") == 0).select(
-        F.lit("NEW_KEY").alias("config_key"), F.lit("42").alias("config_value"),
-        F.lit("new key").alias("description"))
-    return upd.unionByName(new)
+    """CFG updates: the priority of the latest order of every customer that has ordered, in debt (a new key) or not;
+    customers of a single order come without a description."""
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(
+        F.max_by("o_orderpriority", F.struct("o_orderdate", "o_orderkey")).alias("priority"), F.count("*").alias("n"))
+    return o.select(F.concat(F.lit("customer."), F.col("o_custkey").cast("string")).alias("config_key"), F.col("priority").alias("config_value"),
+                    F.when(F.col("n") > 1, F.concat(F.lit("latest of "), F.col("n").cast("string"))).alias("description"))
 
 
 def report_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
