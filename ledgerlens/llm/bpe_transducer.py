@@ -437,3 +437,12 @@ def encode(docs: DataFrame, tokenizer: str, lexicon: str) -> DataFrame:
 def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, ids and the text that they stand for."""
     return encoded.select("doc_id", "ids").mapInArrow(partial(_decode, tokenizer=tokenizer), "doc_id long, ids array<int>, decoded string")
+
+
+def _round_trip(batches: Iterator[pa.RecordBatch], tokenizer: str, lexicon: str) -> Iterator[pa.RecordBatch]:
+    yield from _decode(_encode(batches, tokenizer, lexicon), tokenizer)
+
+
+def round_trip(docs: DataFrame, tokenizer: str, lexicon: str) -> DataFrame:
+    """``decode(encode(docs))`` in one step: ids reach the text that they stand for inside the task."""
+    return texts(docs).mapInArrow(partial(_round_trip, tokenizer=tokenizer, lexicon=lexicon), "doc_id long, ids array<int>, decoded string")

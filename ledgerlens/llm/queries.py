@@ -29,7 +29,7 @@ def op3_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
     from ledgerlens.llm import bpe_transducer as B
     path, docs = public_tokenizers.path("byte_bpe_50k.json"), table(spark, sf_dir, "documents")
-    both = B.decode(B.encode(docs, path, B.build_lexicon(docs, path)), path)
+    both = B.round_trip(docs, path, B.build_lexicon(docs, path))
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
