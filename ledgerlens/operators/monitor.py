@@ -6,13 +6,17 @@ import math
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ledgerlens.functions import rules
 from ledgerlens.operators.aggs import distinct_years
 from ledgerlens.operators.ordered import prefix_sums
 
+#: Product of the sample sizes up to which the drift p-value is exact.
+EXACT_CELLS = 10_000
 METRICS = ["roc_auc", "precision_at_10", "f1_score"]
 
 
@@ -40,6 +44,24 @@ def kolmogorov_p(d: F.Column, n: F.Column, m: F.Column, terms: int = 20) -> F.Co
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), p))
 
 
+def exact_kolmogorov_p(d: float, n: int, m: int) -> float:
+    """Exact two-sample p-value: the share of the lattice paths from (0, 0) to (n, m), all
+    equally likely without drift, that touch |i / n - j / m| >= d."""
+    limit = round(d * n * m)
+    ways = [0] * (m + 1)  # paths to (i, j) that stay inside
+    for i in range(n + 1):
+        for j in range(m + 1):
+            below = ways[j - 1] if j else int(i == 0)
+            ways[j] = 0 if abs(i * m - j * n) >= limit else below if i == 0 else ways[j] + (below if j else 0)
+    total = math.comb(n + m, n)
+    return (total - ways[m]) / total
+
+
+@F.pandas_udf(DoubleType())
+def _small_p(d: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+    return pd.Series([exact_kolmogorov_p(x, int(a), int(b)) if 0 < a * b <= EXACT_CELLS else None for x, a, b in zip(d, n, m)], dtype="float64")
+
+
 def ks_drift(reference: DataFrame, current: DataFrame, cols: Sequence[str] | None = None,
              threshold: float = rules.DRIFT_P_THRESHOLD) -> DataFrame:
     """MON-1: two-sample KS per numeric column.
@@ -47,7 +69,8 @@ def ks_drift(reference: DataFrame, current: DataFrame, cols: Sequence[str] | Non
     Both samples are unpivoted to (feature, value), counted per value
     (map-side combined), and PFX over (feature, value) gives both empirical
     CDFs; D = max |F_ref - F_cur| per feature.  The work is per distinct
-    value, so ties and hot values cost nothing extra.
+    value, so ties and hot values cost nothing extra.  p is exact up to
+    EXACT_CELLS = n_ref * n_cur, the asymptotic series above; null if a side is empty.
     """
     from ledgerlens.functions.exprs import numeric_columns
     cols = [c for c in (cols or numeric_columns(current)) if c in reference.columns]
@@ -60,7 +83,8 @@ def ks_drift(reference: DataFrame, current: DataFrame, cols: Sequence[str] | Non
     j = pf.join(n, "feature")
     diff = F.abs((F.col("r_below") + F.col("r")) / F.col("n_ref") - (F.col("c_below") + F.col("c")) / F.col("n_cur"))
     d = j.groupBy("feature", "n_ref", "n_cur").agg(F.max(diff).alias("ks_statistic"))
-    d = d.withColumn("p_value", kolmogorov_p(F.col("ks_statistic"), F.col("n_ref"), F.col("n_cur")))
+    sizes = F.col("ks_statistic"), F.col("n_ref"), F.col("n_cur")
+    d = d.withColumn("p_value", F.when(F.col("n_ref") * F.col("n_cur") <= EXACT_CELLS, _small_p(*sizes)).otherwise(kolmogorov_p(*sizes)))
     return d.select("feature", "n_ref", "n_cur", "ks_statistic", "p_value",
                     (F.col("p_value") < threshold).alias("drift_detected"),
                     F.when(F.col("p_value") < 0.01, "High").when(F.col("p_value") < 0.05, "Medium")
