@@ -137,7 +137,8 @@ def nearest(df: DataFrame, is_query: Column | None = None, k: int = 5) -> DataFr
 
     Queries: rows that ``is_query`` marks (ids divisible by 50).  Vectors that are null, zero, of another
     length than most, or hold null or non-finite components, and rows without id, take no part.  Rows of
-    one id are one candidate, the nearest of them; ties go to the smaller id; an empty table gives no row.
+    one id are one candidate, the nearest of them, and one query, whose score with a candidate is that of
+    the best of its vectors; ties go to the smaller id; an empty table gives no row.
     """
     spark = df.sparkSession
     kind, dim = V.dtype(df), V.dimension(df)
@@ -150,7 +151,7 @@ def nearest(df: DataFrame, is_query: Column | None = None, k: int = 5) -> DataFr
     sizes = np.zeros(len(centers), np.int64)
     for r in lists.groupBy("list").count().collect():
         sizes[r["list"]] = r["count"]
-    queries = rows.filter(is_query if is_query is not None else F.col("vec_id") % 50 == 0).groupBy("vec_id").agg(F.min("x").alias("x"))
+    queries = rows.filter(is_query if is_query is not None else F.col("vec_id") % 50 == 0).dropDuplicates(["vec_id", "x"])
     probes = measured_probes(lists, queries, centers, kind, k)
     asked = stored(queries.mapInArrow(partial(_probes, centers=centers, sizes=sizes, probes=probes, least=4 * k, kind=kind), "vec_id long, x binary, list int"), "probes")
     chunks = np.ones(len(centers), np.int64)
@@ -160,7 +161,7 @@ def nearest(df: DataFrame, is_query: Column | None = None, k: int = 5) -> DataFr
     blocks = np.maximum(1, -(-sizes // block))
     of = lambda a: F.element_at(F.array(*[F.lit(int(n)) for n in a]), F.col("list") + 1)
     left = lists.withColumn("block", F.pmod(F.xxhash64("vec_id"), of(blocks)).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), (of(chunks) - 1).cast("int"))))
-    right = asked.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), of(chunks)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), (of(blocks) - 1).cast("int"))))
+    right = asked.withColumn("chunk", F.pmod(F.xxhash64("vec_id", "x"), of(chunks)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), (of(blocks) - 1).cast("int"))))
     keys, turn = ["list", "block", "chunk"], V.rotation(dim)
 
     def found(x: pa.Table, q: pa.Table) -> pa.Table:
