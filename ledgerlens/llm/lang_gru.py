@@ -2,7 +2,8 @@
 
 The network reads the bytes of a word from both sides and labels every
 position; its state starts anew at each word, so equal words are run once.  A
-document's probabilities are the mean over all its positions.  It is trained in
+document's probabilities are the mean over all its positions, of which those with
+a byte that training never saw speak for no language.  It is trained in
 numpy by backpropagation through time on the words of a bounded sample of
 documents; a position's target is how often each language has its word.
 """
@@ -15,12 +16,12 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import crc_mod, slices, stored, texts
 
-#: Bounds of the training sample: documents, and words with their counts by language.
+#: Bounds of the training sample, dealt evenly to the languages: documents, and words with their counts.
 SAMPLE_DOCUMENTS, SAMPLE_WORDS = 4096, 40_000
 WIDTH, EMBEDDING, EPOCHS, BATCH, RATE = 16, 12, 4, 128, 0.01
 #: Bytes of a word that run together; longer words run in stretches.
@@ -40,6 +41,7 @@ class ByteGRU:
     def __init__(self, languages: list[str], seed: int = 5):
         self.languages, rng = list(languages), np.random.default_rng(seed)
         n, h = len(self.languages), WIDTH
+        self.seen = np.ones(256, bool)  # bytes that speak for a language
         small = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
         self.w = {"E": small(256, EMBEDDING) * 4, "V": small(2 * h, n), "c": np.zeros(n, np.float32)}
         for d in "fb":
@@ -123,14 +125,14 @@ class ByteGRU:
         return losses
 
     def positions(self, words: list[bytes]) -> np.ndarray:
-        """For each word, the sums over its positions of the languages' probabilities."""
+        """For each word, the sums over its positions with seen bytes of the languages' probabilities."""
         out = np.zeros((len(words), len(self.languages)), np.float32)
         order = sorted(range(len(words)), key=lambda i: len(words[i]))
         for a in range(0, len(order), 1024):
             rows = order[a: a + 1024]
             x, mask = padded([words[i] for i in rows])
             p = self._softmax(np.concatenate([self._run("f", x, mask), self._run("b", x, mask)], axis=2))
-            out[rows] = (p * mask[..., None]).sum(0)
+            out[rows] = (p * (mask & self.seen[x])[..., None]).sum(0)
         return out
 
 
@@ -161,24 +163,32 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, held: int = 0, of: int = 5, documents: int = SAMPLE_DOCUMENTS, words: int = SAMPLE_WORDS) -> ByteGRU:
-    """Fit the network on at most ``words`` words of at most ``documents`` documents with a language
-    whose crc32(id) mod ``of`` is not ``held``.  Without any, it knows no language."""
+    """Fit the network on documents with a language whose crc32(id) mod ``of`` is not ``held``.
+
+    Every language of such documents is known; each gives an equal share, one at least, of ``documents``
+    documents and ``words`` words.  Without any, the network knows no language."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     known = known.filter("doc_id is not null and lang is not null and text is not null").filter(crc_mod("doc_id", of) != held)
-    picked = stored(known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents), "languages")
-    counted = known.join(F.broadcast(picked), "doc_id").select("text", "lang").mapInArrow(_words, "lang string, word binary, n long")
+    languages = sorted(r["lang"] for r in known.select("lang").distinct().collect())
+    each = lambda bound: max(1, bound // max(1, len(languages)))
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    picked = known.select("doc_id", "lang").distinct().withColumn("r", F.row_number().over(first)).filter(F.col("r") <= each(documents)).drop("r")
+    counted = known.join(F.broadcast(stored(picked, "languages")), ["doc_id", "lang"]).select("text", "lang").mapInArrow(_words, "lang string, word binary, n long")
+    often = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     total = counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    rows = total.orderBy(F.desc("n"), "lang", "word").limit(words).collect()
-    languages = sorted({r["lang"] for r in rows})
+    rows = total.withColumn("r", F.row_number().over(often)).filter(F.col("r") <= each(words)).drop("r").orderBy(F.desc("n"), "lang", "word").collect()
     model = ByteGRU(languages)
-    if len(languages) > 1:
+    if rows:
+        model.seen = np.zeros(256, bool)
+        model.seen[list({_EDGE}.union(*(r["word"] for r in rows)))] = True
+    if len(languages) > 1 and rows:
         number: dict[bytes, int] = {}
         for r in rows:
             number.setdefault(bytes(r["word"]), len(number))
         n = np.zeros((len(number), len(languages)))
         for r in rows:
             n[number[bytes(r["word"])], languages.index(r["lang"])] = r["n"]
-        target = n / n.sum(0)
+        target = n / np.maximum(n.sum(0), 1)  # a language may have no word
         target /= target.sum(1, keepdims=True)
         model.fit(list(number), target.astype(np.float32), np.sqrt(n.sum(1)).astype(np.float32))
     return model
