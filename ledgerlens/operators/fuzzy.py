@@ -12,7 +12,9 @@ shorter form at a shift of at most i - 1 seen from the left, and of d + 1 - i
 seen from the right.  So forms meet only through an equality join on (length,
 d, i, segment), and no pair that can reach the threshold is lost.  What meets
 must also share enough characters (histograms, JVM-side) before the LCS is
-computed (pandas UDF).  Forms are told apart by their text.
+computed (pandas UDF).  Forms are told apart by their text.  Where nearly all
+forms share their segments the index leaves hardly a pair out; a sample of
+the forms tells, and they are compared tile by tile (``name_tiles``).
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerlens.operators import name_tiles as NT
+
 
 def normalize_for_ratio(c) -> F.Column:
     """Token-sort normalisation, JVM-side."""
@@ -132,6 +136,26 @@ def _verified(pairs: DataFrame, threshold: int) -> DataFrame:
     return enough.drop("counts_a", "counts_b").withColumn("score", ratio_udf("norm_a", "norm_b")).filter(F.col("score") >= threshold)
 
 
+#: Forms that are compared tile by tile whatever they share, forms of the sample that probes the index for more of
+#: them, and pairs of forms that a task compares in the time that one candidate of the index takes.
+FEW, PROBES, PER_CANDIDATE = 20_000, 256, 200
+
+
+def _much_alike(forms: DataFrame, threshold: int, block: Sequence[str] = ()) -> bool:
+    """Whether comparing tiles is less work than the candidates of the index (both find the same pairs)."""
+    if threshold <= 50:
+        raise ValueError("a threshold of 51 or more leaves no segment empty")
+    sizes = forms.groupBy(*block).agg(F.count("*").cast("double").alias("n"))
+    n, pairs = sizes.agg(F.sum("n"), F.sum(F.col("n") * F.col("n"))).first()
+    if not n or n <= FEW:
+        return True
+    on = ["len", "d", "i", "piece", *block]
+    some = forms.filter(F.pmod(F.xxhash64("norm", F.lit(3)), F.lit(max(1, int(n) // PROBES))) == 0)
+    index = _segment_index(forms, threshold).groupBy(*on).agg(F.count("*").alias("met"))
+    met, asked = index.join(_segment_probes(some, threshold), on).agg(F.sum("met")).first()[0] or 0, max(1, some.count())
+    return met / asked * PER_CANDIDATE >= pairs / n
+
+
 def similar_classes(classes: DataFrame, threshold: int = 85, block: Sequence[str] = ()) -> DataFrame:
     """JON-7 between classes: (norm_a < norm_b, score) of different normal forms with a ratio of ``threshold`` or
     more, among those that agree in the ``block`` columns.  With ``name_classes`` as membership this is the whole
@@ -143,13 +167,24 @@ def similar_pairs(names: DataFrame, threshold: int = 85, col: str = "name", bloc
     """JON-7: all pairs of distinct names (a < b by name) with token-sort
     ratio >= threshold, within the ``block`` columns where given.  Returns
     (name_a, name_b, block, score): the class pairs spelled out by name."""
+    from ledgerlens.session import materialize
     block = list(block)
-    classes = name_classes(names, col, block)
+    classes = materialize(name_classes(names, col, block), "name-classes")
+    within = _within(classes, block)
+    if _much_alike(_forms(classes, block), threshold, block):
+        spelled = classes.filter(F.length("norm") > 0).groupBy("norm", *block).agg(F.collect_list("name").alias("names"))
+        return NT.linked_names(spelled, threshold, block).select("name_a", "name_b", *block, "score").unionByName(within)
     a, b = (classes.select(F.col("name").alias(f"name_{x}"), F.col("norm").alias(f"norm_{x}"), *block) for x in "ab")
     between = similar_classes(classes, threshold, block).join(a, ["norm_a", *block]).join(b, ["norm_b", *block])
-    within = a.join(b.withColumnRenamed("norm_b", "norm_a"), ["norm_a", *block]).filter((F.col("name_a") < F.col("name_b")) & (F.length("norm_a") > 0))
-    pairs = between.select("name_a", "name_b", *block, "score").unionByName(within.select("name_a", "name_b", *block, F.lit(100).alias("score")))
-    return pairs.select(F.least("name_a", "name_b").alias("name_a"), F.greatest("name_a", "name_b").alias("name_b"), *block, "score")
+    pairs = between.select(F.least("name_a", "name_b").alias("name_a"), F.greatest("name_a", "name_b").alias("name_b"), *block, "score")
+    return pairs.unionByName(within)
+
+
+def _within(classes: DataFrame, block: list[str]) -> DataFrame:
+    """Pairs of names of one form, which score 100."""
+    a, b = (classes.select(F.col("name").alias(f"name_{x}"), "norm", *block) for x in "ab")
+    same = a.join(b, ["norm", *block]).filter((F.col("name_a") < F.col("name_b")) & (F.length("norm") > 0))
+    return same.select("name_a", "name_b", *block, F.lit(100).alias("score"))
 
 
 def cluster_names(names: DataFrame, pairs: DataFrame, col: str = "name") -> DataFrame:
@@ -204,9 +239,12 @@ def cluster_similar_names(names: DataFrame, threshold: int = 85, col: str = "nam
     from ledgerlens.session import materialize
     members = materialize(name_classes(names, col).withColumn("form", F.when(F.length("norm") > 0, F.col("norm"))), "name-classes")
     first = members.filter("form IS NOT NULL").groupBy("form").agg(F.min("name").alias("first"))
-    a, b = (first.select(F.col("form").alias(f"norm_{x}"), F.col("first").alias(f"name_{x}")) for x in "ab")
-    pairs = similar_classes(members.select("name", "norm"), threshold).join(a, "norm_a").join(b, "norm_b").select("name_a", "name_b", "score")
-    stars = cluster_names(first.select(F.col("first").alias("name")), materialize(pairs, "class-pairs")).select(F.col("name").alias("first"), "leader")
+    if _much_alike(_forms(members), threshold):
+        stars = NT.stars(first.withColumnRenamed("form", "norm"), threshold).select("first", "leader")
+    else:
+        a, b = (first.select(F.col("form").alias(f"norm_{x}"), F.col("first").alias(f"name_{x}")) for x in "ab")
+        pairs = similar_classes(members.select("name", "norm"), threshold).join(a, "norm_a").join(b, "norm_b").select("name_a", "name_b", "score")
+        stars = cluster_names(first.select(F.col("first").alias("name")), materialize(pairs, "class-pairs")).select(F.col("name").alias("first"), "leader")
     led = members.join(first, "form", "left").join(stars, "first", "left").select("name", F.coalesce("leader", "name").alias("leader"))
     canon = led.groupBy("leader").agg(F.min_by("name", F.struct(
         -F.length("name"), (F.col("name") != F.col("leader")).cast("int"), F.col("name"))).alias("canonical"))
@@ -228,14 +266,19 @@ def best_match(left: DataFrame, right: DataFrame, threshold: int = 80, left_col:
     name order.  Forms of the two tables meet as in JON-7, but only across the
     tables; of the right names of one form the first counts."""
     from ledgerlens.operators.text import clean_legal_name
-    lc, rc = (name_classes(t.select(F.col(c).alias("full"), clean_legal_name(F.col(c)).alias("name")), "name", ["full"]) for t, c in ((left, left_col), (right, right_col)))
+    from ledgerlens.session import materialize
+    lc, rc = (materialize(name_classes(t.select(F.col(c).alias("full"), clean_legal_name(F.col(c)).alias("name")), "name", ["full"]), "name-classes")
+              for t, c in ((left, left_col), (right, right_col)))
     sides = lc.select("norm", F.lit(True).alias("left")).unionByName(rc.select("norm", F.lit(False).alias("left"))).filter(F.length("norm") > 0)
     forms = sides.groupBy("norm").agg(F.bool_or("left").alias("left"), F.bool_or(~F.col("left")).alias("right")).withColumn("len", F.length("norm"))
-    scored = _verified(_candidates(forms, threshold), threshold)
-    turned = scored.select(F.col("norm_b").alias("norm_a"), F.col("norm_a").alias("norm_b"), "score")
-    equal = forms.filter("left AND right").select(F.col("norm").alias("norm_a"), F.col("norm").alias("norm_b"), F.lit(100).alias("score"))
-    scored = scored.select("norm_a", "norm_b", "score").unionByName(turned).unionByName(equal)  # left forms first, whichever is smaller
-    firsts = rc.groupBy("norm").agg(F.min("full").alias("right_name")).withColumnRenamed("norm", "norm_b")
-    best = scored.join(firsts, "norm_b").groupBy("norm_a").agg(
-        F.min_by("right_name", F.struct(-F.col("score"), F.col("right_name"))).alias("right_name"), F.max("score").alias("score"))
+    firsts = rc.filter(F.length("norm") > 0).groupBy("norm").agg(F.min("full").alias("right_name"))
+    if _much_alike(forms, threshold):
+        best = NT.best_names(forms.filter("left").select("norm", F.array().cast("array<string>").alias("names")), firsts.select("norm", F.array("right_name").alias("names")), threshold)
+    else:
+        scored = _verified(_candidates(forms, threshold), threshold)
+        turned = scored.select(F.col("norm_b").alias("norm_a"), F.col("norm_a").alias("norm_b"), "score")
+        equal = forms.filter("left AND right").select(F.col("norm").alias("norm_a"), F.col("norm").alias("norm_b"), F.lit(100).alias("score"))
+        scored = scored.select("norm_a", "norm_b", "score").unionByName(turned).unionByName(equal)  # left forms first, whichever is smaller
+        best = scored.join(firsts.withColumnRenamed("norm", "norm_b"), "norm_b").groupBy("norm_a").agg(
+            F.min_by("right_name", F.struct(-F.col("score"), F.col("right_name"))).alias("right_name"), F.max("score").alias("score"))
     return lc.join(best, lc["norm"] == best["norm_a"]).select(F.col("full").alias("left_name"), "right_name", "score")
