@@ -90,34 +90,56 @@ class Leaves:
 
     def attributions(self, x: np.ndarray) -> np.ndarray:
         """(rows, features): the Shapley value of each feature; with ``expected`` they add up to the prediction."""
-        out = np.zeros((len(x), self.n_features))
+        out = np.zeros((len(x), self.n_features), order="F")        # a feature's values side by side
+        columns = np.ascontiguousarray(x.T)
         for m, value, feature, lower, upper, cover in self.groups:
             weight = np.array([factorial(k) * factorial(m - 1 - k) / factorial(m) for k in range(m)])
+            if len(x) > 1 << m:                                     # fewer patterns than rows
+                self._by_pattern(out, columns, m, weight, value, feature, lower, upper, cover)
+                continue
             step = max(1, NUMBERS // (len(value) * (m + 1)))
             for a in range(0, len(x), step):
-                out[a: a + step] += self._part(x[a: a + step], m, weight, value, feature, lower, upper, cover)
+                seen = x[a: a + step][:, feature]                   # rows, leaves, features of the path
+                inside = ((seen <= upper) | np.isinf(upper)) & ~(seen <= lower)
+                for j, share in enumerate(self._shares(inside, m, weight, value, cover)):
+                    out[a: a + step] += share @ (feature[:, j, None] == np.arange(self.n_features))
         return out
 
-    def _part(self, x, m, weight, value, feature, lower, upper, cover) -> np.ndarray:
-        seen = x[:, feature]                                        # rows, leaves, features of the path
-        inside = ((seen <= upper) | np.isinf(upper)) & ~(seen <= lower)
-        product = np.zeros((*seen.shape[:2], m + 1))
+    def _by_pattern(self, out, columns, m, weight, value, feature, lower, upper, cover) -> None:
+        """Rows that lie inside the same intervals of a leaf get the same values: 2 ** m patterns are worked out once
+        for a leaf, and each row looks its own up."""
+        pattern = (np.arange(1 << m)[:, None, None] >> np.arange(m) & 1).astype(bool)
+        step = max(1, NUMBERS // ((1 << m) * (m + 1)))
+        for a in range(0, len(value), step):
+            part = slice(a, a + step)
+            inside = np.broadcast_to(pattern, (1 << m, len(value[part]), m))
+            table = np.stack(list(self._shares(inside, m, weight, value[part], cover[part])))
+            for leaf in range(len(value[part])):
+                code = np.zeros(columns.shape[1], np.int32)
+                for j in range(m):
+                    seen, low, high = columns[feature[a + leaf, j]], lower[a + leaf, j], upper[a + leaf, j]
+                    within = ~(seen <= low) if np.isinf(high) else (seen <= high) & ~(seen <= low)
+                    code |= within.astype(np.int32) << j
+                for j in range(m):
+                    out[:, feature[a + leaf, j]] += table[j, :, leaf][code]
+
+    @staticmethod
+    def _shares(inside, m, weight, value, cover) -> Iterator[np.ndarray]:
+        """For each feature of the path its value (rows, leaves), from ``inside`` (rows, leaves, features)."""
+        product = np.zeros((*inside.shape[:2], m + 1))
         product[..., 0] = 1.0
         for j in range(m):
             z = cover[:, j, None]
             grown = product * z
             grown[..., 1:] += product[..., :-1] * inside[..., j, None]
             product = grown
-        out = np.zeros((len(x), self.n_features))
         for j in range(m):
-            z, total = cover[:, j], np.zeros(seen.shape[:2])
-            rest = np.zeros(seen.shape[:2])                         # the factor divided out, from the highest power
+            z, total = cover[:, j], np.zeros(inside.shape[:2])
+            rest = np.zeros(inside.shape[:2])                       # the factor divided out, from the highest power
             for k in range(m - 1, -1, -1):
                 rest = product[..., k + 1] - z * rest
                 total += weight[k] * np.where(inside[..., j], rest, product[..., k] / z)
-            share = value * (inside[..., j] - z) * total
-            out += share @ (feature[:, j, None] == np.arange(self.n_features))
-        return out
+            yield value * (inside[..., j] - z) * total
 
 
 def tree_attributions(model, df: DataFrame, features: Sequence[str], key: Sequence[str]) -> DataFrame:
@@ -136,8 +158,8 @@ def tree_attributions(model, df: DataFrame, features: Sequence[str], key: Sequen
             if len(pdf):
                 found = shared.value.attributions(np.array(pdf["_x"].tolist(), float).reshape(len(pdf), -1))
                 yield pdf.assign(_a=list(found))
-    # few rows make much work: spread before explaining
-    spread = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *key)
+    # few rows make much work: spread before explaining, but patterns are worked out once in a batch
+    spread = rows.repartition(min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *key)
     done = spread.mapInPandas(explain, schema)
     names = F.array(*[F.lit(f) for f in features])
     return done.select(*key, F.inline(F.arrays_zip(names.alias("feature"), F.col("_x").alias("value"), F.col("_a").alias("attribution")))).select(
