@@ -14,6 +14,7 @@ import unicodedata
 from collections.abc import Iterator, Sequence
 from functools import partial
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -23,6 +24,7 @@ from pyspark.sql import types as T
 from ledgerlens.functions import rules
 from ledgerlens.functions.automaton import Automaton
 from ledgerlens.functions.exprs import classify_by_keywords, contains_any, count_present
+from ledgerlens.functions.name_index import NameIndex
 
 WS = r"(?U)\s+"
 
@@ -107,53 +109,94 @@ def _grams(c, q: int) -> F.Column:
                                       lambda i: F.substring(c, i, q))).otherwise(F.array().cast("array<string>"))
 
 
+#: Words of names up to which every task holds them all.
+NAME_WORDS = 20_000
+
+
+def _names_in(batches: Iterator[pa.RecordBatch], index: NameIndex) -> Iterator[pa.RecordBatch]:
+    """The names of each sentence, a row for each."""
+    for batch in batches:
+        at, name, direct = index.matches(batch.column("sentence"))
+        out = batch.take(pa.array(at))
+        kind = pa.array(["fuzzy", "direct"]).take(pa.array(direct.astype("int32")))
+        yield pa.RecordBatch.from_arrays([index.names.take(pa.array(name)), *out.columns, kind], ["entity", *batch.schema.names, "match_type"])
+
+
 def entity_mentions(sents: DataFrame, entities: DataFrame, name_col: str = "entity_name", ratio: float = 0.6,
-                    key: str = "doc_id", q: int = 3) -> DataFrame:
+                    key: str = "doc_id", q: int = 3, name_words: int = NAME_WORDS) -> DataFrame:
     """JON-6: (entity, sentence) pairs where the cleaned lower-case name is a
     substring of the sentence ('direct'), else, for names of >= 2 words, at
     least ``ratio`` of the words are substrings ('fuzzy').
 
     No entity x sentence product is formed.  A word (no spaces) is inside a
-    sentence iff it is inside one of the sentence's space-separated tokens,
-    so containment is decided on the *vocabularies*: distinct tokens are
-    indexed by their 1..q-grams, each entity word probes with its rarest
-    gram, and candidate (word, token) pairs are verified with ``contains``.
-    Sentences then meet entity words through the token->word table, and a
-    direct match is verified on the candidates that hit every word.  This is
-    exact: every true pair passes through the index.
+    sentence iff it is inside one of the sentence's space-separated tokens.
+    If the names have few words (counted), each sentence is read once where it
+    lies (``NameIndex``).  Else names too few of whose words are in any token
+    are left out first, which is decided on the *vocabularies*: distinct tokens
+    are indexed by their 1..q-grams, each entity word probes with its rarest
+    gram, and candidate (word, token) pairs are verified with ``contains``;
+    if many names are left, sentences meet their words by joins.
+    All ways are exact: every true pair passes through the index.
     """
-    from ledgerlens.operators.joins import broadcast_if_few
     from ledgerlens.session import materialize
     ents = (entities.select(F.col(name_col).alias("entity")).filter(F.col("entity").isNotNull()).distinct()
             .withColumn("clean", F.lower(clean_legal_name(F.col("entity"))))
             .filter(F.length("clean") > 0))                                   # Q8: '' would match everything
-    words = ents.select("entity", "clean", F.posexplode(F.split("clean", " ")).alias("wpos", "word"))
-    nwords = ents.select("entity", "clean", F.size(F.split("clean", " ")).alias("k"))
-    toks = sents.select(key, "sentence_index", F.explode(F.array_distinct(F.split("sentence", " "))).alias("token"))
-    vocab = toks.select("token").distinct()
+    k = F.size(F.split("clean", " "))
+    m = F.when(k > 1, F.ceil(k * F.lit(ratio) - F.lit(1e-9))).otherwise(k)      # words that a match holds
+    names = materialize(ents.select("entity", "clean", k.alias("k"), m.alias("m")), "names")
+    sents = sents.filter(F.col(key).isNotNull())
+
+    def many() -> bool:
+        return (names.agg(F.sum("k")).first()[0] or 0) > name_words
+
+    if many():
+        tok_word = _token_words(sents, names, q)
+        words = names.select("*", F.explode(F.split("clean", " ")).alias("word"))
+        found = words.join(tok_word.select("word").distinct(), "word", "left_semi")
+        names = materialize(found.groupBy(*names.columns).agg(F.count(F.lit(1)).alias("found"))
+                            .filter(F.col("found") >= F.col("m")).drop("found"), "found-names")
+        if many():
+            return _mentions_by_joins(sents, names, tok_word, ratio, key)
+    index = NameIndex([tuple(r) for r in names.select("entity", "clean").collect()], ratio)      # name_words words at most
+    read = sents.select(key, "sentence_index", "sentence").filter(F.col("sentence").isNotNull())
+    schema = T.StructType([T.StructField("entity", T.StringType()), *read.schema.fields, T.StructField("match_type", T.StringType())])
+    return read.mapInArrow(partial(_names_in, index=index), schema)
+
+
+def _token_words(sents: DataFrame, names: DataFrame, q: int) -> DataFrame:
+    """(token, word): the words of names that are inside a token of the sentences."""
+    from ledgerlens.session import materialize
+    vocab = materialize(sents.select(F.explode(F.array_distinct(F.split("sentence", " "))).alias("token")).distinct(), "tokens")
     vgrams = (vocab.select("token", F.explode(F.array_distinct(F.flatten(F.array(
         *[_grams(F.col("token"), n) for n in range(1, q + 1)])))).alias("gram")))
     gfreq = vgrams.groupBy("gram").agg(F.count(F.lit(1)).alias("freq"))
-    dwords = words.select("word").distinct()
+    dwords = names.select(F.explode(F.split("clean", " ")).alias("word")).distinct()
     wg = dwords.select("word", F.explode(F.array_distinct(_grams(F.col("word"), F.least(F.length("word"), F.lit(q)))))
                        .alias("gram"))
     key_gram = (wg.join(gfreq, "gram", "left").withColumn("freq", F.coalesce("freq", F.lit(0)))
                 .groupBy("word").agg(F.min_by("gram", F.struct("freq", "gram")).alias("gram")))
-    tok_word = (key_gram.join(vgrams, "gram").filter(F.col("token").contains(F.col("word")))
-                .select("token", "word").distinct())
+    return materialize(key_gram.join(vgrams, "gram").filter(F.col("token").contains(F.col("word")))
+                       .select("token", "word").distinct(), "token-words")
+
+
+def _mentions_by_joins(sents: DataFrame, names: DataFrame, tok_word: DataFrame, ratio: float, key: str) -> DataFrame:
+    """The mentions of names and words too many for one task."""
+    from ledgerlens.operators.joins import broadcast_if_few
+    from ledgerlens.session import materialize
+    words = names.select("entity", "clean", "k", "m", F.posexplode(F.split("clean", " ")).alias("wpos", "word"))
+    toks = sents.select(key, "sentence_index", F.explode(F.array_distinct(F.split("sentence", " "))).alias("token"))
     # Written once: word frequencies, candidates and their counts read it.
-    sent_word = materialize(toks.join(broadcast_if_few(materialize(tok_word, "token-words")), "token").select(key, "sentence_index", "word").distinct(), "sentence-words")
+    sent_word = materialize(toks.join(broadcast_if_few(tok_word), "token").select(key, "sentence_index", "word").distinct(), "sentence-words")
     # Probe with each entity's rarest words only: a direct match needs all k
     # words, a fuzzy match at least m = ceil(ratio * k), so every match
     # contains one of the entity's (k - m + 1) rarest words (prefix
     # filtering).  Common words never fan out to all their sentences x all
     # entities sharing them; candidates are then counted over all words.
     wfreq = sent_word.groupBy("word").agg(F.count(F.lit(1)).alias("wf"))
-    wk = words.join(nwords.select("entity", "k"), "entity").join(wfreq, "word", "left") \
-        .withColumn("wf", F.coalesce("wf", F.lit(0)))
-    m = F.when(F.col("k") > 1, F.ceil(F.col("k") * F.lit(ratio) - F.lit(1e-9))).otherwise(F.col("k"))
+    wk = words.join(wfreq, "word", "left").withColumn("wf", F.coalesce("wf", F.lit(0)))
     wrank = Window.partitionBy("entity").orderBy("wf", "word", "wpos")
-    probe = (wk.withColumn("_r", F.row_number().over(wrank)).filter(F.col("_r") <= F.col("k") - m + 1)
+    probe = (wk.withColumn("_r", F.row_number().over(wrank)).filter(F.col("_r") <= F.col("k") - F.col("m") + 1)
              .select("entity", "word"))
     cand_pairs = sent_word.join(probe, "word").select(key, "sentence_index", "entity").distinct()
     allw = cand_pairs.join(words.select("entity", "word", "wpos"), "entity")
@@ -161,7 +204,7 @@ def entity_mentions(sents: DataFrame, entities: DataFrame, name_col: str = "enti
             .groupBy(key, "sentence_index", "entity").agg(F.count("_hit").alias("hits")))
     # Counts decide first; only sentences that hold enough words meet their text.
     fuzzy = (F.col("k") > 1) & (F.col("hits") >= F.col("k") * F.lit(ratio))
-    cand = materialize(hits.join(nwords, "entity").filter((F.col("hits") == F.col("k")) | fuzzy), "mention-candidates")
+    cand = materialize(hits.join(names, "entity").filter((F.col("hits") == F.col("k")) | fuzzy), "mention-candidates")
     cand = cand.join(sents.select(key, "sentence_index", "sentence"), [key, "sentence_index"])
     direct = (F.col("hits") == F.col("k")) & F.col("sentence").contains(F.col("clean"))
     out = cand.withColumn("match_type", F.when(direct, "direct").when(fuzzy, "fuzzy")).filter(F.col("match_type").isNotNull())
@@ -173,29 +216,34 @@ def entity_mentions(sents: DataFrame, entities: DataFrame, name_col: str = "enti
 # ---------------------------------------------------------------------------
 
 def _keywords_in(batches: Iterator[pa.RecordBatch], automaton: Automaton) -> Iterator[pa.RecordBatch]:
-    """The keywords of each sentence, a row for each."""
+    """The keywords of each mention, a row for each; a sentence is read once in a batch."""
     for batch in batches:
-        at, found = automaton.matches(batch.column("lowered").to_pylist())
+        texts = batch.column("lowered").dictionary_encode()
+        text, found = automaton.matches(texts.dictionary.to_pylist())
+        many = np.bincount(text, minlength=len(texts.dictionary))
+        of, first = texts.indices.to_numpy(), np.cumsum(many) - many
+        at = np.repeat(np.arange(len(of)), many[of])
+        inside = np.arange(len(at)) - np.repeat(np.cumsum(many[of]) - many[of], many[of])
         out = batch.take(pa.array(at)).drop_columns(["lowered"])
-        yield out.append_column("kw_order", pa.array(found, pa.int32()))
+        yield out.append_column("kw_order", pa.array(found[first[of[at]] + inside], pa.int32()))
 
 
 def keyword_hits(mentions: DataFrame, keywords: Sequence[str] = rules.IRREGULARITY_KEYWORDS,
                  severity: dict = rules.SEVERITY_KEYWORDS, key: str = "doc_id") -> DataFrame:
     """TXT-1: one row per (mention, keyword) substring hit.
 
-    Each mentioned sentence is lowered and read once, however many entities it
-    mentions and however many keywords there are: an automaton of all keywords
-    (flat arrays, as large as the list) runs over batches of sentences."""
+    Mentions stay where they are: an automaton of all keywords (flat arrays,
+    as large as the list) runs over the different sentences of a batch, however
+    many entities they mention and however many keywords there are."""
     words = list(keywords)
-    automaton, on = Automaton(words), [key, "sentence_index"]
-    texts = mentions.groupBy(*on).agg(F.lower(F.min("sentence")).alias("lowered")).filter(F.col("lowered").isNotNull())
-    schema = T.StructType([*[texts.schema[c] for c in on], T.StructField("kw_order", T.IntegerType())])
-    found = texts.mapInArrow(partial(_keywords_in, automaton=automaton), schema)
+    automaton = Automaton(words)
+    texts = mentions.filter(F.col(key).isNotNull() & F.col("sentence_index").isNotNull()).withColumn("lowered", F.lower("sentence"))
+    schema = T.StructType([*mentions.schema.fields, T.StructField("kw_order", T.IntegerType())])
+    found = texts.filter(F.col("lowered").isNotNull()).mapInArrow(partial(_keywords_in, automaton=automaton), schema)
     rank = {k: 3 if k in severity.get("high", []) else 2 if k in severity.get("medium", []) else 1 for k in words}
     at = F.col("kw_order") + 1
-    return mentions.join(found, on).select(
-        *[mentions[c] for c in mentions.columns], "kw_order", F.element_at(F.array(*[F.lit(k) for k in words]), at).alias("keyword"),
+    return found.select(
+        *mentions.columns, "kw_order", F.element_at(F.array(*[F.lit(k) for k in words]), at).alias("keyword"),
         F.element_at(F.array(*[F.lit(rank[k]) for k in words]), at).alias("sev_rank"))
 
 
@@ -253,7 +301,7 @@ def label_documents(df: DataFrame, docs: DataFrame, key: str = "doc_id", text: s
     applied to the entity-year table.  Errors propagate (the reference
     silently returned all-zero labels)."""
     from ledgerlens.session import materialize
-    s = sentences(docs, key, text)
+    s = materialize(sentences(docs, key, text), "sentences")      # read as tokens and as texts
     # mentions are read twice (entity set, keyword hits): written once, small next to the corpus
     m = materialize(entity_mentions(s, df.select("entity_name"), key=key), "mentions")
     h = materialize(keyword_hits(m, keywords, severity, key), "keyword-hits")     # read for scores and evidence
