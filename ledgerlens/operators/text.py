@@ -380,34 +380,72 @@ def english_stop_words() -> list[str]:
     return list(ENGLISH_STOP_WORDS)
 
 
+#: Words and terms up to which a list of them is written into the plan.
+LISTED = 10_000
+
+
+def doc_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", stop_words: Sequence[str] | None = None,
+               accents: bool = True) -> DataFrame:
+    """(doc, tokens): ``\\w\\w+`` tokens in order, lower-cased, accents stripped, stop words removed."""
+    sw = english_stop_words() if stop_words is None else list(stop_words)
+    t = F.lower(F.col(text))
+    if accents:
+        t = strip_accents(t)
+    d = docs.select(key, F.regexp_extract_all(t, F.lit(r"(?U)[\p{L}\p{N}_]{2,}"), 0).alias("tokens"))
+    return d.select(key, F.filter("tokens", lambda x: ~x.isin(sw)).alias("tokens")) if sw else d
+
+
+def _gram(n: int):
+    """The n tokens from one on, joined by spaces; null if one of them is."""
+    return lambda i: F.concat(*[c for j in range(n) for c in (F.lit(" "), F.get("tokens", i + j))][1:])
+
+
 def doc_terms(docs: DataFrame, key: str = "doc_id", text: str = "text", ngram: tuple[int, int] = (1, 3),
-              stop_words: Sequence[str] | None = None, accents: bool = True, partition: bool = True) -> DataFrame:
-    """(doc, term, count): ``\\w\\w+`` tokens, lower-cased, accents stripped,
-    stop words removed, 1..3-grams of the remaining tokens.
+              stop_words: Sequence[str] | None = None, accents: bool = True, partition: bool = True,
+              tokens: bool = False, words: Sequence[str] | None = None, terms: Sequence[str] | None = None) -> DataFrame:
+    """(doc, term, count): 1..3-grams of the tokens (``tokens``: docs are rows of ``doc_tokens``).
 
     Documents are hash-partitioned by their key *before* tokenising: one
     shuffle of the raw text, after which the (doc, term) count is satisfied
     by that partitioning (no second exchange of the 3x larger n-gram rows).
     With ``partition=False`` texts stay where they are and the counts, combined
-    before their exchange, move instead: for a caller that keeps few of them."""
-    sw = english_stop_words() if stop_words is None else list(stop_words)
+    before their exchange, move instead: for a caller that keeps few of them,
+    such as the terms of given ``words`` alone, or given ``terms`` alone."""
     if partition:
         docs = docs.repartition(F.col(key))
-    t = F.lower(F.col(text))
-    if accents:
-        t = strip_accents(t)
-    toks = F.regexp_extract_all(t, F.lit(r"(?U)[\p{L}\p{N}_]{2,}"), 0)
-    d = docs.select(key, toks.alias("_tok"))
-    if sw:
-        d = d.select(key, F.filter("_tok", lambda x: ~x.isin(sw)).alias("_tok"))
-    grams = []
+    d = docs.select(key, "tokens") if tokens else doc_tokens(docs, key, text, stop_words, accents)
+    if terms is not None and words is None:
+        words = sorted({w for t in terms for w in t.split(" ")})
+    if words is not None and len(words) <= LISTED:           # a gap for the others: no term runs across it
+        d = d.select(key, F.transform("tokens", lambda x: F.when(x.isin(list(words)), x)).alias("tokens"))
+    size, grams = F.size("tokens"), []
     for n in range(ngram[0], ngram[1] + 1):
-        size = F.size("_tok")
-        grams.append(F.when(size >= n, F.transform(F.sequence(F.lit(0), F.greatest(size - n, F.lit(0))),
-                                                    lambda i: F.array_join(F.slice("_tok", i + 1, n), " ")))
+        grams.append(F.when(size >= n, F.transform(F.sequence(F.lit(0), F.greatest(size - n, F.lit(0))), _gram(n)))
                      .otherwise(F.array().cast("array<string>")))
-    d = d.select(key, F.explode(F.flatten(F.array(*grams))).alias("term"))
-    return d.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    found = F.filter(F.flatten(F.array(*grams)), lambda g: g.isNotNull())
+    if terms is not None and len(terms) <= LISTED:
+        found = F.filter(found, lambda g: g.isin(list(terms)))
+    return d.select(key, F.explode(found).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def frequent_terms(tokens: DataFrame, n_docs: int, key: str = "doc_id", ngram: tuple[int, int] = (1, 3), max_features: int = 100,
+                   max_df: float = 0.8, min_df: int = 1) -> DataFrame:
+    """``doc_terms`` of ``doc_tokens`` rows without terms that can't be among the ``max_features`` most frequent: a
+    term is no more frequent than any of its words, so if that many words reach a frequency, terms with a rarer word
+    are out.  The counts of all other terms are whole."""
+    every = doc_terms(tokens, key, ngram=ngram, partition=False, tokens=True)
+    if ngram[0] > 1:
+        return every
+    single = doc_terms(tokens, key, ngram=(1, 1), partition=False, tokens=True)
+    freq = single.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("freq"))
+    from ledgerlens.session import materialize
+    freq = materialize(freq, "words")
+    top = freq.filter((F.col("df") <= F.floor(F.lit(n_docs) * F.lit(max_df))) & (F.col("df") >= min_df)) \
+        .orderBy(F.desc("freq")).select("freq").limit(max_features).collect() if max_features <= LISTED else []
+    if not top or len(top) < max_features:
+        return every
+    words = [r["term"] for r in freq.filter(F.col("freq") >= top[-1]["freq"]).select("term").limit(LISTED + 1).collect()]
+    return every if len(words) > LISTED else doc_terms(tokens, key, ngram=ngram, partition=False, tokens=True, words=words)
 
 
 def fit_tfidf(terms: DataFrame, n_docs, max_features: int = 100, max_df: float = 0.8,

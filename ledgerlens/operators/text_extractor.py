@@ -40,9 +40,14 @@ class TextParams(Params):
         t = F.col(text) if text in docs.columns else F.lit("")
         return docs.select(F.col(key).alias("key"), F.coalesce(TX.normalize_feature_text(t), F.lit("")).alias("text"))
 
-    def terms(self, normalized: DataFrame) -> DataFrame:
-        """(key, term, tf) of the texts, one count per document and term."""
-        return TX.doc_terms(normalized, "key", ngram=(1, self.value("maxNgram")), partition=False)
+    def tokens(self, normalized: DataFrame) -> DataFrame:
+        """(key, tokens) of the texts."""
+        return TX.doc_tokens(normalized, "key")
+
+    def terms(self, tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
+        """(key, term, tf) of the vocabulary's terms, one count per document and term."""
+        known = [r["term"] for r in vocabulary.select("term").collect()]       # maxFeatures rows
+        return TX.doc_terms(tokens, "key", ngram=(1, self.value("maxNgram")), partition=False, tokens=True, terms=known)
 
 
 class TextFeaturesModel(TableModel, TextParams):
@@ -56,7 +61,7 @@ class TextFeaturesModel(TableModel, TextParams):
 
     def tfidf(self, docs: DataFrame) -> DataFrame:
         """Long TF-IDF weights (key, term, idx, weight) with L2 norm 1 in a document (TXT-8)."""
-        w = self._weighted(self.terms(self.normalized(docs)))
+        w = self._weighted(self.terms(self.tokens(self.normalized(docs)), self.tables["vocabulary"]))
         norm = w.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))  # partitioned by key already
         return w.join(norm, "key").select(F.col("key").alias(self.value("keyCol")), "term", "idx", (F.col("w") / F.col("norm")).alias("weight"))
 
@@ -73,7 +78,7 @@ class TextFeaturesModel(TableModel, TextParams):
         if not k:                                  # fitted without a term
             return docs.select(self.value("keyCol"))
         loadings = self.tables["basis"].groupBy("idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("comp", "loading"))), lambda x: x["loading"]).alias("loadings"))
-        terms = self.terms(self.normalized(docs)) if terms is None else terms
+        terms = self.terms(self.tokens(self.normalized(docs)), self.tables["vocabulary"]) if terms is None else terms
         w = self._weighted(terms).join(F.broadcast(loadings), "idx")   # maxFeatures rows of k numbers
         norm = F.sqrt(F.sum(F.col("w") * F.col("w")))
         sums = w.groupBy("key").agg(*[(F.sum(F.col("w") * F.col("loadings")[i]) / norm).alias(f"c{i}") for i in range(k)])
@@ -106,9 +111,11 @@ class TextFeatures(Estimator, TextParams, DefaultParamsReadable, DefaultParamsWr
             model._set(**{param.name: self.getOrDefault(param)})
         normalized = self.normalized(docs)
         n_docs = normalized.count()
-        terms = materialize(self.terms(normalized), "terms")
-        vocabulary = TX.fit_tfidf(terms, n_docs, self.value("maxFeatures"), self.value("maxDf"), self.value("minDf"))
-        model.tables = {"vocabulary": materialize(vocabulary, "vocabulary")}
+        tokens = materialize(self.tokens(normalized), "tokens")
+        limits = self.value("maxFeatures"), self.value("maxDf"), self.value("minDf")
+        frequent = TX.frequent_terms(tokens, n_docs, "key", (1, self.value("maxNgram")), *limits)
+        model.tables = {"vocabulary": materialize(TX.fit_tfidf(frequent, n_docs, *limits), "vocabulary")}
+        terms = materialize(self.terms(tokens, model.tables["vocabulary"]), "terms")
         weights = TX.transform_tfidf(terms, model.tables["vocabulary"], "key")
         basis, _ = ML.tfidf_svd(weights, model.tables["vocabulary"].count(), n_docs, "key", self.value("components"))
         k = 1 + max((c for c, _, _ in basis), default=-1)

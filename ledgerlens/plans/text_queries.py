@@ -229,9 +229,10 @@ tw AS (SELECT tf.doc_id, tf.term, tf.tf * voc.idf AS w FROM tf JOIN voc ON tf.te
 def _tfidf(spark, sf):
     docs = fx.report_documents(spark, sf)
     fe = docs.select("doc_id", TX.normalize_feature_text(F.col("text")).alias("text"))
-    from ledgerlens.session import materialize
-    terms = materialize(TX.doc_terms(fe), "terms")      # read by the fit and by the weights
-    vocab = TX.fit_tfidf(terms, docs.agg(F.count(F.lit(1)).alias("n")).scalar())
+    tokens = materialize(TX.doc_tokens(fe), "tokens")      # read by the fit and by the weights
+    n_docs = docs.count()
+    vocab = materialize(TX.fit_tfidf(TX.frequent_terms(tokens, n_docs), n_docs), "vocabulary")
+    terms = TX.doc_terms(tokens, tokens=True, partition=False, terms=[r["term"] for r in vocab.select("term").collect()])   # max_features rows
     return vocab, TX.transform_tfidf(terms, vocab)
 
 
