@@ -52,22 +52,28 @@ def _walk(nodes: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=[c.split()[0] for c in LEAF.split(", ")])
 
 
+def node_table(spark: SparkSession, model) -> tuple[DataFrame, str]:
+    """The nodes of a fitted ensemble, read from the model as Spark saves it, and the folder of the saved model."""
+    path = scratch_path(spark, f"trees-{model.uid}")
+    model.write().overwrite().save(path)
+    n = F.col("nodeData")
+    return spark.read.parquet(f"{path}/data").select(
+        F.col("treeID").alias("tree"), n["id"].alias("id"), n["prediction"].alias("prediction"), n["impurityStats"].alias("stats"), n["rawCount"].alias("rows"),
+        n["leftChild"].alias("left"), n["rightChild"].alias("right"), n["split"]["featureIndex"].alias("feature"),
+        F.get(n["split"]["leftCategoriesOrThreshold"], F.lit(0)).alias("threshold"), n["split"]["numCategories"].alias("categories")), path
+
+
 def leaf_table(spark: SparkSession, model) -> DataFrame:
     """The leaves of a fitted binary random forest (values: probability of class 1) or boosted classifier (margin),
     values times the weights of their trees: read from the model as Spark saves it, a tree in a task."""
-    path = scratch_path(spark, f"trees-{model.uid}")
-    model.write().overwrite().save(path)
     boosted = "GBT" in type(model).__name__
+    nodes, path = node_table(spark, model)
     if boosted:
         weights = F.col("w")
         trees = spark.read.parquet(f"{path}/treesMetadata").toDF("tree", "meta", "w").select("tree", "w")
     else:
         weights = F.lit(1.0 / model.getNumTrees)
-    n = F.col("nodeData")
-    nodes = spark.read.parquet(f"{path}/data").select(
-        F.col("treeID").alias("tree"), n["id"].alias("id"), n["prediction"].alias("prediction"), n["impurityStats"].alias("stats"), n["rawCount"].alias("rows"),
-        n["leftChild"].alias("left"), n["rightChild"].alias("right"), n["split"]["featureIndex"].alias("feature"),
-        F.get(n["split"]["leftCategoriesOrThreshold"], F.lit(0)).alias("threshold"), n["split"]["numCategories"].alias("categories"), F.lit(not boosted).alias("classes"))
+    nodes = nodes.withColumn("classes", F.lit(not boosted))
     leaves = nodes.groupBy("tree").applyInPandas(_walk, LEAF)
     if boosted:
         leaves = leaves.join(F.broadcast(trees), "tree")           # a row per tree
