@@ -9,7 +9,9 @@ reach the driver.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -92,8 +94,8 @@ def train_models(df: DataFrame, features: Sequence[str], label: str = LABEL, tes
                  names: Sequence[str] | None = None, save_dir: str | None = None, seed: int = 42,
                  skip_failing: bool = False):
     """MLT-5: time-aware split, fit every estimator on the cached training
-    split, evaluate on the test split, pick the best ROC AUC, optionally
-    persist.  A failing estimator raises, or with ``skip_failing`` is reported
+    split (all estimators side by side), evaluate on the test split, pick the
+    best ROC AUC, optionally persist.  A failing estimator raises, or with ``skip_failing`` is reported
     in its row (as long as another can be fitted).  Returns
     (metrics DataFrame, {name: fitted model}, best name)."""
     spark = df.sparkSession
@@ -107,28 +109,31 @@ def train_models(df: DataFrame, features: Sequence[str], label: str = LABEL, tes
     train = split.filter(F.col("split") == "train")
     test = split.filter(F.col("split") == "test")
     sw = with_weights(train, label, "balanced").agg(F.sum("weight").alias("s")).first()["s"]
-    rows, models, failed = [], {}, []
-    for name, (est, mode) in estimators(seed, sw).items():
-        if names and name not in names:
-            continue
+    weighted = {mode: with_weights(train, label, mode).select("features", label, "weight").cache() for mode in ("balanced", "positive")}
+
+    def fit_one(name, est, mode):
+        """(metrics row, fitted model or None, error or None) of one estimator."""
         try:
-            tr = with_weights(train, label, mode).cache()
-            model = est.fit(tr)
-            tr.unpersist()
-            pred = probability(model.transform(test))
-            m = evaluate_predictions(pred, label)
-            m["model_name"] = name
-            m["status"] = "ok"
-            models[name] = model
+            model = est.fit(weighted[mode])
+            m = evaluate_predictions(probability(model.transform(test)), label)
             if save_dir:
                 from ledgerlens.sources.io import save_model
                 save_model(model, f"{save_dir}/{name}")
+            return m | {"model_name": name, "status": "ok"}, model, None
         except Exception as e:  # noqa: BLE001 - skipped and reported only where the caller asks for it
             if not skip_failing:
                 raise
-            m = {"model_name": name, "status": f"failed: {type(e).__name__}"}
-            failed.append(e)
-        rows.append(m)
+            return {"model_name": name, "status": f"failed: {type(e).__name__}"}, None, e
+
+    # The optimisers wait for one small job after the other: side by side they fill the executors.
+    chosen = [(name, est, mode) for name, (est, mode) in estimators(seed, sw).items() if not names or name in names]
+    with ThreadPool(max(1, len(chosen))) as pool:
+        done = [pool.apply_async(inheritable_thread_target(spark)(fit_one), c) for c in chosen]
+        done = [d.get() for d in done]
+    for w in weighted.values():
+        w.unpersist()
+    rows, failed = [m for m, _, _ in done], [e for _, _, e in done if e is not None]
+    models = {m["model_name"]: model for m, model, _ in done if model is not None}
     cols = ["model_name", "status", "roc_auc", "pr_auc", "precision", "recall", "f1_score",
             "precision_at_5pct", "precision_at_10pct", "precision_at_20pct"]
     data = [tuple(r.get(c) for c in cols) for r in rows]
