@@ -22,6 +22,14 @@ def broadcast_if_few(df: DataFrame, rows: int = FEW_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def broadcast_or_merge(df: DataFrame, rows: int = FEW_ROWS) -> DataFrame:
+    """``broadcast_if_few`` for a side whose files are much smaller than its
+    rows (packed, exploded or grouped): if there are many, a merge hint keeps
+    Spark from a broadcast by the size of these files, before AQE measures."""
+    few = broadcast_if_few(df, rows)
+    return few.hint("merge") if few is df else few
+
+
 def recent_predictions(pred: DataFrame, users: DataFrame, entity: str | None = None, limit: int = 100) -> DataFrame:
     """JON-1: predictions left-joined to their creator, optional entity
     filter, newest first (id breaks ties), ``limit`` rows.  The top-k is

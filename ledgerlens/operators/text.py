@@ -138,6 +138,7 @@ def entity_mentions(sents: DataFrame, entities: DataFrame, name_col: str = "enti
     if many names are left, sentences meet their words by joins.
     All ways are exact: every true pair passes through the index.
     """
+    from ledgerlens.operators.joins import broadcast_or_merge
     from ledgerlens.session import materialize
     ents = (entities.select(F.col(name_col).alias("entity")).filter(F.col("entity").isNotNull()).distinct()
             .withColumn("clean", F.lower(clean_legal_name(F.col("entity"))))
@@ -153,7 +154,8 @@ def entity_mentions(sents: DataFrame, entities: DataFrame, name_col: str = "enti
     if many():
         tok_word = _token_words(sents, names, q)
         words = names.select("*", F.explode(F.split("clean", " ")).alias("word"))
-        found = words.join(tok_word.select("word").distinct(), "word", "left_semi")
+        met = materialize(tok_word.select("word").distinct(), "found-words")
+        found = words.join(broadcast_or_merge(met), "word", "left_semi")
         names = materialize(found.groupBy(*names.columns).agg(F.count(F.lit(1)).alias("found"))
                             .filter(F.col("found") >= F.col("m")).drop("found"), "found-names")
         if many():
@@ -165,47 +167,56 @@ def entity_mentions(sents: DataFrame, entities: DataFrame, name_col: str = "enti
 
 
 def _token_words(sents: DataFrame, names: DataFrame, q: int) -> DataFrame:
-    """(token, word): the words of names that are inside a token of the sentences."""
+    """(token, word): the words of names that are inside a token of the sentences.
+
+    The grams of all tokens are many times the size of the tokens' file, by
+    which Spark would choose them for a broadcast: they stay where they are.
+    A word with a gram that no token has is in none and goes no further; the
+    others come to the grams if a count shows few, else by a merge join."""
+    from ledgerlens.operators.joins import broadcast_or_merge
     from ledgerlens.session import materialize
     vocab = materialize(sents.select(F.explode(F.array_distinct(F.split("sentence", " "))).alias("token")).distinct(), "tokens")
     vgrams = (vocab.select("token", F.explode(F.array_distinct(F.flatten(F.array(
         *[_grams(F.col("token"), n) for n in range(1, q + 1)])))).alias("gram")))
-    gfreq = vgrams.groupBy("gram").agg(F.count(F.lit(1)).alias("freq"))
+    gfreq = materialize(vgrams.groupBy("gram").agg(F.count(F.lit(1)).alias("freq")), "gram-counts")
     dwords = names.select(F.explode(F.split("clean", " ")).alias("word")).distinct()
     wg = dwords.select("word", F.explode(F.array_distinct(_grams(F.col("word"), F.least(F.length("word"), F.lit(q)))))
                        .alias("gram"))
-    key_gram = (wg.join(gfreq, "gram", "left").withColumn("freq", F.coalesce("freq", F.lit(0)))
-                .groupBy("word").agg(F.min_by("gram", F.struct("freq", "gram")).alias("gram")))
-    return materialize(key_gram.join(vgrams, "gram").filter(F.col("token").contains(F.col("word")))
-                       .select("token", "word").distinct(), "token-words")
+    rarest = F.min(F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "gram"))
+    key_gram = materialize(wg.join(broadcast_or_merge(gfreq), "gram", "left").groupBy("word").agg(rarest.alias("rarest"))
+                           .filter(F.col("rarest.freq") > 0).select("word", "rarest.gram"), "key-grams")
+    # A token has a gram once and a word one key gram, so no pair comes twice.
+    return materialize(vgrams.join(broadcast_or_merge(key_gram), "gram").filter(F.col("token").contains(F.col("word")))
+                       .select("token", "word"), "token-words")
 
 
 def _mentions_by_joins(sents: DataFrame, names: DataFrame, tok_word: DataFrame, ratio: float, key: str) -> DataFrame:
-    """The mentions of names and words too many for one task."""
-    from ledgerlens.operators.joins import broadcast_if_few
+    """The mentions of names and words too many for one task.  Sides are
+    broadcast by their count only, as in ``_token_words``."""
+    from ledgerlens.operators.joins import broadcast_or_merge
     from ledgerlens.session import materialize
     words = names.select("entity", "clean", "k", "m", F.posexplode(F.split("clean", " ")).alias("wpos", "word"))
     toks = sents.select(key, "sentence_index", F.explode(F.array_distinct(F.split("sentence", " "))).alias("token"))
     # Written once: word frequencies, candidates and their counts read it.
-    sent_word = materialize(toks.join(broadcast_if_few(tok_word), "token").select(key, "sentence_index", "word").distinct(), "sentence-words")
+    sent_word = materialize(toks.join(broadcast_or_merge(tok_word), "token").select(key, "sentence_index", "word").distinct(), "sentence-words")
     # Probe with each entity's rarest words only: a direct match needs all k
     # words, a fuzzy match at least m = ceil(ratio * k), so every match
     # contains one of the entity's (k - m + 1) rarest words (prefix
     # filtering).  Common words never fan out to all their sentences x all
     # entities sharing them; candidates are then counted over all words.
     wfreq = sent_word.groupBy("word").agg(F.count(F.lit(1)).alias("wf"))
-    wk = words.join(wfreq, "word", "left").withColumn("wf", F.coalesce("wf", F.lit(0)))
+    wk = words.join(wfreq.hint("merge"), "word", "left").withColumn("wf", F.coalesce("wf", F.lit(0)))
     wrank = Window.partitionBy("entity").orderBy("wf", "word", "wpos")
-    probe = (wk.withColumn("_r", F.row_number().over(wrank)).filter(F.col("_r") <= F.col("k") - F.col("m") + 1)
-             .select("entity", "word"))
-    cand_pairs = sent_word.join(probe, "word").select(key, "sentence_index", "entity").distinct()
-    allw = cand_pairs.join(words.select("entity", "word", "wpos"), "entity")
-    hits = (allw.join(sent_word.withColumn("_hit", F.lit(1)), [key, "sentence_index", "word"], "left")
+    probe = materialize(wk.withColumn("_r", F.row_number().over(wrank)).filter(F.col("_r") <= F.col("k") - F.col("m") + 1)
+                        .select("entity", "word"), "probes")
+    cand_pairs = sent_word.join(broadcast_or_merge(probe), "word").select(key, "sentence_index", "entity").distinct()
+    allw = cand_pairs.join(broadcast_or_merge(words.select("entity", "word", "wpos")), "entity")
+    hits = (allw.join(sent_word.withColumn("_hit", F.lit(1)).hint("merge"), [key, "sentence_index", "word"], "left")
             .groupBy(key, "sentence_index", "entity").agg(F.count("_hit").alias("hits")))
     # Counts decide first; only sentences that hold enough words meet their text.
     fuzzy = (F.col("k") > 1) & (F.col("hits") >= F.col("k") * F.lit(ratio))
-    cand = materialize(hits.join(names, "entity").filter((F.col("hits") == F.col("k")) | fuzzy), "mention-candidates")
-    cand = cand.join(sents.select(key, "sentence_index", "sentence"), [key, "sentence_index"])
+    cand = materialize(hits.join(broadcast_or_merge(names), "entity").filter((F.col("hits") == F.col("k")) | fuzzy), "mention-candidates")
+    cand = broadcast_or_merge(cand).join(sents.select(key, "sentence_index", "sentence"), [key, "sentence_index"])
     direct = (F.col("hits") == F.col("k")) & F.col("sentence").contains(F.col("clean"))
     out = cand.withColumn("match_type", F.when(direct, "direct").when(fuzzy, "fuzzy")).filter(F.col("match_type").isNotNull())
     return out.select("entity", key, "sentence_index", "sentence", "match_type")
@@ -260,7 +271,8 @@ def entity_labels(mentions: DataFrame, hits: DataFrame, key: str = "doc_id", evi
     ev = (hits.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= evidence)
           .groupBy("entity").agg(F.array_sort(F.collect_list(F.struct("_rn", "sentence"))).alias("_ev")))
     ents = mentions.select("entity").distinct()
-    j = ents.join(g, "entity", "left").join(ev, "entity", "left")
+    # All three lie by entity; packed files of hits say little of their sentences, so none is broadcast.
+    j = ents.join(g.hint("merge"), "entity", "left").join(ev.hint("merge"), "entity", "left")
     score = F.coalesce("irregularity_score", F.lit(0)).cast("int")
     sev = F.when(F.col("_sev") == 3, "high").when(F.col("_sev") == 2, "medium").otherwise("low")
     return j.select(F.col("entity").alias("entity_name"), (score > 0).cast("int").alias("audit_flag"),
@@ -280,7 +292,7 @@ def apply_labels(df: DataFrame, labels: DataFrame, entity: str = "entity_name")
                         F.col("evidence_count").alias("_n"))
     base = df.drop(*[c for c in ("audit_flag", "irregularity_score", "detected_issues", "severity", "evidence_count")
                      if c in df.columns])
-    j = base.join(lab, base[entity] == lab["_e"], "left")
+    j = base.join(lab.hint("merge"), base[entity] == lab["_e"], "left")
     return j.select(*base.columns,
                     F.coalesce("_f", F.lit(0)).alias("audit_flag"), F.coalesce("_s", F.lit(0)).alias("irregularity_score"),
                     F.coalesce("_i", F.lit("")).alias("detected_issues"), F.coalesce("_v", F.lit("none")).alias("severity"),
